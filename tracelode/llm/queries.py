@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontam, digest, packing, ppm, quality, token_store, toxicity
+from . import chat_format, decontam, digest, ngram_join, packing, ppm, quality, token_store, toxicity
 from .common import scratch_dir, table
 from .tokens import tokenizer_path
 
@@ -49,6 +49,10 @@ def op8_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest.fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.classes(table(spark, sf_dir, "documents"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
