@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontam, digest, ngram_join, packing, ppm, quality, token_store, toxicity
+from . import chat_format, decontam, digest, ngram_join, packing, pii, ppm, quality, token_store, toxicity
 from .common import scratch_dir, table
 from .tokens import tokenizer_path
 
@@ -39,6 +39,13 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.detect(table(spark, sf_dir, "documents"))
+    counts = [F.size(pii.base_of(F.col("spans"), kind)).cast("long").alias(f"n_{kind}") for kind in pii.BASE]
+    base = pii.joined(F.filter("spans", lambda s: s["base"]))
+    return found.select("doc_id", *counts, F.sha2(base.cast("binary"), 256).alias("base_sha256"), pii.joined(F.col("spans")).alias("spans"))
+
+
 def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{scratch_dir(spark)}/tokens-{uuid.uuid4().hex}"
     token_store.write_tokens(table(spark, sf_dir, "documents"), path, tokenizer_path("byte_bpe_50k.json"), end_id=2)
