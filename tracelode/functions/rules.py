@@ -1,13 +1,11 @@
 """Declared rules for events, compiled to column expressions.
 
-A rule tree says which fields an object has, of what type and range. compile_rules() walks it once and gives, for each
-rule, a function from a variant column to a boolean one that is true where the rule is broken; arrays and maps are tested with higher-order
-functions, so a table of events is checked in one projection.
+A rule tree says which fields an object has, of what type and range. violations() walks it once and gives an array column of the broken rules;
+members of arrays and maps are tested with higher-order functions, so a table of events is checked in one projection.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column
@@ -100,70 +98,77 @@ FRAMES = record(
 )
 KINDS = {"runtime": RUNTIME, "lineage": LINEAGE, "dataframe_lineage": FRAMES}
 
-Check = tuple[str, str, Callable[[Column], Column]]
+def _pair(path: str, rule: str) -> Column:
+    return F.struct(F.lit(path).alias("path"), F.lit(rule).alias("rule"))
 
 
-def at(v: Column, name: str) -> Column:
-    return F.try_variant_get(v, f"$.{name}", "variant")
+_NONE = "array<struct<path:string,rule:string>>"
 
 
-def type_of(v: Column) -> Column:
-    """JSON type of a variant; null where there is none. A number without a fraction is an integer."""
-    shown = F.schema_of_variant(v)
-    numeric = shown.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)")
-    whole = F.try_variant_get(v, "$", "double")
-    return (
-        F.when(shown == "VOID", "null").when(shown == "STRING", "string").when(shown == "BOOLEAN", "boolean").when(shown.startswith("OBJECT"), "object").when(shown.startswith("ARRAY"), "array")
-        .when(numeric & (whole == F.floor(whole)), "integer").when(numeric, "number").when(shown.isNotNull(), "other")
-    )
+def _has_type(v: Column, at: str, kinds: tuple[str, ...]) -> Column:
+    """Whether the value at a path has one of some JSON types. A number without a fraction is an integer."""
+    shown = F.schema_of_variant(F.try_variant_get(v, at, "variant"))
+    tests = {
+        "string": lambda: shown == "STRING", "boolean": lambda: shown == "BOOLEAN", "null": lambda: shown == "VOID", "object": lambda: shown.startswith("OBJECT"), "array": lambda: shown.startswith("ARRAY"),
+        "number": lambda: shown.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)"),
+        "integer": lambda: (shown == "BIGINT") | (shown.rlike("^(DECIMAL|DOUBLE|FLOAT)") & (F.try_variant_get(v, at, "double") % 1 == 0)),
+    }
+    found = tests[kinds[0]]()
+    for k in kinds[1:]:
+        found = found | tests[k]()
+    return found
 
 
-def _fits(v: Column, rule: Rule) -> Column:
-    kinds = [*rule.types, *(["integer"] if "number" in rule.types else [])]
-    return type_of(v).isin(kinds)
-
-
-def compile_rules(rule: Rule, path: str = "$") -> list[Check]:
-    """(path, rule, broken) for a value that is there; broken maps a variant to a boolean column."""
-    out: list[Check] = [(path, "type", lambda v: ~_fits(v, rule))]
-    as_text = lambda v: F.try_variant_get(v, "$", "string")
-    is_map = lambda v: F.when(type_of(v) == "object", F.try_variant_get(v, "$", "map<string,variant>"))
-    is_list = lambda v: F.when(type_of(v) == "array", F.try_variant_get(v, "$", "array<variant>"))
+def _checks(rule: Rule, v: Column, at: str, label: str, scalars: list[Column], groups: list[Column], deep: bool) -> None:
+    """Adds what is tested at one path of a root variant. Objects are walked by path; lists and maps become one group each, which tests their members in one pass."""
+    mark = lambda broken, what, where=label: scalars.append(F.when(F.coalesce(broken, F.lit(False)), _pair(where, what)))
+    get = lambda kind: F.try_variant_get(v, at, kind)
+    mark(~_has_type(v, at, rule.types), "type")
     if rule.among:
-        out.append((path, "enum", lambda v: (type_of(v) == "string") & ~as_text(v).isin(list(rule.among))))
+        mark(_has_type(v, at, ("string",)) & ~get("string").isin(list(rule.among)), "enum")
     if rule.pattern:
-        out.append((path, "pattern", lambda v: (type_of(v) == "string") & ~as_text(v).rlike(rule.pattern)))
+        mark(_has_type(v, at, ("string",)) & ~get("string").rlike(rule.pattern), "pattern")
     if rule.least is not None:
-        out.append((path, "minimum", lambda v: type_of(v).isin("integer", "number") & (F.try_variant_get(v, "$", "double") < rule.least)))
-    if rule.required or rule.optional:
-        known = [*rule.required, *rule.optional]
-        if rule.closed:
-            out.append((path, "additional", lambda v: F.size(F.array_except(F.map_keys(is_map(v)), F.array(*map(F.lit, known)))) > 0))
-        for name, sub in rule.required.items():
-            out.append((f"{path}.{name}", "required", lambda v, n=name: (type_of(v) == "object") & at(v, n).isNull()))
-        for name, sub in (rule.required | rule.optional).items():
-            for p, r, broken in compile_rules(sub, f"{path}.{name}"):
-                out.append((p, r, lambda v, n=name, b=broken: at(v, n).isNotNull() & b(at(v, n))))
-    if rule.length is not None:
-        out.append((path, "length", lambda v: F.size(is_list(v)) != rule.length))
-    if rule.items:
-        for p, r, broken in compile_rules(rule.items, f"{path}[]"):
-            out.append((p, r, lambda v, b=broken: F.exists(is_list(v), _one(b))))
+        mark(_has_type(v, at, ("number",)) & (get("double") < rule.least), "minimum")
+    if rule.closed and rule.keys is None:
+        mark(F.size(F.array_except(F.map_keys(get("map<string,variant>")), F.array(*map(F.lit, [*rule.required, *rule.optional])))) > 0, "additional")
     if rule.keys:
-        out.append((path, "key", lambda v: F.exists(F.map_keys(is_map(v)), lambda k: ~k.rlike(rule.keys))))
-    if rule.values:
-        for p, r, broken in compile_rules(rule.values, f"{path}.*"):
-            out.append((p, r, lambda v, b=broken: F.exists(F.map_values(is_map(v)), _one(b))))
-    return out
+        mark(F.exists(F.map_keys(get("map<string,variant>")), lambda k: ~k.rlike(rule.keys)), "key")
+    if rule.length is not None:
+        mark(F.size(get("array<variant>")) != rule.length, "length")
+    for name in rule.required:
+        here = get("variant").isNotNull() if at != "$" else F.lit(True)
+        mark(here & F.try_variant_get(v, f"{at}.{name}", "variant").isNull(), "required", f"{label}.{name}")
+    for name, sub in rule.required.items():
+        _checks(sub, v, f"{at}.{name}", f"{label}.{name}", scalars, groups, deep)
+    for name, sub in rule.optional.items():
+        if not sub.required and not sub.optional:
+            _checks(sub, v, f"{at}.{name}", f"{label}.{name}", scalars, groups, deep)
+            continue
+        own: list[Column] = []
+        more: list[Column] = []
+        _checks(sub, v, f"{at}.{name}", f"{label}.{name}", own, more, deep)  # looked at only where there is such an object
+        found = F.concat(F.filter(F.array(*own), lambda x: x.isNotNull()), *(F.coalesce(g, F.array().cast(_NONE)) for g in more))
+        groups.append(F.when(F.try_variant_get(v, f"{at}.{name}", "variant").isNotNull(), found))
+    if deep and rule.items:
+        groups.append(F.flatten(F.transform(get("array<variant>"), lambda x: _broken(rule.items, x, f"{label}[]", deep))))
+    if deep and rule.values:
+        groups.append(F.flatten(F.transform(F.map_values(get("map<string,variant>")), lambda x: _broken(rule.values, x, f"{label}.*", deep))))
+
+
+def _broken(rule: Rule, v: Column, label: str, deep: bool) -> Column:
+    scalars: list[Column] = []
+    groups: list[Column] = []
+    _checks(rule, v, "$", label, scalars, groups, deep)
+    own = F.filter(F.array(*scalars), lambda x: x.isNotNull())
+    return F.concat(own, *(F.coalesce(g, F.array().cast(_NONE)) for g in groups)) if groups else own
 
 
-def _one(broken: Callable[[Column], Column]) -> Callable[[Column], Column]:
-    return lambda x: F.coalesce(broken(x), F.lit(False))
+def violations(v: Column, kind: str, deep: bool = True) -> Column:
+    """All broken rules of an event: array of (path, rule), each once. v is null where the line isn't JSON. deep=False leaves out what lies in arrays and maps."""
+    return F.when(v.isNull(), F.array(_pair("$", "json"))).otherwise(F.array_distinct(_broken(KINDS[kind], v, "$", deep)))
 
 
-def violations(v: Column, kind: str, deep: bool = True) -> Column:
-    """All broken rules of an event: array of (path, rule). v is null where the line isn't JSON. deep=False leaves out what lies in arrays and maps."""
-    pair = lambda p, r: F.struct(F.lit(p).alias("path"), F.lit(r).alias("rule"))
-    checks = [c for c in compile_rules(KINDS[kind]) if deep or "[]" not in c[0] and "*" not in c[0]]
-    marks = F.array(*(F.when(F.coalesce(broken(v), F.lit(False)), pair(p, r)) for p, r, broken in checks))
-    return F.when(v.isNull(), F.array(pair("$", "json"))).otherwise(F.filter(marks, lambda x: x.isNotNull()))
+def settle(df, name: str, value: Column):
+    """Adds a column that later expressions refer to instead of repeating it: a generator of one row, which the optimizer doesn't look through."""
+    return df.select("*", F.inline(F.array(F.struct(value.alias(name)))))

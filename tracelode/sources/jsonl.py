@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.normalize import ROWS, constraint
-from ..functions.rules import violations
+from ..functions.rules import settle, violations
 from ..functions.scalars import identity, notebook_hash
 
 #: Directory of each kind of event.
@@ -40,11 +40,9 @@ def identified(lines: DataFrame) -> DataFrame:
 
 def checked(lines: DataFrame, kind: str, value: str = "value", strict: bool = True, deep: bool = True) -> DataFrame:
     """Adds v (the parsed line) and violations. Without strict nothing but JSON itself is asked for."""
-    parsed = lines.withColumn("v", F.try_parse_json(F.col(value)))
-    broken: Column = violations(F.col("v"), kind, deep) if strict else violations(F.col("v"), kind, deep=False)
-    if not strict:
-        broken = F.filter(broken, lambda x: x["rule"] == "json")
-    return parsed.withColumn("violations", broken)
+    parsed = settle(lines, "v", F.try_parse_json(F.col(value)))
+    broken: Column = violations(F.col("v"), kind, deep) if strict else F.filter(violations(F.col("v"), kind, deep=False), lambda x: x["rule"] == "json")
+    return settle(parsed, "violations", broken)
 
 
 def split(checked_lines: DataFrame, kind: str, key: Column) -> tuple[DataFrame, DataFrame]:
