@@ -27,12 +27,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import documents, fold, materialise, tasks_for
-from .textnum import _R, mix
+from .textnum import _R, mix, slices
 
 ORDER = 5
 END = 255  # never a byte of UTF-8: end symbol and what stands before a text's start
 SYMBOLS = 256
-UNIT_BYTES, UNIT_DOCS = 16_000_000, 60_000
+UNIT_BYTES, UNIT_DOCS = 12_000_000, 60_000
+PIECE = 1 << 20  # what is worked on at once within a unit
 _UPPER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13, END]] = True
@@ -134,30 +135,36 @@ class Unit:
 
     def symbols(self) -> np.ndarray:
         """key << 16 | document, sorted; key: context, its last byte first, then the symbol."""
-        n = len(self.data) - 8 + 1
-        window = np.ndarray((n,), "<u8", self.data, 0, (1,))
-        places = np.repeat(self.starts - (np.cumsum(self.sizes + 1) - (self.sizes + 1)), self.sizes + 1) + np.arange((self.sizes + 1).sum())
-        raw = window[places - ORDER]
-        key = (raw & np.uint64((1 << 40) - 1)) << np.uint64(8) | (raw >> np.uint64(40)) & np.uint64(255)
-        out = key << np.uint64(16)
-        out |= np.repeat(np.arange(len(self.sizes), dtype=np.uint64), self.sizes + 1)
+        window = np.ndarray((len(self.data) - 7,), "<u8", self.data, 0, (1,))
+        ends = np.cumsum(self.sizes + 1)
+        out = np.empty(ends[-1] if len(ends) else 0, np.uint64)
+        for a, b in slices((self.sizes + 1).tolist(), PIECE):
+            n = self.sizes[a:b] + 1
+            to = np.cumsum(n)
+            raw = window[np.repeat(self.starts[a:b] - ORDER - (to - n), n) + np.arange(to[-1])]
+            key = (raw & np.uint64((1 << 40) - 1)) << np.uint64(8) | (raw >> np.uint64(40)) & np.uint64(255)
+            out[ends[a] - n[0] : ends[b - 1]] = key << np.uint64(16) | np.repeat(np.arange(a, b, dtype=np.uint64), n)
         out.sort()
         return out
 
     def words(self) -> tuple[np.ndarray, np.ndarray]:
         """Hash and document of each token, ends included (as the last ones)."""
-        word = ~_SPACE[self.data[: -3]]
-        edge = np.flatnonzero(np.diff(word, prepend=False, append=False))
-        start, size = edge[0::2], edge[1::2] - edge[0::2]
-        at = np.flatnonzero(word)
-        place = at - np.repeat(start, size)
-        sums = np.zeros(len(at) + 1, np.uint64)
-        np.cumsum(self.data[at].astype(np.uint64) * _R[place & 4095], out=sums[1:])
-        to = np.cumsum(size)
-        hashes = mix(sums[to] - sums[to - size] + size.astype(np.uint64))
-        doc = np.searchsorted(self.starts, start, "right") - 1
+        found, docs = [], []
+        for a, b in slices((self.sizes + ORDER).tolist(), PIECE):
+            lo = self.starts[a]
+            data = self.data[lo : self.starts[b - 1] + self.sizes[b - 1] + 1]
+            word = ~_SPACE[data]
+            edge = np.flatnonzero(np.diff(word, prepend=False, append=False))
+            start, size = edge[0::2], edge[1::2] - edge[0::2]
+            at = np.flatnonzero(word)
+            place = at - np.repeat(start, size)
+            sums = np.zeros(len(at) + 1, np.uint64)
+            np.cumsum(data[at].astype(np.uint64) * _R[place & 4095], out=sums[1:])
+            to = np.cumsum(size)
+            found.append(mix(sums[to] - sums[to - size] + size.astype(np.uint64)))
+            docs.append(np.searchsorted(self.starts, start + lo, "right") - 1)
         n = len(self.sizes)
-        return np.concatenate([hashes, np.full(n, _END_WORD)]), np.concatenate([doc, np.arange(n)])
+        return np.concatenate([*found, np.full(n, _END_WORD)]), np.concatenate([*docs, np.arange(n)])
 
 
 def _runs(x: np.ndarray) -> np.ndarray:
@@ -165,6 +172,12 @@ def _runs(x: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.zeros(0, np.int64)
 
 
+def _changes(s: np.ndarray) -> np.ndarray:
+    """Where runs of equal keys start among a unit's sorted symbols."""
+    parts = [np.flatnonzero((s[a : a + PIECE] ^ s[a - 1 : a - 1 + len(s[a : a + PIECE])]) >> np.uint64(16)) + a for a in range(1, len(s), PIECE)]
+    return np.concatenate([np.zeros(min(1, len(s)), np.int64), *parts])
+
+
 def _by_bucket(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """The order that puts sorted keys by bucket, and the buckets' edges."""
     bucket = (mix(keys) % np.uint64(buckets)).astype(np.uint16 if buckets < 65536 else np.uint32)
@@ -172,12 +185,31 @@ def _by_bucket(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     return order, np.searchsorted(bucket[order], np.arange(buckets + 1))
 
 
+def _packed(x: np.ndarray, width: int) -> bytes:
+    """Byte planes of the low `width` bytes, compressed: sorted keys have even high planes."""
+    return zstandard.compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize)[:, :width].T).tobytes(), 1)
+
+
+def _unpacked(blob: bytes, width: int, kind: str) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(blob), np.uint8).reshape(width, -1)
+    out = np.zeros((planes.shape[1], np.dtype(kind).itemsize), np.uint8)
+    out[:, :width] = planes.T
+    return out.view(kind).ravel()
+
+
+#: Bytes of a key by kind: five of context and a symbol; a word's hash.
+WIDTH = (6, 8)
+#: Bytes and type of the value told for a key: a code length; a count.
+VALUE = ((4, "<f4"), (8, "<i8"))
+
+
 def _asked(unit: Unit) -> list[tuple[np.ndarray, np.ndarray]]:
     """For symbols, then words: distinct keys, sorted, and their counts in training documents."""
     s = unit.symbols()
-    key, train = s >> np.uint64(16), ~unit.held[(s & np.uint64(65535)).astype(np.int64)]
-    at = _runs(key)
-    grams = key[at], np.add.reduceat(train, at, dtype=np.int64) if len(at) else np.zeros(0, np.int64)
+    at = _changes(s)
+    train = np.concatenate([~unit.held[(s[a : a + PIECE] & np.uint64(65535)).astype(np.int64)] for a in range(0, len(s), PIECE)] or [np.zeros(0, bool)])
+    grams = s[at] >> np.uint64(16), np.add.reduceat(train, at, dtype=np.int64) if len(at) else np.zeros(0, np.int64)
+    del s, train
     hashes, doc = unit.words()
     words, where = np.unique(hashes, return_inverse=True)
     return [grams, (words, np.bincount(where, ~unit.held[doc], len(words)).astype(np.int64))]
@@ -192,19 +224,20 @@ def _requests(units: DataFrame, buckets: int) -> DataFrame:
                 for kind, (keys, counts) in enumerate(_asked(Unit(row))):
                     order, edge = _by_bucket(keys, buckets)
                     keys, counts = keys[order], counts[order].astype("<u4")
+                    width = WIDTH[kind]
                     parts = [(b, x, y) for b, (x, y) in enumerate(zip(edge[:-1].tolist(), edge[1:].tolist())) if y > x]
-                    cut = lambda a: pa.array([a[x:y].tobytes() for _, x, y in parts], pa.binary())
-                    yield pa.RecordBatch.from_arrays([pa.array([row["unit"]] * len(parts)), pa.array([kind] * len(parts), pa.int32()), pa.array([b for b, _, _ in parts], pa.int32()), cut(keys), cut(counts)], names)
+                    cut = lambda a, w: pa.array([_packed(a[x:y], w) for _, x, y in parts], pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array([row["unit"]] * len(parts)), pa.array([kind] * len(parts), pa.int32()), pa.array([b for b, _, _ in parts], pa.int32()), cut(keys, width), cut(counts, 4)], names)
 
     return units.mapInArrow(run, "unit string, kind int, bucket int, keys binary, counts binary")
 
 
-def _column(table: pa.Table, name: str, kind: str) -> list[np.ndarray]:
-    return [np.frombuffer(x, kind) for x in table.column(name).to_pylist()]
+def _column(table: pa.Table, name: str, width: int, kind: str = "<u8") -> list[np.ndarray]:
+    return [_unpacked(x, width, kind) for x in table.column(name).to_pylist()]
 
 
-def _summed(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    keys, counts = np.concatenate(_column(table, "keys", "<u8")), np.concatenate(_column(table, "counts", "<u4")).astype(np.int64)
+def _summed(table: pa.Table, width: int) -> tuple[np.ndarray, np.ndarray]:
+    keys, counts = np.concatenate(_column(table, "keys", width)), np.concatenate(_column(table, "counts", 4, "<u4")).astype(np.int64)
     order = np.argsort(keys, kind="stable")
     keys = keys[order]
     at = _runs(keys)
@@ -218,7 +251,7 @@ def _totals(requests: DataFrame, groups: int) -> DataFrame:
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         kind, bucket = key[0].as_py(), key[1].as_py()
-        keys, counts = _summed(table)
+        keys, counts = _summed(table, WIDTH[kind])
         if kind:
             rows = [(kind, bucket, -1, keys, counts)]
         else:
@@ -226,7 +259,7 @@ def _totals(requests: DataFrame, groups: int) -> DataFrame:
             order = np.argsort(part, kind="stable")
             edge = np.searchsorted(part[order], np.arange(groups + 1))
             rows = [(kind, bucket, g, keys[order[a:b]], counts[order[a:b]]) for g, (a, b) in enumerate(zip(edge[:-1], edge[1:])) if b > a]
-        rows = [(*r[:3], r[3].tobytes(), r[4].astype("<i8").tobytes(), int((r[4] > 0).sum()), int(r[4].sum())) for r in rows]
+        rows = [(*r[:3], _packed(r[3], WIDTH[kind]), _packed(r[4].astype("<i8"), 8), int((r[4] > 0).sum()), int(r[4].sum())) for r in rows]
         return pa.Table.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
 
     return requests.groupBy("kind", "bucket").applyInArrow(run, "kind int, bucket int, part int, keys binary, counts binary, n_keys long, n_tokens long")
@@ -238,7 +271,7 @@ def _short_counts(totals: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                keys, counts = np.frombuffer(row["keys"], "<u8"), np.frombuffer(row["counts"], "<i8")
+                keys, counts = _unpacked(row["keys"], WIDTH[0], "<u8"), _unpacked(row["counts"], 8, "<i8")
                 keys, counts = keys[counts > 0], counts[counts > 0]
                 short = (keys >> np.uint64(32)) << np.uint64(8) | keys & np.uint64(255)
                 found, where = np.unique(short, return_inverse=True)
@@ -320,12 +353,11 @@ def _coded(totals: DataFrame, short: tuple[np.ndarray, np.ndarray]) -> DataFrame
     names = ["kind", "bucket", "keys", "values"]
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        keys = np.concatenate(_column(table, "keys", "<u8"))
-        counts = np.concatenate(_column(table, "counts", "<i8"))
-        values = code_lengths(keys, counts, sent.value).astype("<f4")
-        sizes = [len(x) // 8 for x in table.column("keys").to_pylist()]
-        ends = np.cumsum(sizes)
-        cut = [values[e - n : e].tobytes() for e, n in zip(ends, sizes)]
+        parts = _column(table, "keys", WIDTH[0])
+        keys = np.concatenate(parts)
+        values = code_lengths(keys, np.concatenate(_column(table, "counts", 8, "<i8")), sent.value).astype("<f4")
+        ends = np.cumsum([len(x) for x in parts])
+        cut = [_packed(values[e - len(x) : e], 4) for e, x in zip(ends, parts)]
         return pa.Table.from_arrays([table.column("kind"), table.column("bucket"), table.column("keys"), pa.array(cut, pa.binary())], names)
 
     schema = "kind int, bucket int, keys binary, values binary"
@@ -338,12 +370,12 @@ def _answers(requests: DataFrame, coded: DataFrame) -> DataFrame:
     names = ["unit", "kind", "bucket", "values"]
 
     def run(key: tuple, asked: pa.Table, known: pa.Table) -> pa.Table:
-        kind = "<i8" if key[0].as_py() else "<f4"
-        keys, values = np.concatenate(_column(known, "keys", "<u8")), np.concatenate(_column(known, "values", kind))
+        kind = key[0].as_py()
+        keys, values = np.concatenate(_column(known, "keys", WIDTH[kind])), np.concatenate(_column(known, "values", *VALUE[kind]))
         order = np.argsort(keys)
         keys, values = keys[order], values[order]
-        told = [values[np.searchsorted(keys, x)] for x in _column(asked, "keys", "<u8")]
-        return pa.Table.from_arrays([asked.column("unit"), asked.column("kind"), asked.column("bucket"), pa.array([x.tobytes() for x in told], pa.binary())], names)
+        told = [values[np.searchsorted(keys, x)] for x in _column(asked, "keys", WIDTH[kind])]
+        return pa.Table.from_arrays([asked.column("unit"), asked.column("kind"), asked.column("bucket"), pa.array([_packed(x, VALUE[kind][0]) for x in told], pa.binary())], names)
 
     grouped = requests.select("unit", "kind", "bucket", "keys").groupBy("kind", "bucket").cogroup(coded.groupBy("kind", "bucket"))
     return grouped.applyInArrow(run, "unit string, kind int, bucket int, values binary")
@@ -356,21 +388,23 @@ def _scores(units: DataFrame, answers: DataFrame, buckets: int, n: int, v: int)
         row = Unit(unit.to_pylist()[0])
         answers = {(k, b): x for k, b, x in zip(*(told.column(c).to_pylist() for c in ("kind", "bucket", "values")))}
 
-        def values(kind: int, keys: np.ndarray, dtype: str) -> np.ndarray:
+        def values(kind: int, keys: np.ndarray) -> np.ndarray:
             order, _ = _by_bucket(keys, buckets)
-            out = np.zeros(len(keys), dtype)
-            out[order] = np.concatenate([np.frombuffer(answers[k], dtype) for k in sorted(answers) if k[0] == kind])
+            out = np.zeros(len(keys), VALUE[kind][1])
+            out[order] = np.concatenate([_unpacked(answers[k], *VALUE[kind]) for k in sorted(answers) if k[0] == kind])
             return out
 
         docs = len(row.ids)
         s = row.symbols()
-        k = s >> np.uint64(16)
-        at = _runs(k)
-        each = np.repeat(values(0, k[at], "<f4"), np.diff(np.append(at, len(k))))
-        score = np.bincount((s & np.uint64(65535)).astype(np.int64), each, docs)
+        at = _changes(s)
+        each = np.repeat(values(0, s[at] >> np.uint64(16)), np.diff(np.append(at, len(s))))
+        score = np.zeros(docs)
+        for a in range(0, len(s), PIECE):
+            score += np.bincount((s[a : a + PIECE] & np.uint64(65535)).astype(np.int64), each[a : a + PIECE], docs)
+        del s, each
         hashes, doc = row.words()
         found, where = np.unique(hashes, return_inverse=True)
-        c = values(1, found, "<i8")[where]
+        c = values(1, found)[where]
         tokens = np.bincount(doc, minlength=docs)
         base = np.bincount(doc, np.log10(c + 1), docs) - tokens * math.log10(n + v + 1)
         columns = [pa.array(row.ids, mask=row.null), pa.array(row.held), pa.array(tokens), pa.array(np.bincount(doc, c > 0, docs).astype(np.int64)), pa.array(np.full(docs, n, np.int64)), pa.array(base), pa.array(score)]
