@@ -58,13 +58,11 @@ def bucket_of(doc_id: Column, cuts: list[int]) -> Column:
     """Which bucket of id_buckets an id falls in; null ids come first. The cut list has one entry a bucket, so it is as small as the partition count."""
     if not cuts:
         return F.lit(0)
-    array = F.array(*[F.lit(c) for c in cuts])
-    at = F.expr("0")  # binary search over a literal array, unrolled, stays inside code generation
-    step = 1
-    while step * 2 <= len(cuts):
-        step *= 2
-    while step:
-        nxt = at + F.lit(step)
-        at = F.when((nxt <= len(cuts)) & (doc_id >= F.element_at(array, F.greatest(F.least(nxt, F.lit(len(cuts))), F.lit(1)))), nxt).otherwise(at)
-        step //= 2
-    return F.coalesce(at, F.lit(0))
+    n, array = len(cuts), F.array(*[F.lit(c) for c in cuts])
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(n.bit_length()))])  # binary search, a step a halving
+
+    def step(at, width):
+        nxt = at + width
+        return F.when((nxt <= n) & (doc_id >= F.element_at(array, F.least(nxt, F.lit(n)))), nxt).otherwise(at)
+
+    return F.aggregate(steps, F.lit(0), step)
