@@ -10,12 +10,13 @@ from __future__ import annotations
 import json
 import re
 import zlib
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 
+_STOP = re.compile(r"[\W_][.,]\s")
 _KNOWN: dict[str, "ChunkedTokenizer"] = {}
-MOST_CHUNKS = 700_000
+MOST_CHUNKS = 600_000
 
 
 def tokenizer_path(name: str) -> str:
@@ -36,13 +37,29 @@ class ChunkedTokenizer:
             spec = json.load(f)
         # Byte-level vocabularies keep a blank with the word after it; the others drop white space altogether.
         self.keeps_blanks = spec["pre_tokenizer"]["type"] == "ByteLevel"
-        odd = r"[\x00\x01\x1c-\x1f\x85]|[^\w\s][.,]\s|_[.,]\s"
-        self.unsure = re.compile(rf"\s | \s|\s\s|{odd}" if self.keeps_blanks else odd)
+        self.odd = re.compile(r"[^\S \n]|[\x00\x01]" if self.keeps_blanks else r"[\x00\x01\x1c-\x1f\x85]")
         self.waiting: list = []
         self.forget()
 
+    def unsure(self, text: str) -> bool:
+        """Whether a text may have pre-tokens over the edges at which chunks() cuts."""
+        if self.keeps_blanks and ("  " in text or "\n\n" in text or " \n" in text or "\n " in text):
+            return True
+        return bool(self.odd.search(text) or _STOP.search(text))
+
     def forget(self) -> None:
+        """Keep only chunks that came again since they were learnt."""
+        if getattr(self, "index", None) and (again := np.flatnonzero(self.hits[: len(self.index)] > 1)).size < MOST_CHUNKS // 2:
+            names = list(self.index)
+            sizes = self.first[again + 1] - self.first[again]
+            to = np.cumsum(sizes)
+            kept = self.ids[np.repeat(self.first[again] - (to - sizes), sizes) + np.arange(sizes.sum())]
+            self.index = {names[i]: k for k, i in enumerate(again.tolist())}
+            self.ids[: len(kept)], self.first[1 : len(to) + 1], self.n_ids = kept, to, len(kept)
+            self.hits[:] = 0
+            return
         self.index: dict[str, int] = {}
+        self.hits = np.zeros(MOST_CHUNKS * 2, np.int32)
         self.ids, self.first, self.n_ids = np.zeros(1 << 20, np.uint32), np.zeros(MOST_CHUNKS * 2, np.int64), 0
 
     def _learn(self, chunks: set[str]) -> None:
@@ -53,13 +70,14 @@ class ChunkedTokenizer:
             blank = " " if self.keeps_blanks else ""
             plain = [x[1:] if x[:1] == "\1" else blank + x for x in part]
             found = [e.ids for e in self.tokenizer.encode_batch_fast(plain, add_special_tokens=False)]
-            flat = np.fromiter((i for x in found for i in x), np.uint32)
+            flat = np.fromiter(chain.from_iterable(found), np.uint32)
             while self.n_ids + len(flat) > len(self.ids):
                 self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
             self.ids[self.n_ids : self.n_ids + len(flat)] = flat
             base = len(self.index)
             if base + len(part) + 1 > len(self.first):
                 self.first = np.concatenate([self.first, np.zeros_like(self.first)])
+                self.hits = np.concatenate([self.hits, np.zeros_like(self.hits)])
             self.first[base + 1 : base + len(part) + 1] = self.n_ids + np.cumsum([len(x) for x in found])
             self.index.update(zip(part, range(base, base + len(part))))
             self.n_ids += len(flat)
@@ -77,7 +95,7 @@ class ChunkedTokenizer:
 
     def chunks(self, text: str) -> list[str]:
         """Pieces whose ids, joined, are those of the text: cut at blanks, and before a comma or full stop after a word."""
-        if self.unsure.search(text):
+        if self.unsure(text):
             return ["\1" + text]
         if self.keeps_blanks:
             return ("\1" + text).replace(", ", " \1, ").replace(". ", " \1. ").replace(".\n", " \1.\n \1").split(" ")
@@ -97,6 +115,7 @@ class ChunkedTokenizer:
             edges.append(len(at))
         self._fill(parts)
         where = np.concatenate(parts) if parts else np.zeros(0, np.int64)
+        self.hits[: len(self.index)] += np.bincount(where, minlength=len(self.index)).astype(np.int32)
         first, sizes = self.first[where], self.first[where + 1] - self.first[where]
         to = np.cumsum(sizes)
         flat = self.ids[np.repeat(first - (to - sizes), sizes) + np.arange(to[-1] if len(to) else 0)]
