@@ -8,13 +8,17 @@ to the library at once.
 from __future__ import annotations
 
 import json
+import os
 import re
 import zlib
 from itertools import chain, repeat
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-_STOP = re.compile(r"[\W_][.,]\s")
+#: A comma or full stop after no word; it begins with the stop itself, as few characters are one, and then looks back.
+_STOP = re.compile(r"[.,](?<=[\W_].)\s")
 _KNOWN: dict[str, "ChunkedTokenizer"] = {}
 MOST_CHUNKS = 600_000
 
@@ -29,6 +33,8 @@ class ChunkedTokenizer:
     """encode(texts): flat uint32 ids and the number of ids of each text."""
 
     def __init__(self, path: str):
+        # A task has one core: the library's threads would cost more CPU seconds than they save time.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -37,8 +43,8 @@ class ChunkedTokenizer:
             spec = json.load(f)
         # Byte-level vocabularies keep a blank with the word after it; the others drop white space altogether.
         self.keeps_blanks = spec["pre_tokenizer"]["type"] == "ByteLevel"
-        self.odd = re.compile(r"[^\S \n]|[\x00\x01]" if self.keeps_blanks else r"[\x00\x01\x1c-\x1f\x85]")
-        self.waiting: list = []
+        # Control characters, and for byte-level vocabularies all white space but the blank and the line feed.
+        self.odd = re.compile("[\0\1\t\v\f\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]" if self.keeps_blanks else r"[\x00\x01\x1c-\x1f\x85]")
         self.forget()
 
     def unsure(self, text: str) -> bool:
@@ -62,9 +68,8 @@ class ChunkedTokenizer:
         self.hits = np.zeros(MOST_CHUNKS * 2, np.int32)
         self.ids, self.first, self.n_ids = np.zeros(1 << 20, np.uint32), np.zeros(MOST_CHUNKS * 2, np.int64), 0
 
-    def _learn(self, chunks: set[str]) -> None:
+    def _learn(self, new: list[str]) -> None:
         """A chunk that starts with \\1 stands as it is; in byte-level vocabularies, others follow a blank."""
-        new = list(chunks)
         for at in range(0, len(new), 20_000):
             part = new[at : at + 20_000]
             blank = " " if self.keeps_blanks else ""
@@ -82,44 +87,32 @@ class ChunkedTokenizer:
             self.index.update(zip(part, range(base, base + len(part))))
             self.n_ids += len(flat)
 
-    def _wait(self, parts: list, cut: list[str], lacking: list[int]) -> None:
-        """Note chunks without ids; they are learnt together by _fill."""
-        self.waiting.append((len(parts), lacking, [cut[i] for i in lacking]))
-
-    def _fill(self, parts: list[np.ndarray]) -> None:
-        if new := {c for _, _, chunks in self.waiting for c in chunks}:
-            self._learn(new)
-        for k, lacking, chunks in self.waiting:
-            parts[k][lacking] = [self.index[c] for c in chunks]
-        self.waiting = []
-
-    def chunks(self, text: str) -> list[str]:
-        """Pieces whose ids, joined, are those of the text: cut at blanks, and before a comma or full stop after a word."""
-        if self.unsure(text):
-            return ["\1" + text]
+    def edged(self, text: str) -> str:
+        """The text with a blank at every edge: at blanks, and before a comma or full stop after a word. Ids of what stands between blanks, joined, are those of the text."""
         if self.keeps_blanks:
-            return ("\1" + text).replace(", ", " \1, ").replace(". ", " \1. ").replace(".\n", " \1.\n \1").split(" ")
-        return text.replace("\n", " ").replace(", ", " , ").replace(". ", " . ").split(" ")
+            return ("\1" + text).replace(", ", " \1, ").replace(". ", " \1. ").replace(".\n", " \1.\n \1")
+        return text.replace("\n", " ").replace(", ", " , ").replace(". ", " . ")
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if len(self.index) > MOST_CHUNKS:
             self.forget()
-        parts, edges, known = [], [], self.index.get
-        for text in texts:
-            cut = self.chunks(text)
-            at = np.fromiter(map(known, cut, repeat(-1)), np.int64, len(cut))
-            if (at < 0).any():
-                lacking = np.flatnonzero(at < 0).tolist()
-                self._wait(parts, cut, lacking)
-            parts.append(at)
-            edges.append(len(at))
-        self._fill(parts)
-        where = np.concatenate(parts) if parts else np.zeros(0, np.int64)
+        whole = [self.unsure(t) for t in texts]
+        cut = pc.split_pattern(pa.array(["" if w else self.edged(t) for t, w in zip(texts, whole)], pa.large_string()), " ")
+        codes = cut.values.dictionary_encode()
+        chunks = codes.dictionary.to_pylist()
+        where, edges = codes.indices.to_numpy().astype(np.int64), cut.offsets.to_numpy()[1:]
+        for i in np.flatnonzero(whole).tolist():  # its one chunk, so far empty, is the text
+            where[edges[i] - 1] = len(chunks)
+            chunks.append("\1" + texts[i])
+        at = np.fromiter(map(self.index.get, chunks, repeat(-1)), np.int64, len(chunks))
+        if lacking := [chunks[i] for i in np.flatnonzero(at < 0).tolist()]:
+            self._learn(list(dict.fromkeys(lacking)))
+            at[at < 0] = [self.index[c] for c in lacking]
+        where = at[where]
         self.hits[: len(self.index)] += np.bincount(where, minlength=len(self.index)).astype(np.int32)
         first, sizes = self.first[where], self.first[where + 1] - self.first[where]
         to = np.cumsum(sizes)
         flat = self.ids[np.repeat(first - (to - sizes), sizes) + np.arange(to[-1] if len(to) else 0)]
-        edges = np.cumsum(edges)
         ends = np.where(edges > 0, to[edges - 1], 0) if len(to) else np.zeros(len(texts), np.int64)
         return flat, np.diff(ends, prepend=0)
 
