@@ -54,9 +54,10 @@ def features(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 def _sampled(docs: DataFrame, labels: DataFrame, target: str, folds: int, held: int, per_class: int, most_chars: int) -> tuple[DataFrame, float]:
     """Distinct labelled training texts, and the share of label 1 among labelled training rows."""
     known = labels.select("doc_id", F.col(target).cast("int").alias("y")).where("y in (0, 1)").where(fold(F.col("doc_id"), folds) != held)
-    rows = documents(docs).join(known, "doc_id")
     share = known.agg(F.avg("y")).first()[0]
-    rows = rows.where(F.length("text") <= most_chars).groupBy(F.xxhash64("text").alias("h"), F.length("text").alias("n"), "y").agg(F.min("doc_id").alias("doc_id"))
+    # Hash and length stand for a text until the sample is drawn, so that the shuffles carry no texts.
+    brief = documents(docs).select("doc_id", F.xxhash64("text").alias("h"), F.length("text").alias("n")).where(F.col("n") <= most_chars)
+    rows = brief.join(known, "doc_id").groupBy("h", "n", "y").agg(F.min("doc_id").alias("doc_id"))
     picked = [rows.where(F.col("y") == y).orderBy("h", "n").limit(per_class) for y in (0, 1)]
     chosen = picked[0].unionByName(picked[1]).select("doc_id", "y")
     return documents(docs).join(F.broadcast(chosen), "doc_id"), 0.5 if share is None else share
