@@ -10,7 +10,7 @@ from tracelode.llm import chat_format, decontam, digest, ngram_join, packing, pi
 from tracelode.llm.common import fold
 from tracelode.llm.components import components
 from tracelode.llm.textnum import Words
-from tracelode.llm.tokens import ChunkedTokenizer, tokenizer_path
+from tracelode.llm.tokens import ChunkedTokenizer, chunked, tokenizer_path
 
 BPE, WORD = "byte_bpe_50k.json", "word_bpe_49k.json"
 rng = random.Random(1)
@@ -227,3 +227,14 @@ def test_pii(spark, docs):
 def test_fold(spark):
     got = spark.range(50).select("id", fold(F.col("id"), 7).alias("f")).collect()
     assert all(r.f == zlib.crc32(str(r.id).encode()) % 7 for r in got)
+
+
+def test_chunks_have_the_librarys_ids():
+    texts = ["", " ", "end ", "\nx", "x\n", "a b\nc. D, e.\nF it's 12,5 x-ý", "z .\n q , r", "two  blanks", "tab\there", "a\xa0b", "\x01", "...", "a 's b", "日本 語, 。x", "", "a b\nc. D, e.\nF it's 12,5 x-ý"]
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        coder = chunked(tokenizer_path(name))
+        for _ in range(2):
+            flat, n = coder.encode(texts)
+            want = [e.ids for e in coder.tokenizer.encode_batch(texts, add_special_tokens=False)]
+            assert n.tolist() == [len(x) for x in want] and flat.tolist() == [i for x in want for i in x]
+        assert len(coder.encode([])[0]) == 0
