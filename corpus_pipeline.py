@@ -15,9 +15,8 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity score is one half or more go; the field is fitted on the labels of those that came. Rows that repeat a doc_id are judged together: the worst counts."""
-    bad = toxicity.score_toxicity(docs, table(spark, sf_dir, "labels")).where("predicted = 1").select(F.col("doc_id").alias("_toxic")).distinct()
-    return docs.select(*COLUMNS).join(bad, F.col("doc_id").eqNullSafe(F.col("_toxic")), "left_anti")
+    """Documents whose toxicity score is one half or more go; the field is fitted on the labels of those that came. Each row is judged by its own text."""
+    return toxicity.drop_toxic(docs.select(*COLUMNS), table(spark, sf_dir, "labels"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -238,3 +238,24 @@ def test_chunks_have_the_librarys_ids():
             want = [e.ids for e in coder.tokenizer.encode_batch(texts, add_special_tokens=False)]
             assert n.tolist() == [len(x) for x in want] and flat.tolist() == [i for x in want for i in x]
         assert len(coder.encode([])[0]) == 0
+
+
+def test_messages_in_one_run_are_those_of_each_text():
+    r = np.random.default_rng(4)
+    sizes = np.array([3, 0, 1, 700, *r.integers(0, 40, 60), 0])
+    bounds, move = np.concatenate([[0], np.cumsum(sizes)]), np.array([[0.3, -4.0], [-2.0, 1.5]])
+    e = r.normal(-3, 8, bounds[-1])
+    got = toxicity.log_odds(e, bounds, move)
+    for a, b in zip(bounds, bounds[1:]):
+        if b > a:
+            ahead, back = toxicity.forward_backward(e[a:b, None], np.array([b - a]), move)
+            assert np.allclose(got[a:b], np.log(ahead * back)[:, 0])
+
+
+def test_toxic_rows_go_by_their_own_text(spark, docs, labels):
+    scored = toxicity.score_toxicity(docs, labels)
+    kept = toxicity.drop_toxic(docs, labels)
+    assert kept.columns == docs.columns
+    assert kept.count() == scored.where("predicted = 0").count()
+    assert kept.exceptAll(docs).isEmpty()
+    assert toxicity.drop_toxic(docs.limit(0), labels).count() == 0

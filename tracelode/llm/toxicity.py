@@ -15,7 +15,8 @@ labelled; an empty table gives an empty result; other columns aren't read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,8 +29,8 @@ from .quality import _sampled
 from .textnum import Words, slices
 
 BITS = 20
-CELLS = 2_000_000
-BATCH_CHARS = 2_000_000
+SPAN = 256
+BATCH_CHARS = 1_000_000
 FLOOR = -14.0
 
 
@@ -46,19 +47,6 @@ class Field:
     scale: tuple[float, float]  # slope and intercept from the highest log odds to the score
 
 
-def _padded(sizes: np.ndarray) -> Iterator[np.ndarray]:
-    """Texts of like lengths, together at most CELLS places when padded."""
-    order = np.argsort(-sizes, kind="stable")
-    order = order[sizes[order] > 0]
-    a = 0
-    while a < len(order):
-        top = sizes[order[a]]
-        b = min(len(order), a + max(1, CELLS // top))
-        b = a + int(np.searchsorted(-sizes[order[a:b]], -(top * 0.6), "right"))
-        yield order[a : max(b, a + 1)]
-        a = max(b, a + 1)
-
-
 def _grid(emission: np.ndarray, bounds: np.ndarray, group: np.ndarray, fill: float = 0.0) -> np.ndarray:
     """Places x texts."""
     sizes = bounds[group + 1] - bounds[group]
@@ -84,18 +72,44 @@ def forward_backward(e: np.ndarray, sizes: np.ndarray, move: np.ndarray) -> tupl
     return ahead, back
 
 
+def ratios(a: np.ndarray, b: np.ndarray, c: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """r[t] = (a[t] r[t-1] + b[t]) / (c[t] r[t-1] + d[t]), from r[-1] = 0, for a long run of places at once.
+
+    The run is cut into SPAN-long pieces that lie side by side. A piece as a whole is such a step, too: first all pieces' steps are
+    multiplied out, then followed from piece to piece, and last each piece is gone through from its own start."""
+    n = len(a)
+    if not n:
+        return np.zeros(0)
+    pieces = -(-n // SPAN)
+    a, b, c, d = (np.concatenate([v, np.full(pieces * SPAN - n, f)]).reshape(pieces, SPAN).T.copy() for v, f in zip((a, b, c, d), (1.0, 0.0, 0.0, 1.0)))
+    p, q, u, v = np.ones(pieces), np.zeros(pieces), np.zeros(pieces), np.ones(pieces)
+    for t in range(SPAN):
+        p, q, u, v = a[t] * p + b[t] * u, a[t] * q + b[t] * v, c[t] * p + d[t] * u, c[t] * q + d[t] * v
+        if t % 4 == 3:
+            top = np.maximum(np.maximum(p, q), np.maximum(u, v))
+            p, q, u, v = p / top, q / top, u / top, v / top
+    r, start = 0.0, np.zeros(pieces)
+    for k, (w, x, y, z) in enumerate(zip(p.tolist(), q.tolist(), u.tolist(), v.tolist())):
+        start[k] = r
+        r = (w * r + x) / (y * r + z)
+    out = np.empty((SPAN, pieces))
+    for t in range(SPAN):
+        start = (a[t] * start + b[t]) / (c[t] * start + d[t])
+        out[t] = start
+    return out.T.ravel()[:n]
+
+
 def log_odds(emission: np.ndarray, bounds: np.ndarray, move: np.ndarray) -> np.ndarray:
-    """Log odds of each token's marginal."""
-    out = np.zeros(len(emission))
-    sizes = np.diff(bounds)
-    for group in _padded(sizes):
-        n = sizes[group]
-        ahead, back = forward_backward(_grid(emission, bounds, group), n, move)
-        odds = np.log(ahead) + np.log(back)
-        col = np.repeat(np.arange(len(group)), n)
-        row = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        out[np.repeat(bounds[group], n) + row] = odds[row, col]
-    return out
+    """Log odds of each token's marginal, by forward and backward messages over all texts as one run that begins anew at every text."""
+    x, m = np.exp(np.clip(emission, -30, 30)), np.exp(move)
+    first, last = (np.zeros(len(x), bool) for _ in range(2))
+    some = np.diff(bounds) > 0
+    first[bounds[:-1][some]] = last[bounds[1:][some] - 1] = True
+    ahead = ratios(np.where(first, 0.0, x * m[1, 1]), np.where(first, x, x * m[0, 1]), np.where(first, 0.0, m[1, 0]), np.where(first, 1.0, m[0, 0]))
+    y = np.append(x[1:], 1.0)
+    steps = (np.where(last, 0.0, m[1, 1] * y), np.where(last, 1.0, m[1, 0]), np.where(last, 0.0, m[0, 1] * y), np.where(last, 1.0, m[0, 0]))
+    back = ratios(*(s[::-1] for s in steps))[::-1]
+    return np.log(ahead) + np.log(back)
 
 
 def label_tokens(features: np.ndarray, bounds: np.ndarray, toxic: np.ndarray, least: int, purity: float = 0.95) -> np.ndarray:
@@ -190,42 +204,46 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, per_c
     return Field(w, move, (slope, intercept + odds - float(np.log(n1 / n0))))
 
 
-def tag(docs: DataFrame, field: Field, folds: int = 5, held: int = 0, cut: float = 0.5) -> DataFrame:
-    """doc_id, held_out, score, predicted and spans (start and end in code points, and marginal) of every whole text. The field has a fixed size."""
+def tag(docs: DataFrame, field: Field, folds: int = 5, held: int = 0, cut: float = 0.5, keep: Sequence[str] = ()) -> DataFrame:
+    """doc_id, held_out, score, predicted and spans (start and end in code points, and marginal) of every whole text, and in `kept` a struct of the columns named in keep. The field has a fixed size."""
     sent = docs.sparkSession.sparkContext.broadcast((field.weights.astype(np.float32), field.move, field.scale))
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("marginal", pa.float64())]))
+    names = ["doc_id", "held_out", "score", "predicted", "spans", "kept"]
+
+    def spans_of(words: Words, odds: np.ndarray) -> list[list[dict]]:
+        out: list[list[dict]] = [[] for _ in words.bounds[1:]]
+        bad = np.flatnonzero(odds >= 0)
+        if len(bad):
+            points = np.cumsum((words.buf & 0xC0) != 0x80)  # code points up to each byte
+            text = np.searchsorted(words.bounds, bad, "right") - 1
+            first = np.concatenate([[0], points])[words.offsets[text]]
+            start = points[words.start[bad]] - 1 - first
+            end = points[words.start[bad] + words.size[bad] - 1] - first
+            for d, a, b, z in zip(text.tolist(), start.tolist(), end.tolist(), odds[bad].tolist()):
+                out[d].append({"start": a, "end": b, "marginal": 1 / (1 + math.exp(-z))})
+        return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, move, (slope, intercept) = sent.value
         for batch in batches:
             texts = batch.column("text").to_pylist()
-            emission, sizes, places = [np.zeros(0)], [], {}
-            total = 0
             for a, b in slices([len(t) for t in texts], BATCH_CHARS):
                 words = Words(texts[a:b])
-                emission.append(weights[token_features(words)].sum(1, dtype=np.float64))
-                sizes.append(np.diff(words.bounds))
-                # Offsets are worked out only for words that may be toxic at all: their emission outweighs any change of state.
-                points = np.cumsum((words.buf & 0xC0) != 0x80)
-                first = np.concatenate([[0], points])[words.offsets[:-1]]
-                for i in np.flatnonzero(emission[-1] > -(np.abs(move).max() * 4)):
-                    d = int(np.searchsorted(words.bounds, i, "right") - 1)
-                    s = int(words.start[i])
-                    places[total + int(i)] = (int(points[s] - 1 - first[d]), int(points[s + words.size[i] - 1] - first[d]))
-                total += len(words.hash)
-            every = np.concatenate(emission)
-            bounds = np.concatenate([[0], np.cumsum(np.concatenate(sizes) if sizes else [])]).astype(np.int64)
-            odds = log_odds(every, bounds, move)
-            p = 1 / (1 + np.exp(-np.clip(slope * highest(odds, bounds) + intercept, -500, 500)))
-            spans = [[] for _ in texts]
-            for i in np.flatnonzero(odds >= 0).tolist():
-                if i in places:
-                    spans[int(np.searchsorted(bounds, i, "right") - 1)].append({"start": places[i][0], "end": places[i][1], "marginal": float(1 / (1 + np.exp(-odds[i])))})
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("held_out"), pa.array(p), pa.array((p >= cut).astype(np.int32)), pa.array(spans, span)], ["doc_id", "held_out", "score", "predicted", "spans"])
-
-    rows = documents(docs).withColumn("held_out", fold(F.col("doc_id"), folds) == held)
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int, spans array<struct<start:long,end:long,marginal:double>>")
+                odds = log_odds(weights[token_features(words)].sum(1, dtype=np.float64), words.bounds, move)
+                p = 1 / (1 + np.exp(-np.clip(slope * highest(odds, words.bounds) + intercept, -500, 500)))
+                own = batch.slice(a, b - a)
+                yield pa.RecordBatch.from_arrays([own.column("doc_id").cast(pa.int64()), own.column("held_out"), pa.array(p), pa.array((p >= cut).astype(np.int32)), pa.array(spans_of(words, odds), span), own.column("kept")], names)
+
+    kept = F.struct(F.lit(0).alias("none"), *keep).alias("kept")
+    rows = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"), kept, (fold(F.col("doc_id"), folds) == held).alias("held_out"))
+    return rows.mapInArrow(run, f"doc_id long, held_out boolean, score double, predicted int, spans array<struct<start:long,end:long,marginal:double>>, kept {rows.schema['kept'].dataType.simpleString()}")
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, cut: float = 0.5, **bounds: int) -> DataFrame:
-    return tag(docs, fit(docs, labels, folds, held, **bounds), folds, held, cut)
+    return tag(docs, fit(docs, labels, folds, held, **bounds), folds, held, cut).drop("kept")
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, cut: float = 0.5, **bounds: int) -> DataFrame:
+    """The documents, all columns, without those whose score is cut or more; rows that repeat a doc_id are judged each by its own text."""
+    tagged = tag(docs, fit(docs, labels, folds, held, **bounds), folds, held, cut, docs.columns)
+    return tagged.where("predicted = 0").select(*(F.col("kept")[c].alias(c) for c in docs.columns))
