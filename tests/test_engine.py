@@ -1,4 +1,7 @@
 import json
+import os
+import subprocess
+import sys
 
 import pytest
 from pyspark.sql import functions as F
@@ -70,3 +73,8 @@ def test_observed_rows(spark):
     t = tracked.track_filter(spark.range(10).toDF("x"), "x > 6", observe=True)
     assert t.result.count() == 3 and t.observation.get["rows"] == 3
     assert tracked.column_mapping(["a", "b"], ["a", "s"], "d", "o") == {"o.a": ["d.a"], "o.s": ["d.a", "d.b"]}
+
+
+def test_entry_is_imported_without_a_session():
+    home = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    assert subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; e.queries(), e.oracle_sql()"], cwd=home, timeout=120).returncode == 0

@@ -7,12 +7,11 @@ from pyspark.sql import functions as F
 
 from .scalars import null_if_empty, parse_time
 
-V = F.col("v")
 UUID = "^[0-9a-fA-F]{8}-?([0-9a-fA-F]{4}-?){3}[0-9a-fA-F]{12}$"
 
 
-def get(path: str, kind: str = "string", v: Column = V) -> Column:
-    return F.try_variant_get(v, f"$.{path}", kind)
+def get(path: str, kind: str = "string", v: Column | None = None) -> Column:
+    return F.try_variant_get(F.col("v") if v is None else v, f"$.{path}", kind)
 
 
 def as_json(v: Column) -> Column:
