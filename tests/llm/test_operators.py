@@ -161,6 +161,38 @@ def test_join_against_brute_force(spark, docs):
     assert ngram_join.classes(docs).count() == len(ODD) and ngram_join.classes(docs.limit(0)).count() == 0
 
 
+def test_join_compares_large_buckets_in_full(spark, monkeypatch):
+    """Pairs of near copies that share only one bucket, with many documents of the same passage, from whose leader pruning parts them."""
+    features = ngram_join._features
+    monkeypatch.setattr(ngram_join, "_features", lambda d: features(d).withColumn("keys", F.array(F.lit(1).cast("long"))))
+    monkeypatch.setattr(ngram_join, "WIDE", 16, raising=False)
+    passage, rows = prose(150, 60), []
+    for k in range(60):
+        own = prose(110, 1000 + k)
+        rows += [(2 * k, f"{passage} {own}"), (2 * k + 1, f"{passage} {own[: len(own) * 4 // 5]} {prose(15, 5000 + k)}")]
+    sets = [set(x.tolist()) for x in (Words([t]).shingles()[0] for _, t in rows)]
+    near = [len(x & y) / len(x | y) >= 0.8 for x, y in zip(sets[::2], sets[1::2])]
+    got = {r.doc_id: r for r in ngram_join.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(near) > 50
+    assert [got[2 * k].class_id == got[2 * k + 1].class_id and got[2 * k].n_links == 1 for k in range(60)] == near
+
+
+def test_blocks_find_all_roots_that_meet(monkeypatch):
+    monkeypatch.setattr(ngram_join, "TILE", 7)
+    r = np.random.default_rng(8)
+    base = r.integers(0, 9, (12, 96))
+    sig = np.where(r.random((80, 96)) < 0.85, base[r.integers(0, 12, 80)], r.integers(9, 60000, (80, 96))).astype(np.uint16)
+    least, root = ngram_join.least_matches(0.8, 1e-5), [bytes([i // 2]) for i in range(80)]
+    ok = np.all([(sig[:, None, : 16 * k + 16] == sig[None, :, : 16 * k + 16]).sum(2) >= f for k, f in enumerate(least)], 0)
+    for left, right in ((np.arange(80),) * 2, (np.arange(30), np.arange(30, 80))):
+        link = np.zeros((40, 40), bool)
+        i, j = np.nonzero(ok[np.ix_(left, right)])
+        link[left[i] // 2, right[j] // 2] = link[right[j] // 2, left[i] // 2] = True
+        want = ngram_join._forest(link | np.eye(40, dtype=bool))
+        got = ngram_join._met(root, sig, left, right, least)
+        assert {(a[0], b[0]) for a, b in got} == {(i, w) for i, w in enumerate(want.tolist()) if i != w} and got
+
+
 def test_components(spark):
     e = spark.createDataFrame([(i + 1, i) for i in range(40)] + [(100, 101), (102, 101)], "a long, b long")
     assert {r.node: r.root for r in components(e).collect()} == {**{i: 0 for i in range(41)}, 100: 100, 101: 100, 102: 100}

@@ -2,9 +2,10 @@
 
 1. Texts with equal shingle sets are one node; it carries the number of its documents.
 2. Candidates share one of BANDS bands of ROWS MinHash values. In a bucket of at most SMALL nodes all pairs are candidates; in
-   a larger one, each node and the bucket's leader, drawn anew for each band. A pair at similarity 0.8 shares no band with chance 4e-6.
+   a larger one, first each node and the bucket's leader, drawn anew for each band. A pair at similarity 0.8 shares no band with chance 4e-6.
 3. MinHash values of a pair are compared STEP by step. When the posterior probability (uniform prior) that its similarity reaches
-   the threshold is below `tolerance`, it is dropped.
+   the threshold is below `tolerance`, it is dropped. Then the larger buckets are compared in full, in blocks of some WIDE nodes
+   against each other: all pairs whose nodes are not in one component yet.
 4. Components of what is left are verified exactly, pair by pair, in blocks of some BLOCK nodes against each other: every node is counted
    its links, and each block gives the edges of a spanning forest. So a group of thousands of near copies is spread over
    tasks, and no row is made for a pair.
@@ -33,6 +34,7 @@ from .textnum import Words, mix, slices
 BANDS, ROWS = 24, 4
 HASHES = BANDS * ROWS
 STEP, SMALL, BLOCK = 16, 16, 192
+WIDE, TILE = 2048, 128
 BATCH_CHARS = 2_000_000
 _A = np.random.default_rng(91).integers(0, 2**31, HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _B = np.random.default_rng(92).integers(0, 2**31, HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -94,12 +96,16 @@ def _features(docs: DataFrame) -> DataFrame:
     return documents(docs).mapInArrow(run, "doc_id long, node binary, keys array<long>, sig binary")
 
 
-def _candidates(nodes: DataFrame) -> DataFrame:
-    """Pairs a < b of nodes that share a bucket."""
+def _buckets(nodes: DataFrame) -> DataFrame:
+    """key, n, node, leader of the buckets that nodes share."""
     placed = nodes.select("node", F.explode("keys").alias("key"))
     draw = F.struct(F.xxhash64("node", "key"), F.col("node"))
-    buckets = placed.groupBy("key").agg(F.count("*").alias("n"), F.min(draw).alias("draw")).where("n > 1").select("key", "n", F.col("draw.node").alias("leader"))
-    shared = placed.join(buckets, "key")
+    buckets = placed.groupBy("key").agg(F.count("*").alias("n"), F.min(draw).alias("draw")).where("n > 1").select("key", "n", F.when(F.col("n") > SMALL, F.col("draw.node")).alias("leader"))
+    return placed.join(buckets, "key").select("key", "n", "node", "leader")
+
+
+def _candidates(shared: DataFrame) -> DataFrame:
+    """Pairs a < b of nodes: all of a small bucket, and those with its leader of a larger one."""
     small = shared.where(F.col("n") <= SMALL).select("key", "node")
     # At most SMALL rows a group: their pairs are bounded by SMALL / 2 for each node.
     group = small.groupBy("key").agg(F.sort_array(F.collect_list("node")).alias("g"))
@@ -126,6 +132,94 @@ def _pruned(pairs: DataFrame, nodes: DataFrame, threshold: float, tolerance: flo
     return both.mapInArrow(run, "a binary, b binary")
 
 
+def _met(root: list[bytes], sig: np.ndarray, left: np.ndarray, right: np.ndarray, least: list[int]) -> list[tuple[bytes, bytes]]:
+    """Pairs of roots that join all roots of which a node of left and one of right survive pruning."""
+    names = sorted(set(root))
+    number = {x: i for i, x in enumerate(names)}
+    own, top = np.array([number[x] for x in root]), np.arange(len(names))
+    within = left is right
+    values = np.ascontiguousarray(sig.T)
+    for a in range(0, len(left), TILE):
+        rows, cols = left[a : a + TILE], right[a:] if within else right
+        live = top[own[rows]][:, None] != top[own[cols]][None, :]
+        if not live.any():
+            continue
+        x, y = values[:, rows], values[:, cols]
+        matches, pair = np.zeros(live.shape, np.uint8), None
+        for k, floor in enumerate(least):
+            part = slice(k * STEP, (k + 1) * STEP)
+            if pair is None:
+                for h in range(part.start, part.stop):
+                    matches += x[h][:, None] == y[h][None, :]
+                live &= matches >= floor
+                if np.count_nonzero(live) * 32 < live.size:
+                    pair = np.nonzero(live)
+                    held = matches[pair].astype(np.int64)
+            else:
+                held += (x[part, pair[0]] == y[part, pair[1]]).sum(0)
+                kept = held >= floor
+                pair, held = (pair[0][kept], pair[1][kept]), held[kept]
+        i, j = np.nonzero(live) if pair is None else pair
+        while True:
+            u, v = top[own[rows[i]]], top[own[cols[j]]]
+            if (u == v).all():
+                break
+            np.minimum.at(top, np.maximum(u, v), np.minimum(u, v))
+            while (top[top] != top).any():
+                top = top[top]
+    return [(names[i], names[t]) for i, t in enumerate(top.tolist()) if i != t]
+
+
+def _completed(shared: DataFrame, nodes: DataFrame, groups: DataFrame, threshold: float, tolerance: float) -> DataFrame:
+    """groups (node, root), joined where any two nodes of a larger bucket survive pruning. Pairs inside a group need no look, as all of them are verified."""
+    least = least_matches(threshold, tolerance)
+    large = shared.where(F.col("n") > SMALL).select("key", "node").join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    # A group that fills blocks of a bucket has them for itself, and they aren't compared with each other.
+    own = large.groupBy("key", "root").agg(F.count("*").alias("m")).withColumn("full", F.when(F.col("m") >= WIDE, F.ceil(F.col("m") / WIDE)).otherwise(0).cast("int"))
+    mixed = own.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.sum(F.when(F.col("full") == 0, F.col("m")).otherwise(0)).alias("rest"))
+    mixed = mixed.where("lo < hi").select("key", F.greatest(F.lit(1), F.ceil(F.col("rest") / WIDE)).cast("int").alias("rest"))
+    full = F.col("full") > 0
+    number = F.pmod(F.xxhash64("node"), F.when(full, F.col("full")).otherwise(F.col("rest"))).cast("int")
+    placed = large.join(own, ["key", "root"]).join(mixed, "key").select("key", F.when(full, F.col("root")).otherwise(F.lit(b"")).alias("owner"), number.alias("number"), "node", "root")
+    placed = materialise(placed, "contested")
+    if placed.isEmpty():
+        return groups
+    blocks = placed.select("key", F.struct("owner", "number").alias("block")).distinct()
+    cells = blocks.select("key", F.col("block").alias("x")).join(blocks.select("key", F.col("block").alias("y")), "key")
+    cells = cells.where((F.col("x") <= F.col("y")) & ((F.col("x.owner") != F.col("y.owner")) | (F.col("x.owner") == F.lit(b""))))
+    cells = cells.withColumn("cell", F.xxhash64("key", "x.owner", "x.number", "y.owner", "y.number"))
+    sides = cells.select("key", "x.*", "cell", F.lit(0).alias("side")).unionByName(cells.where("x != y").select("key", "y.*", "cell", F.lit(1).alias("side")))
+    rows = placed.join(sides, ["key", "owner", "number"]).select("cell", "side", "node", "root").join(nodes.select("node", "sig"), "node")
+    dealt = rows.select("cell", "side", "root", "sig").repartition(tasks_for(nodes.sparkSession), "cell").sortWithinPartitions("cell")
+
+    def compared(rows: list[tuple]) -> list[tuple[bytes, bytes]]:
+        side = np.array([r[1] for r in rows])
+        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        sig = np.frombuffer(b"".join(r[3] for r in rows), "<u2").reshape(-1, HASHES)
+        return _met([r[2] for r in rows], sig, left, right if len(right) else left, least)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        for batch in batches:
+            out = []
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if held and row[0] != held[0][0]:
+                    out += compared(held)
+                    held = []
+                held.append(row)
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.binary()) for k in (0, 1)], ["a", "b"])
+        if held:
+            out = compared(held)
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.binary()) for k in (0, 1)], ["a", "b"])
+
+    met = materialise(dealt.mapInArrow(run, "a binary, b binary").distinct(), "met")
+    if met.isEmpty():
+        return groups
+    tops = components(met).select(F.col("node").alias("root"), F.col("root").alias("top"))
+    every = groups.unionByName(tops.select(F.col("root").alias("node"), "root")).distinct()
+    return materialise(every.join(tops, "root", "left").select("node", F.coalesce("top", "root").alias("root")), "groups")
+
+
 def _linked(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, threshold: float) -> np.ndarray:
     """left x right: whether two sets' Jaccard similarity reaches the threshold."""
     sizes = np.array([len(s) for s in sets])
@@ -217,8 +311,10 @@ def classes(docs: DataFrame, threshold: float = 0.8, tolerance: float = 1e-5) ->
     rows = materialise(_features(docs), "features")
     grouped = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.min("keys").alias("keys"), F.min("sig").alias("sig"))
     nodes = materialise(grouped, "nodes")
-    pairs = materialise(_pruned(_candidates(nodes), nodes, threshold, tolerance), "pairs")
-    verified = materialise(_verified(docs, nodes, components(pairs), threshold), "links")
+    shared = materialise(_buckets(nodes), "buckets")
+    pairs = materialise(_pruned(_candidates(shared), nodes, threshold, tolerance), "pairs")
+    groups = _completed(shared, nodes, components(pairs), threshold, tolerance)
+    verified = materialise(_verified(docs, nodes, groups, threshold), "links")
     roots = components(verified.where("a != b").select("a", "b"))
     links = verified.groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
     known = nodes.select("node", "doc_id", "copies").join(links, "node", "left").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
