@@ -133,6 +133,16 @@ def test_decontamination_against_brute_force(spark, docs):
     assert decontam.leaks(rows, bench.limit(0)).count() == 0 and decontam.leaks(rows.limit(0), bench).count() == 0
 
 
+def test_decontamination_finds_items_cut_short(spark):
+    item, short = prose(59, 300).split(), prose(3, 301)
+    texts = [(1, item[:56]), (2, item[3:]), (3, item[:40]), (4, item), (5, prose(56, 302).split()), (6, short.split()[:2])]
+    rows = spark.createDataFrame([(i, " ".join(t)) for i, t in texts], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, " ".join(item)), (2, short)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (round(r.similarity, 3), r.first_word, r.n_words) for r in decontam.leaks(rows, bench).collect()}
+    assert got == {(1, 1): (0.945, 0, 56), (2, 1): (0.945, 0, 56), (4, 1): (1.0, 0, 59)}
+    assert {r.doc_id for r in decontam.clean(rows, bench).collect()} == {3, 5, 6}
+
+
 def test_hamming_index_finds_all_within_radius():
     r = np.random.default_rng(2)
     items = r.integers(0, 256, (40, 32), dtype=np.uint8)

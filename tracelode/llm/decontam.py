@@ -9,6 +9,8 @@ fingerprints differ in 39 bits on average, with a deviation of 6, so the radius
 Windows that can't reach the threshold aren't fingerprinted: one in which fewer than that share of the shingles occur in any
 item. (Weighted similarity is at most that share.) So the work follows the passages, not the corpus.
 
+A document of fewer words than an item, an item cut short, is one window as a whole, and is held against all longer items.
+
 Items are taken in blocks of at most ITEMS_AT_ONCE items and WORDS_AT_ONCE words, a pass over the documents each: what is
 sent to executors is bounded.
 
@@ -124,6 +126,16 @@ class Items:
         return out
 
 
+    def longer(self, shingles: np.ndarray, hit: np.ndarray, threshold: float, words: int) -> list[tuple[int, float, int, int]]:
+        """(item row, similarity, 0, words) for a whole document and items of more words than it has."""
+        n = len(shingles)
+        if hit.sum() < threshold * n - 1e-9:
+            return []
+        _, item = self.index.search(window_simhash(shingles, np.zeros(1, int), n))
+        near = [(i, weighted_jaccard(shingles, self.shingles[i])) for i in item[self.words[item] > words]]
+        return [(int(self.rows[i]), x, 0, words) for i, x in near if x >= threshold - 1e-12]
+
+
 _BUILT: dict[int, Items] = {}
 
 
@@ -190,6 +202,11 @@ def _pass(docs: DataFrame, block: list[tuple[int, str]], threshold: float, schem
                             run_, own = shingles[bounds[d] : bounds[d + 1]], hit[bounds[d] : bounds[d + 1]]
                         if len(run_) and own.any():
                             out += [(docs[a + d], *m) for m in items.matches(run_, own, threshold, int(length), 0)]
+                # A shorter text than a shingle has none in common with a longer one.
+                for d in live:
+                    if SHINGLE <= counts[d] < items.lengths[-1]:
+                        own = slice(bounds[d], bounds[d + 1])
+                        out += [(docs[a + d], *m) for m in items.longer(shingles[own], hit[own], threshold, int(counts[d]))]
             best: dict = {}
             for i, (doc, item, similarity, first, n) in enumerate(out):
                 if (k := (doc, item)) not in best or similarity > best[k][0]:
