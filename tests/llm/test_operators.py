@@ -95,6 +95,17 @@ def test_plan_holds_every_piece():
     assert (held == counts).all() and sum(n for _, n in chosen) <= 1.01 * (counts * np.arange(301)).sum() / 300 + 1
 
 
+def test_few_equal_pieces_share_a_sequence(spark):
+    for length, n in ((1, 3), (20, 203), (20, 205), (4096, 2), (1500, 3)):
+        counts = np.zeros(4097, np.int64)
+        counts[length] = n
+        chosen = packing.plan(counts, 4096)
+        assert sum(len(x) * r for x, r in chosen) == n and sum(r for _, r in chosen) == -(-n // (4096 // length))
+    empty = spark.createDataFrame([(1, ""), (2, None), (3, "")], "doc_id long, text string")
+    got = packing.pack_documents(empty, tokenizer_path(WORD), 1, 4096).collect()
+    assert len({r.sequence_id for r in got}) == 1 and sorted(r.offset for r in got) == [0, 1, 2]
+
+
 def test_digest(docs):
     order = sorted(ODD, key=lambda x: (x[0] is not None, x[0] or 0, x[1] or ""))
     texts = [t or "" for _, t in order]

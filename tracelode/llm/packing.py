@@ -93,7 +93,7 @@ def best_fit(counts: np.ndarray, budget: int) -> list[tuple[tuple[int, ...], int
                     bins[room].append((lengths, repeats - used))
             else:
                 room, lengths, used = budget, (), left
-            most = 1 if lengths or used < room // length else room // length  # fresh bins take as many as they hold
+            most = 1 if lengths else min(used, room // length)  # fresh bins take as many as they hold
             whole = used // most if most > 1 else used
             if most > 1:
                 used = whole * most
