@@ -61,6 +61,15 @@ def test_closure_ends_in_cycles_and_on_nothing(spark):
     assert {r.node for r in graph.in_cycles(e).collect()} == {"a", "b", "c"}
 
 
+def test_closure_has_no_depth_of_its_own(spark):
+    e = spark.range(1300).selectExpr("id AS source", "id + 1 AS target")
+    seed = spark.createDataFrame([(0,)], "node long")
+    got = {r.node: r.depth for r in graph.closure(e, seed).collect()}
+    assert got == {i: i for i in range(1, 1301)}
+    assert sorted(r.node for r in graph.closure(e, seed, 5).collect()) == [1, 2, 3, 4, 5]
+    assert graph.impact(e, seed).first()[1:] == (1300, 1300)
+
+
 def test_guard(spark):
     spark.range(5).createOrReplaceTempView("runtime_events")
     assert guard.guarded_sql(spark, "SELECT * FROM runtime_events", limit=2).count() == 2

@@ -31,29 +31,31 @@ def frame_column_edges(frames: DataFrame) -> DataFrame:
     return rows.select(part("s", 0).alias("source"), part("s", 1).alias("source_column"), part("t", 0).alias("target"), part("t", 1).alias("target_column"))
 
 
-def closure(edges: DataFrame, seeds: DataFrame, max_depth: int = 1000) -> DataFrame:
+def closure(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None) -> DataFrame:
     """seeds: node. Returns seed, node, depth for all that edges (source, target) reach; depth is the shortest way. Cycles end by themselves.
 
-    Each round joins the last round's new nodes alone; visited pairs are written, not kept in a growing plan."""
-    hops = settled(edges.select("source", "target").distinct(), "hops")
-    front = seeds.select(F.col("node").alias("seed"), "node").distinct().withColumn("depth", F.lit(0))
-    found = None
-    for depth in range(1, max_depth + 1):
-        step = front.join(hops, front["node"] == hops["source"]).select("seed", F.col("target").alias("node")).distinct()
-        if found is not None:
-            step = step.join(found.select("seed", "node"), ["seed", "node"], "left_anti")
-        front = settled(step.withColumn("depth", F.lit(depth)), "front")
-        if front.isEmpty():
+    Each round doubles the depth: `found` holds all ways of up to `reach` edges, `jump` the ends of ways of exactly so many. When a
+    round finds no new pair, none lies farther. Both are written, not kept in a growing plan. max_depth: how far to look (None: all the way)."""
+    jump = settled(edges.select("source", "target").distinct(), "hops")
+    start = seeds.select(F.col("node").alias("seed")).distinct()
+    found = settled(start.join(jump, start["seed"] == jump["source"]).select("seed", F.col("target").alias("node"), F.lit(1).alias("depth")), "found")
+    n, reach = found.count(), 1
+    while n and (max_depth is None or reach < max_depth):
+        far = found.join(jump, found["node"] == jump["source"]).select("seed", F.col("target").alias("node"), (F.col("depth") + reach).alias("depth"))
+        found = settled(found.unionByName(far).groupBy("seed", "node").agg(F.min("depth").alias("depth")), "found")
+        before, n = n, found.count()
+        if n == before:
             break
-        found = front if found is None else found.unionByName(front)
-    return front.limit(0) if found is None else found
+        on = jump.select(F.col("source").alias("target"), F.col("target").alias("end"))
+        jump, reach = settled(jump.join(on, "target").select("source", F.col("end").alias("target")).distinct(), "jump"), reach * 2
+    return found if max_depth is None else found.where(F.col("depth") <= max_depth)
 
 
-def upstream(edges: DataFrame, seeds: DataFrame, max_depth: int = 1000) -> DataFrame:
+def upstream(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None) -> DataFrame:
     return closure(edges.select(F.col("target").alias("source"), F.col("source").alias("target")), seeds, max_depth)
 
 
-def impact(edges: DataFrame, changed: DataFrame, max_depth: int = 1000) -> DataFrame:
+def impact(edges: DataFrame, changed: DataFrame, max_depth: int | None = None) -> DataFrame:
     """How many nodes lie downstream of each changed one, and how far."""
     return closure(edges, changed, max_depth).groupBy("seed").agg(F.countDistinct("node").alias("n_nodes"), F.max("depth").alias("max_depth"))
 
