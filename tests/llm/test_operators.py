@@ -1,6 +1,7 @@
 import hashlib
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -144,6 +145,59 @@ def test_decontamination_against_brute_force(spark, docs):
     assert decontam.leaks(rows, bench.limit(0)).count() == 0 and decontam.leaks(rows.limit(0), bench).count() == 0
 
 
+def test_decontamination_against_every_window(spark, monkeypatch):
+    """All windows of all texts held against all items, by counting shingles; the passages in tiny pieces, the items in blocks of three."""
+    monkeypatch.setattr(decontam, "PIECE", 8)
+    monkeypatch.setattr(decontam, "ITEMS_AT_ONCE", 3)
+    r = random.Random(40)
+    items = [(k if k % 5 else None, prose(n, 400 + k)) for k, n in enumerate((5, 6, 9, 14, 30, 31, 45, 60, 2, 30))]
+    items += [(20, items[4][1]), (21, " ".join(["same"] * 12)), (22, " ".join(items[6][1].split()[:40] + ["a", "b"]))]
+
+    def edited(words):
+        out = list(words)
+        for _ in range(r.randint(0, 1 + len(out) // 20)):
+            out[r.randrange(len(out))] = r.choice(VOCAB)
+        return out[r.choice((0, 0, 1, 3)) : len(out) - r.choice((0, 0, 2))]
+
+    texts = []
+    for k in range(160):
+        parts = [w for _ in range(r.choice((1, 1, 2, 3))) for w in [*prose(r.choice((0, 0, 4, 30)), 900 + k).split(), *edited(r.choice(items)[1].split())]]
+        texts.append((k // 2 if k % 9 else None, " ".join(parts)))
+    texts.append((500, " ".join(["same"] * 40)))
+    grams = lambda w: [tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))]
+
+    def similarity(x, y):
+        a, b = Counter(grams(x)), Counter(grams(y))
+        return (a & b).total() / (a | b).total()
+
+    want, bad = {}, set()
+    for i, t in texts:
+        w = t.split()
+        for j, u in items:
+            v = u.split()
+            n = len(v)
+            spans = [(0, len(w))] if 5 <= len(w) < n else [(at, n) for at in range(len(w) - n + 1)]
+            for at, n in spans:
+                if (s := similarity(w[at : at + n], v)) >= 0.8:
+                    bad.add((i, t))
+                    want[i, j] = max((s, -at, n), want.get((i, j), (0, 0, 0)))
+    df, bench = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    for n in (1, 7):
+        got = {(r.doc_id, r.item_id): (r.similarity, -r.first_word, r.n_words) for r in decontam.leaks(df.repartition(n), bench.repartition(n)).collect()}
+        assert got == want and len(want) > 60
+    assert sorted((r.doc_id or -1, r.text) for r in decontam.clean(df, bench).collect()) == sorted((i or -1, t) for i, t in texts if (i, t) not in bad)
+
+
+def test_window_sums_need_no_whole_text():
+    shingles = np.random.default_rng(6).integers(0, 2**63, 9000, dtype=np.uint64)
+    starts = np.array([0, 3, 2047, 2048, 5000, 8990])
+    signs = decontam._signs(shingles).astype(int)
+    want = np.array([np.packbits(signs[a : a + 10].sum(0) > 0) for a in starts])
+    assert (decontam.window_simhash(shingles, starts, 10) == want).all()
+    long = np.packbits(signs[5:8005].sum(0) > 0)
+    assert (decontam.window_simhash(shingles, np.array([5]), 8000) == long).all()
+
+
 def test_decontamination_finds_items_cut_short(spark):
     item, short = prose(59, 300).split(), prose(3, 301)
     texts = [(1, item[:56]), (2, item[3:]), (3, item[:40]), (4, item), (5, prose(56, 302).split()), (6, short.split()[:2])]

@@ -6,51 +6,62 @@ as many words as an item has are fingerprinted likewise. Sixteen blocks of 16 bi
 item within the radius. Candidates are then verified by exact weighted Jaccard similarity of shingles. At similarity 0.8,
 fingerprints differ in 39 bits on average, with a deviation of 6, so the radius lies four deviations away.
 
-Windows that can't reach the threshold aren't fingerprinted: one in which fewer than that share of the shingles occur in any
-item. (Weighted similarity is at most that share.) So the work follows the passages, not the corpus.
+The documents are read once. Windows that can't reach the threshold, as fewer than that share of their shingles occur in any
+item, aren't fingerprinted (weighted similarity is at most that share); the others, joined where they overlap, are written as
+passages: their shingles alone, cut into pieces of a bounded length. A filter of a bounded number of bits (2**MOST_BITS), which
+may only err by letting too much through, says which shingles occur. Passages are then held against the items in blocks of at most
+ITEMS_AT_ONCE items and WORDS_AT_ONCE words, one block after the other: what is sent to executors is bounded, and the work
+follows the passages, not the corpus.
 
 A document of fewer words than an item, an item cut short, is one window as a whole, and is held against all longer items.
 
-Items are taken in blocks of at most ITEMS_AT_ONCE items and WORDS_AT_ONCE words, a pass over the documents each: what is
-sent to executors is bounded.
-
 Cases: null texts count as empty, and items without words match nothing; items of one to four words have one shingle, all
-their words, and windows of that length likewise; equal items are reported each; null doc_ids and item_ids are kept; an empty
-table on either side gives an empty result; other columns aren't read.
+their words, and windows of that length likewise; equal items are reported each, once for each item_id; rows that repeat a doc_id share
+their rows in the result, which tell of the best window in any of them, but are kept or dropped each by its own text; null doc_ids and
+item_ids are kept; an empty table on either side gives an empty result; other columns aren't read.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
-from functools import reduce
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents
-from .textnum import SHINGLE, Words, mix, slices
+from .common import documents, materialise, scratch_dir
+from .textnum import SHINGLE, Words, mix, short_runs, slices
 
 BITS, BLOCKS, RADIUS = 256, 16, 63
-ITEMS_AT_ONCE, WORDS_AT_ONCE = 1024, 1 << 21
-BATCH_CHARS = 4_000_000
-_BLOOM = 22
+ITEMS_AT_ONCE, WORDS_AT_ONCE = 512, 1 << 21
+BATCH_CHARS = 1_000_000
+LEAST_BITS, MOST_BITS = 22, 27
+PIECE, STEP = 1 << 15, 2048
 _NEAR = np.array(sorted({sum(1 << b for b in c) for k in range(RADIUS // BLOCKS + 1) for c in combinations(range(16), k)}), np.uint32)
 
 
 def _signs(shingles: np.ndarray) -> np.ndarray:
     """For each shingle 256 values of -1 or 1."""
     words = np.stack([mix(shingles + np.uint64(0x9E3779B97F4A7C15 * (k + 1) % 2**64)) for k in range(BITS // 64)], 1)
-    return np.unpackbits(words.view(np.uint8), axis=1).astype(np.int16) * 2 - 1
+    return np.unpackbits(words.view(np.uint8), axis=1).astype(np.int8) * 2 - 1
 
 
 def window_simhash(shingles: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
-    """Fingerprints (rows of 32 bytes) of the runs of n shingles at starts; a shingle weighs as often as it occurs."""
-    sums = np.zeros((len(shingles) + 1, BITS), np.int32)
-    np.cumsum(_signs(shingles), 0, out=sums[1:])
-    return np.packbits(sums[starts + n] - sums[starts] > 0, axis=1)
+    """Fingerprints (rows of 32 bytes) of the runs of n shingles at starts; a shingle weighs as often as it occurs.
+
+    Sums are kept at the runs' edges only, so memory follows the number of runs, however long they are."""
+    edges = np.unique(np.concatenate([starts, starts + n]))
+    sums, so_far, low = np.zeros((len(edges), BITS), np.int32), np.zeros(BITS, np.int32), edges[0] if len(edges) else 0
+    for a in range(low, edges[-1] if len(edges) else 0, STEP):
+        part = np.cumsum(_signs(shingles[a : min(a + STEP, edges[-1])]), 0, dtype=np.int32) + so_far
+        lo, hi = np.searchsorted(edges, [a, a + STEP], "right")
+        sums[lo:hi] = part[edges[lo:hi] - a - 1]
+        so_far = part[-1]
+    return np.packbits(sums[np.searchsorted(edges, starts + n)] - sums[np.searchsorted(edges, starts)] > 0, axis=1)
 
 
 def weighted_jaccard(x: np.ndarray, y: np.ndarray) -> float:
@@ -61,6 +72,11 @@ def weighted_jaccard(x: np.ndarray, y: np.ndarray) -> float:
     return both / (len(x) + len(y) - both)
 
 
+def _enough(sums: np.ndarray, n: int, threshold: float) -> np.ndarray:
+    """Starts of the windows of n shingles of which that share is known; sums: of known shingles before each place."""
+    return np.flatnonzero(sums[n:] - sums[:-n] >= threshold * n - 1e-9)
+
+
 class HammingIndex:
     """Finds all items within RADIUS of a fingerprint."""
 
@@ -85,136 +101,213 @@ class HammingIndex:
 
 
 class Items:
-    """A block of items: their shingles, lengths and index, and a test of which shingles occur in any."""
-
-    def __init__(self, texts: list[str]):
-        words = Words(texts)
-        shingles, bounds = words.shingles()
-        n = np.diff(words.bounds)
-        self.rows = np.flatnonzero(n > 0)
-        self.words = n[self.rows]
-        self.shingles = [shingles[bounds[i] : bounds[i + 1]] for i in self.rows]
-        self.every = np.unique(shingles)
-        self.bloom = np.zeros(1 << _BLOOM, bool)
-        self.bloom[self.every >> np.uint64(64 - _BLOOM)] = True
-        self.lengths = np.unique(self.words)
-        prints = [window_simhash(s, np.zeros(1, int), len(s)) for s in self.shingles]
-        self.index = HammingIndex(np.concatenate(prints)) if prints else None
+    """A block of items: their shingles, numbers of words and index."""
 
-    def known(self, shingles: np.ndarray) -> np.ndarray:
-        hit = self.bloom[shingles >> np.uint64(64 - _BLOOM)]
-        some = np.flatnonzero(hit)
-        hit[some] = np.isin(shingles[some], self.every)
-        return hit
+    def __init__(self, rows: list[tuple[int | None, int, bytes]]):
+        self.ids, self.words = [r[0] for r in rows], np.array([r[1] for r in rows])
+        self.shingles = [np.frombuffer(r[2], "<u8") for r in rows]
+        self.every = np.unique(np.concatenate(self.shingles))
+        self.lengths = np.unique(self.words)
+        self.index = HammingIndex(np.concatenate([window_simhash(s, np.zeros(1, int), len(s)) for s in self.shingles]))
 
-    def matches(self, shingles: np.ndarray, hit: np.ndarray, threshold: float, length: int, first: int) -> list[tuple[int, float, int, int]]:
-        """(item row, similarity, word, words) for windows of `length` words among a run of shingles whose first stands at word `first`."""
+    def matches(self, shingles: np.ndarray, sums: np.ndarray, threshold: float, length: int) -> Iterator[tuple[int, float, int]]:
+        """(item, similarity, start) for the windows of `length` words among a run of shingles."""
         n = max(1, length - SHINGLE + 1)
-        sums = np.concatenate([[0], np.cumsum(hit)])
-        starts = np.flatnonzero(sums[n:] - sums[:-n] >= threshold * n - 1e-9)
-        out = []
-        for a in range(0, len(starts), 4096):
-            part = starts[a : a + 4096]
-            low = part[0]
-            query, item = self.index.search(window_simhash(shingles[low : part[-1] + n], part - low, n))
+        starts = _enough(sums, n, threshold)
+        for a in range(0, len(starts), STEP):
+            part = starts[a : a + STEP]
+            query, item = self.index.search(window_simhash(shingles, part, n))
             fits = self.words[item] == length
-            for q, i in zip(query[fits], item[fits]):
-                at = part[q]
+            for at, i in zip(part[query[fits]].tolist(), item[fits].tolist()):
                 similarity = weighted_jaccard(shingles[at : at + n], self.shingles[i])
                 if similarity >= threshold - 1e-12:
-                    out.append((int(self.rows[i]), similarity, int(first + at), int(length)))
-        return out
+                    yield i, similarity, at
 
+    def longer(self, shingles: np.ndarray, threshold: float, words: int) -> Iterator[tuple[int, float, int]]:
+        """Likewise for a whole document and items of more words than it has."""
+        _, item = self.index.search(window_simhash(shingles, np.zeros(1, int), len(shingles)))
+        for i in item[self.words[item] > words].tolist():
+            similarity = weighted_jaccard(shingles, self.shingles[i])
+            if similarity >= threshold - 1e-12:
+                yield i, similarity, 0
 
-    def longer(self, shingles: np.ndarray, hit: np.ndarray, threshold: float, words: int) -> list[tuple[int, float, int, int]]:
-        """(item row, similarity, 0, words) for a whole document and items of more words than it has."""
-        n = len(shingles)
-        if hit.sum() < threshold * n - 1e-9:
-            return []
-        _, item = self.index.search(window_simhash(shingles, np.zeros(1, int), n))
-        near = [(i, weighted_jaccard(shingles, self.shingles[i])) for i in item[self.words[item] > words]]
-        return [(int(self.rows[i]), x, 0, words) for i, x in near if x >= threshold - 1e-12]
 
+class Known:
+    """A filter of the items' shingles, and the items' numbers of words."""
 
-_BUILT: dict[int, Items] = {}
+    def __init__(self, bits: np.ndarray, lengths: list[int]):
+        self.bits, self.lengths = bits, lengths
+        self.shift = np.uint64(64 - (len(bits) * 8).bit_length() + 1)
 
+    def __call__(self, shingles: np.ndarray) -> np.ndarray:
+        at = shingles >> self.shift
+        return (self.bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
 
-def _short_runs(words: Words, lo: int, hi: int, length: int) -> np.ndarray:
-    """Shingles of exactly `length` words, fewer than five, at each place of a text."""
-    from .textnum import _K
 
-    n = hi - lo - length + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64)
-    return mix(sum(words.hash[lo + j : lo + j + n] * _K[j] for j in range(length)) + np.uint64(length))
+def _items(benchmark: DataFrame) -> DataFrame:
+    """item_id, words, shingles (as bytes) and part, block: each part's items in blocks of a bounded size."""
 
-
-def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
-    """Items in blocks of a bounded size; rows stream through the driver a partition at a time."""
-    held, size = [], 0
-    for row in benchmark.select("item_id", F.coalesce("text", F.lit("")).alias("text")).toLocalIterator():
-        n = len(row["text"].split())
-        if held and (len(held) >= ITEMS_AT_ONCE or size + n > WORDS_AT_ONCE):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, block, held, size = TaskContext.get().partitionId(), 0, 0, 0
+        for batch in batches:
+            ids, texts, out = batch.column(0).to_pylist(), batch.column(1).to_pylist(), []
+            for a, b in slices([len(t) for t in texts], BATCH_CHARS):
+                words = Words(texts[a:b])
+                shingles, bounds = words.shingles()
+                for i, n in enumerate(np.diff(words.bounds).tolist()):
+                    if n:
+                        if held and (held >= ITEMS_AT_ONCE or size + n > WORDS_AT_ONCE):
+                            block, held, size = block + 1, 0, 0
+                        held, size = held + 1, size + n
+                        out.append((ids[a + i], n, shingles[bounds[i] : bounds[i + 1]].tobytes(), part, block))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate((pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.int32()))], ["item_id", "words", "shingles", "part", "block"])
+
+    return benchmark.select("item_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "item_id long, words int, shingles binary, part int, block int")
+
+
+def _passes(blocks: list) -> Iterator[list[tuple[int, int]]]:
+    """Blocks in groups that keep the bounds together."""
+    held, items, words = [], 0, 0
+    for b in blocks:
+        if held and (items + b["items"] > ITEMS_AT_ONCE or words + b["words"] > WORDS_AT_ONCE):
             yield held
-            held, size = [], 0
-        held.append((row["item_id"], row["text"]))
-        size += n
+            held, items, words = [], 0, 0
+        held.append((b["part"], b["block"]))
+        items, words = items + b["items"], words + b["words"]
     if held:
         yield held
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """A row for each document and item of which the document holds a near copy: doc_id, item_id, similarity of the best window, its first word and its number of words."""
-    schema = "doc_id long, item_id long, similarity double, first_word long, n_words long"
-    found = [_pass(docs, block, threshold, schema) for block in _blocks(benchmark)]
-    return reduce(DataFrame.union, found) if found else docs.sparkSession.createDataFrame([], schema)
+def _filter(items: DataFrame, shingles: int) -> np.ndarray:
+    """The items' shingles as set bits; tasks send their bits in slices, and slices are joined."""
+    width = min(MOST_BITS, max(LEAST_BITS, (32 * shingles).bit_length()))
+    size, cut = 1 << width - 3, 1 << 14
+
+    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = np.zeros(size, np.uint8)
+        for batch in batches:
+            for s in batch.column(0).to_pylist():
+                at = np.frombuffer(s, "<u8") >> np.uint64(64 - width)
+                np.bitwise_or.at(own, (at >> np.uint64(3)).astype(np.int64), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
+        some = np.flatnonzero(own.reshape(-1, cut).any(1))
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([own[k * cut : (k + 1) * cut].tobytes() for k in some], pa.binary())], ["k", "bits"])
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own: dict[int, np.ndarray] = {}  # at most a task's share of the filter
+        for batch in batches:
+            for k, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                own[k] = own[k] | np.frombuffer(b, np.uint8) if k in own else np.frombuffer(b, np.uint8)
+        yield pa.RecordBatch.from_arrays([pa.array(list(own), pa.int32()), pa.array([b.tobytes() for b in own.values()], pa.binary())], ["k", "bits"])
 
+    out = np.zeros(size, np.uint8)
+    for k, b in items.select("shingles").mapInArrow(bits, "k int, bits binary").repartition(8, "k").mapInArrow(joined, "k int, bits binary").collect():
+        out[k * cut : (k + 1) * cut] = np.frombuffer(b, np.uint8)
+    return out
 
-def _pass(docs: DataFrame, block: list[tuple[int, str]], threshold: float, schema: str) -> DataFrame:
-    sent = docs.sparkSession.sparkContext.broadcast(block)
-    key = hash(tuple(block))
+
+_PASSAGE = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("size", pa.int32()), ("first_word", pa.int64()), ("whole", pa.int64()), ("shingles", pa.binary())])
+
+
+def _runs(covered: np.ndarray, reach: int) -> Iterator[tuple[int, int]]:
+    """From and to of the runs of True, in pieces that overlap by the longest window."""
+    edge = np.flatnonzero(np.diff(covered, prepend=False, append=False))
+    for a, b in zip(edge[::2].tolist(), edge[1::2].tolist()):
+        for at in range(a, max(a + 1, b - reach + 1), PIECE):
+            yield at, min(b, at + PIECE + reach - 1)
+
+
+def _passages(docs: DataFrame, known: Known, threshold: float) -> DataFrame:
+    """Runs of shingles in which a window may match: doc_id, h (of the text), size (words a shingle), first_word, whole (words of the document, if it is one window as a whole), shingles."""
+    sent = docs.sparkSession.sparkContext.broadcast((known.bits, known.lengths))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Known(*sent.value)
+        full, short = [n - SHINGLE + 1 for n in known.lengths if n >= SHINGLE], [n for n in known.lengths if n < SHINGLE]
+        for batch in batches:
+            ids, hashes, texts = (c.to_pylist() for c in batch.columns)
+            for a, b in slices([len(t) for t in texts], BATCH_CHARS):
+                words, out = Words(texts[a:b]), []
+                shingles, bounds = words.shingles()
+                hit, counts = known(shingles), np.diff(words.bounds)
+                before = np.concatenate([[0], np.cumsum(hit)])
+                for d in np.flatnonzero((before[bounds[1:]] > before[bounds[:-1]]) & (counts >= SHINGLE)).tolist():
+                    own = shingles[bounds[d] : bounds[d + 1]]
+                    sums, edge = before[bounds[d] : bounds[d + 1] + 1], np.zeros(len(own) + 1, np.int32)
+                    for n in full:
+                        if n <= len(own):
+                            starts = _enough(sums, n, threshold)
+                            edge[starts] += 1
+                            edge[starts + n] -= 1
+                    out += [(ids[a + d], hashes[a + d], SHINGLE, x, None, own[x:y].tobytes()) for x, y in _runs(np.cumsum(edge[:-1]) > 0, max(full, default=1))]
+                    if counts[d] < known.lengths[-1] and sums[-1] - sums[0] >= threshold * len(own) - 1e-9:
+                        out.append((ids[a + d], hashes[a + d], SHINGLE, 0, int(counts[d]), own.tobytes()))
+                for n in short:
+                    for d in np.flatnonzero(counts >= n).tolist():
+                        own = short_runs(words, d, n)
+                        out += [(ids[a + d], hashes[a + d], n, x, None, own[x:y].tobytes()) for x, y in _runs(known(own), 1)]
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _PASSAGE)], schema=_PASSAGE)
+
+    rows = documents(docs).select("doc_id", F.xxhash64("text").alias("h"), "text")
+    return rows.mapInArrow(run, "doc_id long, h long, size int, first_word long, whole long, shingles binary")
+
+
+_FOUND = "doc_id long, h long, item_id long, similarity double, first_word long, n_words long"
+_BUILT: dict[str, Items] = {}
+
+
+def _held_against(passages: DataFrame, block: list[tuple], threshold: float) -> DataFrame:
+    """Matches of the passages with the items of one block."""
+    sent, key = passages.sparkSession.sparkContext.broadcast(block), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if key not in _BUILT:
             _BUILT.clear()
-            _BUILT[key] = Items([t for _, t in sent.value])
+            _BUILT[key] = Items(sent.value)
         items = _BUILT[key]
         for batch in batches:
-            docs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            out = []
-            for a, b in slices([len(t) for t in texts], BATCH_CHARS) if items.index else ():
-                words = Words(texts[a:b])
-                shingles, bounds = words.shingles()
-                hit = items.known(shingles)
-                counts = np.diff(words.bounds)
-                sums = np.concatenate([[0], np.cumsum(hit)])
-                live = set(np.flatnonzero(sums[bounds[1:]] > sums[bounds[:-1]]).tolist())
-                for length in items.lengths:
-                    for d in range(b - a) if length < SHINGLE else live:
-                        if counts[d] < length:
-                            continue
-                        if length < SHINGLE:
-                            run_ = _short_runs(words, words.bounds[d], words.bounds[d + 1], length)
-                            own = items.known(run_) if len(run_) else run_
-                        elif counts[d] < SHINGLE:
-                            continue
-                        else:
-                            run_, own = shingles[bounds[d] : bounds[d + 1]], hit[bounds[d] : bounds[d + 1]]
-                        if len(run_) and own.any():
-                            out += [(docs[a + d], *m) for m in items.matches(run_, own, threshold, int(length), 0)]
-                # A shorter text than a shingle has none in common with a longer one.
-                for d in live:
-                    if SHINGLE <= counts[d] < items.lengths[-1]:
-                        own = slice(bounds[d], bounds[d + 1])
-                        out += [(docs[a + d], *m) for m in items.longer(shingles[own], hit[own], threshold, int(counts[d]))]
             best: dict = {}
-            for i, (doc, item, similarity, first, n) in enumerate(out):
-                if (k := (doc, item)) not in best or similarity > best[k][0]:
-                    best[k] = (similarity, first, n)
-            rows = [(d, sent.value[i][0], *v) for (d, i), v in best.items()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()))], ["doc_id", "item_id", "similarity", "first_word", "n_words"])
+            for doc, h, size, first, whole, raw in zip(*(c.to_pylist() for c in batch.columns)):
+                shingles = np.frombuffer(raw, "<u8")
+                sums = np.concatenate([[0], np.cumsum(np.isin(shingles, items.every))])
+                if whole is not None:
+                    found = ((whole, m) for m in items.longer(shingles, threshold, whole)) if sums[-1] >= threshold * len(shingles) - 1e-9 else ()
+                else:
+                    lengths = [n for n in items.lengths.tolist() if (n == size if size < SHINGLE else SHINGLE <= n < len(shingles) + SHINGLE)]
+                    found = ((n, m) for n in lengths for m in items.matches(shingles, sums, threshold, n))
+                for n, (i, similarity, at) in found:
+                    told = (similarity, -first - at, n)
+                    best[doc, h, i] = max(told, best.get((doc, h, i), told))
+            rows = [(doc, h, items.ids[i], s, -at, n) for (doc, h, i), (s, at, n) in best.items()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.float64() if i == 3 else pa.int64()) for i in range(6)], ["doc_id", "h", "item_id", "similarity", "first_word", "n_words"])
+
+    return passages.mapInArrow(run, _FOUND)
+
+
+def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """A row at least for each text (doc_id and h, the hash of the text) and item of which it holds a near copy, as a written table."""
+    spark = docs.sparkSession
+    items = materialise(_items(benchmark), "items")
+    # A row for every ITEMS_AT_ONCE items or so and every part, and one for every length that occurs.
+    blocks = items.groupBy("part", "block").agg(F.count("*").alias("items"), F.sum("words").alias("words")).orderBy("part", "block").collect()
+    if not blocks:
+        return spark.createDataFrame([], _FOUND)
+    lengths = sorted(r[0] for r in items.select("words").distinct().collect())
+    known = Known(_filter(items, sum(b["words"] for b in blocks)), lengths)
+    passages = materialise(_passages(docs, known, threshold), "passages")
+    path = f"{scratch_dir(spark)}/matches-{uuid.uuid4().hex}"
+    for group in _passes(blocks):
+        own = spark.createDataFrame(group, "part int, block int")
+        block = [tuple(r) for r in items.join(F.broadcast(own), ["part", "block"]).select("item_id", "words", "shingles").collect()]
+        _held_against(passages, block, threshold).write.mode("append").parquet(path)
+    return spark.read.schema(_FOUND).parquet(path)
 
-    return documents(docs).mapInArrow(run, schema)
+
+def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """A row for each doc_id and item of which the document holds a near copy: doc_id, item_id, similarity of the best window (the first of equals), its first word and its number of words."""
+    best = F.max(F.struct("similarity", (-F.col("first_word")).alias("at"), "n_words"))
+    rows = matches(docs, benchmark, threshold).groupBy("doc_id", "item_id").agg(best.alias("b"))
+    return rows.select("doc_id", "item_id", "b.similarity", (-F.col("b.at")).alias("first_word"), "b.n_words")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8) -> DataFrame:
@@ -223,6 +316,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """The documents, all columns, without those that hold a near copy of an item."""
-    bad = leaks(docs, benchmark, threshold).select(F.col("doc_id").alias("_leaked")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_leaked"]), "left_anti")
+    """The documents, all columns, without those whose text holds a near copy of an item.
+
+    The rows to drop are a small written table, ids and hashes of texts, which Spark broadcasts while it is below its own threshold; no text is shuffled then."""
+    bad = materialise(matches(docs, benchmark, threshold).select("doc_id", "h").distinct(), "leaked")
+    text = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
+    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["doc_id"]) & (text == bad["h"]), "left_anti")

@@ -9,6 +9,7 @@ from __future__ import annotations
 import numpy as np
 
 SHINGLE = 5
+RUN = 1 << 18
 _WORD = np.zeros(256, bool)
 _WORD[[*range(48, 58), *range(65, 91), *range(97, 123), 95, *range(128, 256)]] = True
 _R = np.random.default_rng(20).integers(1, 2**63, 4096, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -52,20 +53,30 @@ class Words:
         edge = np.flatnonzero(np.diff(is_word, prepend=False, append=False))
         self.start, end = edge[0::2], edge[1::2]
         self.size = end - self.start
-        at = np.flatnonzero(is_word)
-        first = np.zeros(len(self.start) + 1, np.int64)
-        np.cumsum(self.size, out=first[1:])
-        place = at - np.repeat(self.start, self.size)
-        self._sums = np.zeros(len(at) + 1, np.uint64)
-        np.cumsum(self.buf[at].astype(np.uint64) * _R[place & 4095], out=self._sums[1:])
-        self._first = first
-        self.hash = mix(self._sums[first[1:]] - self._sums[first[:-1]] + self.size.astype(np.uint64))
+        self.hash = mix(self._sums() + self.size.astype(np.uint64))
         self.bounds = np.searchsorted(self.start, self.offsets)
 
+    def _sums(self) -> np.ndarray:
+        """Each word's bytes, weighted by their places and summed; a run of words at a time, so that memory follows the words, not the bytes."""
+        out, to = np.empty(len(self.size), np.uint64), np.cumsum(self.size)
+        a = 0
+        while a < len(out):
+            b = max(a + 1, int(np.searchsorted(to, to[a] + RUN, "right")))
+            size = self.size[a:b]
+            first = np.cumsum(size) - size
+            place = np.arange(first[-1] + size[-1]) - np.repeat(first, size)
+            byte = self.buf[np.repeat(self.start[a:b], size) + place]
+            out[a:b] = np.add.reduceat(byte.astype(np.uint64) * _R[place & 4095], first)
+            a = b
+        return out
+
     def prefix(self, n: int) -> np.ndarray:
         """A hash of each word's first n bytes (of all, if shorter)."""
-        to = self._first[:-1] + np.minimum(self.size, n)
-        return mix(self._sums[to] - self._sums[self._first[:-1]] + np.uint64(n << 40))
+        out = np.full(len(self.size), n << 40, np.uint64)
+        for k in range(n):
+            byte = np.where(self.size > k, self.buf[self.start + np.minimum(self.size - 1, k)], 0)
+            out += byte.astype(np.uint64) * _R[k]
+        return mix(out)
 
     def suffix(self, n: int) -> np.ndarray:
         """A hash of each word's last n bytes (with a zero for each that it lacks)."""
@@ -94,3 +105,12 @@ class Words:
         sums = np.zeros(n + 1, np.int64)
         np.cumsum(valid, out=sums[1:])
         return mix(every[valid]), sums[self.bounds]
+
+
+def short_runs(words: Words, d: int, length: int) -> np.ndarray:
+    """Shingles of exactly `length` words, fewer than five, at each place of text d."""
+    lo, hi = words.bounds[d], words.bounds[d + 1]
+    n = max(0, hi - lo - length + 1)
+    if not n:
+        return np.zeros(0, np.uint64)
+    return mix(sum(words.hash[lo + j : lo + j + n] * _K[j] for j in range(length)) + np.uint64(length))
