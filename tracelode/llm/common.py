@@ -34,8 +34,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most 1000 rows, where the session has Spark's default of 10000: a batch of long texts is held several times over on either side."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, "1000")
+
+
 def documents(df: DataFrame, *keep: str) -> DataFrame:
     """doc_id and text (null: empty) and the columns named in keep; other columns, whatever their names, are left behind."""
+    small_batches(df.sparkSession)
     return df.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"), *keep)
 
 

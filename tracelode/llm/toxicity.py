@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, fold
+from .common import fold, small_batches
 from .quality import _sampled
 from .textnum import Words, slices
 
@@ -208,7 +208,7 @@ def tag(docs: DataFrame, field: Field, folds: int = 5, held: int = 0, cut: float
     """doc_id, held_out, score, predicted and spans (start and end in code points, and marginal) of every whole text, and in `kept` a struct of the columns named in keep. The field has a fixed size."""
     sent = docs.sparkSession.sparkContext.broadcast((field.weights.astype(np.float32), field.move, field.scale))
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("marginal", pa.float64())]))
-    names = ["doc_id", "held_out", "score", "predicted", "spans", "kept"]
+    names, carried = ["doc_id", "held_out", "score", "predicted", "spans", "kept"], "text" in keep
 
     def spans_of(words: Words, odds: np.ndarray) -> list[list[dict]]:
         out: list[list[dict]] = [[] for _ in words.bounds[1:]]
@@ -226,7 +226,7 @@ def tag(docs: DataFrame, field: Field, folds: int = 5, held: int = 0, cut: float
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, move, (slope, intercept) = sent.value
         for batch in batches:
-            texts = batch.column("text").to_pylist()
+            texts = [t or "" for t in (batch.column("kept").field("text") if carried else batch.column("text")).to_pylist()]
             for a, b in slices([len(t) for t in texts], BATCH_CHARS):
                 words = Words(texts[a:b])
                 odds = log_odds(weights[token_features(words)].sum(1, dtype=np.float64), words.bounds, move)
@@ -235,7 +235,9 @@ def tag(docs: DataFrame, field: Field, folds: int = 5, held: int = 0, cut: float
                 yield pa.RecordBatch.from_arrays([own.column("doc_id").cast(pa.int64()), own.column("held_out"), pa.array(p), pa.array((p >= cut).astype(np.int32)), pa.array(spans_of(words, odds), span), own.column("kept")], names)
 
     kept = F.struct(F.lit(0).alias("none"), *keep).alias("kept")
-    rows = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"), kept, (fold(F.col("doc_id"), folds) == held).alias("held_out"))
+    small_batches(docs.sparkSession)
+    # The text goes to Python once.
+    rows = docs.select("doc_id", *([] if carried else ["text"]), kept, (fold(F.col("doc_id"), folds) == held).alias("held_out"))
     return rows.mapInArrow(run, f"doc_id long, held_out boolean, score double, predicted int, spans array<struct<start:long,end:long,marginal:double>>, kept {rows.schema['kept'].dataType.simpleString()}")
 
 
