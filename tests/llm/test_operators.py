@@ -223,8 +223,7 @@ def test_hamming_index_finds_all_within_radius():
 def test_join_against_brute_force(spark, docs):
     base = prose(120, 50).split()
     rows = [(100 + k, " ".join([*base[: k % 7], "zz", *base[k % 7 + 1 :], f"t{k}"])) for k in range(60)] + [(i, t) for i, t in ODD if i != 7 and i is not None]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r.doc_id: r for r in ngram_join.classes(df).collect()}
+    got = {r.doc_id: r for r in ngram_join.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     shingles, b = Words([t or "" for _, t in rows]).shingles()
     sets = [set(shingles[x:y].tolist()) for x, y in zip(b[:-1], b[1:])]
     link = [[j for j, t in enumerate(sets) if j != i and s and len(s & t) / len(s | t) >= 0.8] for i, s in enumerate(sets)]
@@ -232,10 +231,43 @@ def test_join_against_brute_force(spark, docs):
         assert got[i].n_links == len(near)
         assert {got[rows[j][0]].class_id for j in near} <= {got[i].class_id}
     kept = ngram_join.keep_one(docs)
-    assert kept.columns == docs.columns and kept.where("doc_id = 6").count() == 0 and kept.where("doc_id is null").count() == 1
+    assert kept.columns == docs.columns
+    # 6 is a copy of 5, one row of 7 and 8 are near copies of 1; texts without words stay.
+    assert sorted((r.doc_id or -1, r.text or "") for r in kept.collect()) == sorted((i or -1, t or "") for i, t in ODD if i not in (6, 8) and (i, t) != (7, prose(60, 1)))
+    assert ngram_join.keep_one(docs.limit(0)).isEmpty()
     assert ngram_join.classes(docs).count() == len(ODD) and ngram_join.classes(docs.limit(0)).count() == 0
 
 
+def test_join_of_rows_that_repeat_an_id_or_have_none(spark):
+    x, y, z = prose(60, 70), prose(60, 71), prose(60, 72)
+    rows = [(7, x), (7, y), (8, x + " near"), (9, "near " + y), (None, z), (10, z + " near"), (None, prose(60, 73)), (None, prose(60, 73)), (11, ""), (11, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id or -1, r.class_id or -1, r.n_links) for r in ngram_join.classes(df).collect())
+    assert got == sorted([(7, 7, 1), (7, 7, 1), (8, 7, 1), (9, 7, 1), (-1, 10, 1), (10, 10, 1), (-1, -1, 1), (-1, -1, 1), (11, 11, 0), (11, 11, 0)])
+    kept = sorted((r.doc_id or -1, r.text) for r in ngram_join.keep_one(df).collect())
+    assert kept == sorted([(7, x), (7, y), (10, z + " near"), (-1, prose(60, 73)), (11, "")])
+
+
+def test_join_recall_at_the_threshold(spark):
+    """Pairs at similarity 0.8 to 0.85 in families whose members are half alike, so that most buckets are large: none is missed of those that all pairs give."""
+    r, rows = random.Random(77), []
+    for family in range(3):
+        base = prose(220, 800 + family).split()
+        for k in range(60):
+            own = base[:130] + prose(90, 10_000 + 100 * family + k).split()
+            twin = list(own)
+            for at in r.sample(range(130, 215, 6), 4):
+                twin[at] = "changed"
+            rows += [" ".join(own), " ".join(twin)]
+    shingles, b = Words(rows).shingles()
+    sets = [set(shingles[x:y].tolist()) for x, y in zip(b[:-1], b[1:])]
+    link = {(i, j): len(x & y) / len(x | y) for i, x in enumerate(sets) for j, y in enumerate(sets) if i < j and len(x & y) >= 0.8 * len(x | y)}
+    assert len(link) > 150 and sum(v < 0.85 for v in link.values()) > 150
+    got = {q.doc_id: q for q in ngram_join.classes(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
+    assert all(got[i].class_id == got[j].class_id for i, j in link)
+    assert sum(q.n_links for q in got.values()) == 2 * len(link)
+
+
 def test_join_compares_large_buckets_in_full(spark, monkeypatch):
     """Pairs of near copies that share only one bucket, with many documents of the same passage, from whose leader pruning parts them."""
     features = ngram_join._features

@@ -8,17 +8,21 @@ from pyspark.sql import functions as F
 from .common import materialise
 
 
+def _least(edges: DataFrame) -> DataFrame:
+    """k, a node, and m, the least of its neighbours. The node is an aggregate, too, so that a join on it exchanges both of its sides: Spark can then split a node that holds many edges."""
+    return edges.groupBy("a").agg(F.min("a").alias("k"), F.min("b").alias("m")).select("k", "m")
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
-    return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
+    return both.where("b > a").join(_least(both), F.col("a") == F.col("k")).select(F.col("b").alias("a"), F.least("k", "m").alias("b")).where("a != b").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = down.groupBy("a").agg(F.min("b").alias("m"))
-    moved = down.join(least, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
+    least = _least(down)
+    moved = down.join(least, F.col("a") == F.col("k")).where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    return moved.unionByName(least.select(F.col("k").alias("a"), F.col("m").alias("b"))).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:

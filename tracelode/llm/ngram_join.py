@@ -13,8 +13,8 @@
 
 Links are documents at similarity of threshold or more: copies, and documents of linked nodes.
 
-Cases: a null text counts as empty; texts without words have no links and are a class by themselves; texts of one to four words
-have one shingle, all their words; rows that repeat a doc_id are nodes by their texts and each has a row in the result; null doc_ids are kept (a class_id is null only
+Cases: a null text counts as empty; texts without words have no links and are a class by themselves (its class_id is the doc_id); texts of one to four words
+have one shingle, all their words; rows that repeat a doc_id, or have none, are nodes by their texts and each has a row in the result (a class_id is null only
 if all its doc_ids are); an empty table gives an empty result; other columns aren't read.
 """
 
@@ -52,6 +52,14 @@ def minhash(shingles: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return out
 
 
+def node_names(every: np.ndarray, starts: np.ndarray) -> list[bytes]:
+    """128 bits for each text's set of shingles; every: the sets, one after the other."""
+    sizes = np.diff(np.append(starts, len(every)))
+    low = np.add.reduceat(mix(every + np.uint64(1)), starts) + sizes.astype(np.uint64)
+    high = np.add.reduceat(mix(every ^ np.uint64(0x5DEECE66D1CE4E5B)), starts)
+    return [x.tobytes() + y.tobytes() for x, y in zip(low, high)]
+
+
 def least_matches(threshold: float, tolerance: float) -> list[int]:
     """For STEP, 2 STEP, ... values compared: the fewest matches at which similarity may still reach the threshold with at least that posterior probability."""
     s = (np.arange(20_000) + 0.5) / 20_000
@@ -67,33 +75,36 @@ def least_matches(threshold: float, tolerance: float) -> list[int]:
 
 
 def _features(docs: DataFrame) -> DataFrame:
-    names = ["doc_id", "node", "keys", "sig"]
+    names = ["doc_id", "h", "node", "keys", "sig"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            docs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            texts = batch.column("text").to_pylist()
             for a, b in slices([len(t) for t in texts], BATCH_CHARS):
                 shingles, bounds = Words(texts[a:b]).shingles()
                 sets = [np.unique(shingles[x:y]) for x, y in zip(bounds[:-1], bounds[1:])]
                 some = [i for i, s in enumerate(sets) if len(s)]
                 node, keys, sig = ([None] * (b - a) for _ in range(3))
                 if some:
-                    sizes = np.array([len(sets[i]) for i in some])
-                    every = np.concatenate([sets[i] for i in some])
-                    starts = np.cumsum(sizes) - sizes
-                    low = np.add.reduceat(mix(every + np.uint64(1)), starts) + sizes.astype(np.uint64)
-                    high = np.add.reduceat(mix(every ^ np.uint64(0x5DEECE66D1CE4E5B)), starts)
+                    every, starts = np.concatenate([sets[i] for i in some]), np.cumsum([0, *(len(sets[i]) for i in some[:-1])])
                     m = minhash(every, starts)
+                    names_ = node_names(every, starts)
                     band = np.zeros((BANDS, len(some)), np.uint64)
                     for r in range(ROWS):
                         band = mix(band + m[r::ROWS].astype(np.uint64) + np.arange(BANDS, dtype=np.uint64)[:, None])
                     short = np.ascontiguousarray((m & np.uint32(65535)).astype("<u2").T)
                     for k, i in enumerate(some):
-                        node[i] = low[k].tobytes() + high[k].tobytes()
+                        node[i] = names_[k]
                         keys[i], sig[i] = band[:, k].view(np.int64), short[k].tobytes()
-                yield pa.RecordBatch.from_arrays([pa.array(docs[a:b], pa.int64()), pa.array(node, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(sig, pa.binary())], names)
+                own = batch.slice(a, b - a)
+                yield pa.RecordBatch.from_arrays([own.column("doc_id"), own.column("h"), pa.array(node, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(sig, pa.binary())], names)
 
-    return documents(docs).mapInArrow(run, "doc_id long, node binary, keys array<long>, sig binary")
+    return _told(docs).mapInArrow(run, "doc_id long, h long, node binary, keys array<long>, sig binary")
+
+
+def _told(docs: DataFrame) -> DataFrame:
+    """doc_id, text and its hash h: the last two tell apart rows that repeat a doc_id, or have none."""
+    return documents(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), "text")
 
 
 def _buckets(nodes: DataFrame) -> DataFrame:
@@ -258,11 +269,17 @@ def _forest(link: np.ndarray) -> np.ndarray:
 def _verified(docs: DataFrame, nodes: DataFrame, groups: DataFrame, threshold: float) -> DataFrame:
     """Rows a, b, links: node a is in one tree with b (perhaps itself), and has so many linked documents in one pair of blocks."""
     sizes = groups.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    known = nodes.select("node", "doc_id", "copies").join(groups, "node").join(sizes, "root")
+    known = nodes.select("node", "told", "copies").join(groups, "node").join(sizes, "root").select("*", "told.*").drop("told")
     known = known.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
         for batch in batches:
+            # Rows that repeat a doc_id and its text follow each other; one of them will do.
+            names = batch.column("node").to_pylist()
+            fresh = [i for i, x in enumerate(names) if x != (names[i - 1] if i else last)]
+            last = names[-1] if names else last
+            batch = batch.take(pa.array(fresh, pa.int64()))
             texts = batch.column("text").to_pylist()
             for a, b in slices([len(t) for t in texts], BATCH_CHARS):
                 shingles, bounds = Words(texts[a:b]).shingles()
@@ -270,13 +287,14 @@ def _verified(docs: DataFrame, nodes: DataFrame, groups: DataFrame, threshold: f
                 part = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("root", "blocks", "block", "node", "copies")), pa.array([s.tobytes() for s in sets], pa.binary())], ["root", "blocks", "block", "node", "copies", "set"])
 
-    own = documents(docs).join(known, "doc_id").select("root", "blocks", "block", "node", "copies", "text")
+    texts = _told(docs)
+    own = texts.join(known, texts["doc_id"].eqNullSafe(known["doc_id"]) & (texts["h"] == known["h"])).select("root", "blocks", "block", "node", "copies", "text")
     sets = own.mapInArrow(shingled, "root binary, blocks int, block int, node binary, copies long, set binary")
     placed = sets.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
     dealt = placed.select("root", "i", "j", "block", "node", "copies", "set").repartition(tasks_for(docs.sparkSession), "root", "i", "j").sortWithinPartitions("root", "i", "j")
 
     def compared(rows: list[tuple]) -> list[tuple]:
-        rows = list({r[4]: r for r in rows}.values())  # rows that repeat a doc_id
+        rows = list({r[4]: r for r in rows}.values())  # a node may come again from another task
         i, j = rows[0][1:3]
         block = np.array([r[3] for r in rows])
         weight = np.array([r[5] for r in rows])
@@ -306,10 +324,11 @@ def _verified(docs: DataFrame, nodes: DataFrame, groups: DataFrame, threshold: f
     return dealt.mapInArrow(run, "a binary, b binary, links long")
 
 
-def classes(docs: DataFrame, threshold: float = 0.8, tolerance: float = 1e-5) -> DataFrame:
-    """A row for each document: doc_id, class_id (the least doc_id of its class), n_links (documents at similarity of threshold or more)."""
+def _classed(docs: DataFrame, threshold: float, tolerance: float) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, h, node) of all documents, and a row for each node: doc_id and h of one of its rows (told), root, class_id, n_links."""
     rows = materialise(_features(docs), "features")
-    grouped = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.min("keys").alias("keys"), F.min("sig").alias("sig"))
+    told = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("told")
+    grouped = rows.where("node is not null").groupBy("node").agg(told, F.count("*").alias("copies"), F.min("keys").alias("keys"), F.min("sig").alias("sig"))
     nodes = materialise(grouped, "nodes")
     shared = materialise(_buckets(nodes), "buckets")
     pairs = materialise(_pruned(_candidates(shared), nodes, threshold, tolerance), "pairs")
@@ -317,17 +336,31 @@ def classes(docs: DataFrame, threshold: float = 0.8, tolerance: float = 1e-5) ->
     verified = materialise(_verified(docs, nodes, groups, threshold), "links")
     roots = components(verified.where("a != b").select("a", "b"))
     links = verified.groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
-    known = nodes.select("node", "doc_id", "copies").join(links, "node", "left").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = known.groupBy("root").agg(F.min("doc_id").alias("class_id"))
-    told = known.join(least, "root").select("node", "class_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    out = rows.select("doc_id", "node").join(told, "node", "left")
-    return out.select("doc_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-
-
-def keep_one(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """The documents, all columns, with one of each class: the one whose doc_id is the least. Rows that repeat it with the same text go, too; documents with null ids stay."""
-    kept = materialise(classes(docs, threshold).where("doc_id = class_id").groupBy("doc_id").agg(F.count("*").alias("n")), "kept")
-    out = docs.join(kept.select(F.col("doc_id").alias("_kept")), F.col("doc_id") == F.col("_kept"), "left_semi")
-    if not kept.where("n > 1").isEmpty():
-        out = out.dropDuplicates(["doc_id", "text"])
-    return out.unionByName(docs.where("doc_id is null"))
+    known = nodes.select("node", "told", "copies").join(links, "node", "left").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    known = materialise(known, "known")
+    first = known.groupBy("root").agg(F.min("told").alias("first"))
+    return rows.select("doc_id", "h", "node"), known.join(first, "root").select("node", "told", "first", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+
+
+def classes(docs: DataFrame, threshold: float = 0.8, tolerance: float = 1e-5) -> DataFrame:
+    """A row for each document: doc_id, class_id (the least doc_id of its class), n_links (documents at similarity of threshold or more)."""
+    rows, known = _classed(docs, threshold, tolerance)
+    out = rows.select("doc_id", "node").join(known, "node", "left")
+    return out.select("doc_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
+def keep_one(docs: DataFrame, threshold: float = 0.8, tolerance: float = 1e-5) -> DataFrame:
+    """The documents, all columns, with one of each class: the one whose doc_id is the least, of equal ones that whose text's hash is. Of rows that repeat both doc_id and text one stays, and so do all documents without words."""
+    rows, known = _classed(docs, threshold, tolerance)
+    chosen = known.where("told = first").select("told.doc_id", "told.h").unionByName(rows.where("node is null").select("doc_id", "h"))
+    again = rows.groupBy("doc_id", "h").count().withColumnRenamed("count", "n").withColumnRenamed("doc_id", "i").withColumnRenamed("h", "g")
+    chosen = chosen.distinct()
+    kept = materialise(chosen.join(again, chosen["doc_id"].eqNullSafe(again["i"]) & (chosen["h"] == again["g"])).select("doc_id", "h", "n"), "kept")
+    text = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
+
+    def those(rows: DataFrame) -> DataFrame:
+        return docs.join(rows, docs["doc_id"].eqNullSafe(rows["doc_id"]) & (text == rows["h"]), "left_semi")
+
+    if kept.where("n > 1").isEmpty():
+        return those(kept)
+    return those(kept.where("n = 1")).unionByName(those(kept.where("n > 1")).dropDuplicates(["doc_id", "text"]))
