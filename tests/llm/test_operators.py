@@ -6,6 +6,7 @@ from collections import Counter
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from tracelode.llm import chat_format, decontam, digest, ngram_join, packing, pii, ppm, quality, token_store, toxicity
 from tracelode.llm.common import fold
@@ -41,19 +42,19 @@ def labels(spark):
 
 @pytest.mark.parametrize("name", [BPE, WORD])
 def test_chunked_ids_are_the_library_s(name):
-    t = ChunkedTokenizer(tokenizer_path(name))
-    texts = [x or "" for _, x in ODD] + [" ", "a  b", "a   b\n\n c \n d", "it's O'Neil's", "\t a b c", "a\r\n b", "x\0 y", "foo.\nBar baz.\n", "a.. b", "x_. y", " , .", "Σας ΟΔΟΣ ok", "1,000. 2"]
+    t, library = ChunkedTokenizer(tokenizer_path(name)), Tokenizer.from_file(tokenizer_path(name))
+    texts = [x or "" for _, x in ODD] + [" ", "a  b", "a   b\n\n c \n d", "it's O'Neil's", "\t a b c", "a\r\n b", "x\0 y", "foo.\nBar baz.\n", "a.. b", "x_. y", " , .", "Σας ΟΔΟΣ ok", "1,000. 2", "a b <|endoftext|> c", "x<|endoftext|>, y. <|startoftext|>\n z", " <|EndOfText|> "]
     flat, n = t.encode(texts)
     at = np.concatenate([[0], np.cumsum(n)])
     for i, x in enumerate(texts):
-        assert t.tokenizer.encode(x, add_special_tokens=False).ids == flat[at[i] : at[i + 1]].tolist(), x
+        assert library.encode(x, add_special_tokens=False).ids == flat[at[i] : at[i + 1]].tolist(), x
 
 
 def test_token_store_round_trip(spark, docs, tmp_path):
     path = str(tmp_path / "t")
     token_store.write_tokens(docs, path, tokenizer_path(BPE), 2)
     got = token_store.read_documents(spark, path, with_ids=True).orderBy("start").collect()
-    t = ChunkedTokenizer(tokenizer_path(BPE)).tokenizer
+    t = Tokenizer.from_file(tokenizer_path(BPE))
     order = sorted(ODD, key=lambda x: (x[0] is not None, x[0] or 0, x[1] or ""))
     start = 0
     for r, (i, x) in zip(got, order, strict=True):
@@ -374,7 +375,7 @@ def test_chunks_have_the_librarys_ids():
         coder = chunked(tokenizer_path(name))
         for _ in range(2):
             flat, n = coder.encode(texts)
-            want = [e.ids for e in coder.tokenizer.encode_batch(texts, add_special_tokens=False)]
+            want = [e.ids for e in Tokenizer.from_file(tokenizer_path(name)).encode_batch(texts, add_special_tokens=False)]
             assert n.tolist() == [len(x) for x in want] and flat.tolist() == [i for x in want for i in x]
         assert len(coder.encode([])[0]) == 0
 

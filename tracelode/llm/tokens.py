@@ -38,9 +38,9 @@ class ChunkedTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         with open(path) as f:
             spec = json.load(f)
+        self.added = [x["content"] for x in spec["added_tokens"]]
         # Byte-level vocabularies keep a blank with the word after it; the others drop white space altogether.
         self.keeps_blanks = spec["pre_tokenizer"]["type"] == "ByteLevel"
         # Control characters, and for byte-level vocabularies all white space but the blank and the line feed.
@@ -48,7 +48,9 @@ class ChunkedTokenizer:
         self.forget()
 
     def unsure(self, text: str) -> bool:
-        """Whether a text may have pre-tokens over the edges at which chunks() cuts."""
+        """Whether a text may have pre-tokens over the edges at which edged() cuts, or holds a control string of the vocabulary."""
+        if any(x in text for x in self.added):
+            return True
         if self.keeps_blanks and ("  " in text or "\n\n" in text or " \n" in text or "\n " in text):
             return True
         return bool(self.odd.search(text) or _STOP.search(text))
