@@ -106,10 +106,21 @@ class Items:
     def __init__(self, rows: list[tuple[int | None, int, bytes]]):
         self.ids, self.words = [r[0] for r in rows], np.array([r[1] for r in rows])
         self.shingles = [np.frombuffer(r[2], "<u8") for r in rows]
-        self.every = np.unique(np.concatenate(self.shingles))
-        self.lengths = np.unique(self.words)
+        self.lengths, which = np.unique(self.words, return_inverse=True)
+        # Which shingles occur in items of which length: rows of (shingle, length), ascending.
+        sizes = [len(s) for s in self.shingles]
+        pairs = np.unique(np.stack([np.concatenate(self.shingles), np.repeat(which, sizes).astype(np.uint64)], 1), axis=0)
+        self.every, first = np.unique(pairs[:, 0], return_index=True)
+        self.first, self.of = np.append(first, len(pairs)), pairs[:, 1].astype(np.int64)
         self.index = HammingIndex(np.concatenate([window_simhash(s, np.zeros(1, int), len(s)) for s in self.shingles]))
 
+    def places(self, shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place, number of a length), once for each length in whose items the shingle at that place occurs."""
+        at = np.minimum(np.searchsorted(self.every, shingles), len(self.every) - 1)
+        place = np.flatnonzero(self.every[at] == shingles)
+        lo, n = self.first[at[place]], self.first[at[place] + 1] - self.first[at[place]]
+        return np.repeat(place, n), self.of[np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+
     def matches(self, shingles: np.ndarray, sums: np.ndarray, threshold: float, length: int) -> Iterator[tuple[int, float, int]]:
         """(item, similarity, start) for the windows of `length` words among a run of shingles."""
         n = max(1, length - SHINGLE + 1)
@@ -269,12 +280,18 @@ def _held_against(passages: DataFrame, block: list[tuple], threshold: float) ->
             best: dict = {}
             for doc, h, size, first, whole, raw in zip(*(c.to_pylist() for c in batch.columns)):
                 shingles = np.frombuffer(raw, "<u8")
-                sums = np.concatenate([[0], np.cumsum(np.isin(shingles, items.every))])
+                place, length = items.places(shingles)
                 if whole is not None:
-                    found = ((whole, m) for m in items.longer(shingles, threshold, whole)) if sums[-1] >= threshold * len(shingles) - 1e-9 else ()
+                    found = [(whole, m) for m in items.longer(shingles, threshold, whole)] if len(np.unique(place)) >= threshold * len(shingles) - 1e-9 else []
                 else:
-                    lengths = [n for n in items.lengths.tolist() if (n == size if size < SHINGLE else SHINGLE <= n < len(shingles) + SHINGLE)]
-                    found = ((n, m) for n in lengths for m in items.matches(shingles, sums, threshold, n))
+                    found, often = [], np.bincount(length, minlength=len(items.lengths))
+                    for k in np.flatnonzero(often).tolist():
+                        n = int(items.lengths[k])
+                        if often[k] >= threshold * max(1, n - SHINGLE + 1) - 1e-9 and (n == size if size < SHINGLE else SHINGLE <= n < len(shingles) + SHINGLE):
+                            # Of a window's shingles that share must occur in items of its own length.
+                            hit = np.zeros(len(shingles) + 1, np.int64)
+                            hit[place[length == k] + 1] = 1
+                            found += [(n, m) for m in items.matches(shingles, np.cumsum(hit), threshold, n)]
                 for n, (i, similarity, at) in found:
                     told = (similarity, -first - at, n)
                     best[doc, h, i] = max(told, best.get((doc, h, i), told))
