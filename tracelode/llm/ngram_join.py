@@ -186,9 +186,10 @@ def _completed(shared: DataFrame, nodes: DataFrame, groups: DataFrame, threshold
     least = least_matches(threshold, tolerance)
     large = shared.where(F.col("n") > SMALL).select("key", "node").join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
     # A group that fills blocks of a bucket has them for itself, and they aren't compared with each other.
-    own = large.groupBy("key", "root").agg(F.count("*").alias("m")).withColumn("full", F.when(F.col("m") >= WIDE, F.ceil(F.col("m") / WIDE)).otherwise(0).cast("int"))
-    mixed = own.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.sum(F.when(F.col("full") == 0, F.col("m")).otherwise(0)).alias("rest"))
-    mixed = mixed.where("lo < hi").select("key", F.greatest(F.lit(1), F.ceil(F.col("rest") / WIDE)).cast("int").alias("rest"))
+    # Keys are aggregates, too, so that joins on them exchange both of their sides and Spark can split a hot one.
+    own = large.groupBy("key", "root").agg(F.min("key").alias("k"), F.min("root").alias("r"), F.count("*").alias("m")).select(F.col("k").alias("key"), F.col("r").alias("root"), "m").withColumn("full", F.when(F.col("m") >= WIDE, F.ceil(F.col("m") / WIDE)).otherwise(0).cast("int"))
+    mixed = own.groupBy("key").agg(F.min("key").alias("k"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.sum(F.when(F.col("full") == 0, F.col("m")).otherwise(0)).alias("rest"))
+    mixed = mixed.where("lo < hi").select(F.col("k").alias("key"), F.greatest(F.lit(1), F.ceil(F.col("rest") / WIDE)).cast("int").alias("rest"))
     full = F.col("full") > 0
     number = F.pmod(F.xxhash64("node"), F.when(full, F.col("full")).otherwise(F.col("rest"))).cast("int")
     placed = large.join(own, ["key", "root"]).join(mixed, "key").select("key", F.when(full, F.col("root")).otherwise(F.lit(b"")).alias("owner"), number.alias("number"), "node", "root")
