@@ -1,5 +1,7 @@
 import hashlib
 import random
+import re
+import time
 import zlib
 from collections import Counter
 
@@ -364,6 +366,50 @@ def test_pii(spark, docs):
     assert post["ip", (1, 1, 1, 1)] > 0.9 and post["ip", (-1, 0, 0, -1)] < 0.1
 
 
+PLAIN = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+
+def plain_spans(text):
+    def luhn(d):
+        return sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(d))) % 10 == 0
+
+    out = []
+    for kind, rule in PLAIN.items():
+        for m in re.finditer(rule, text):
+            d = re.sub("[^0-9]", "", m[0])
+            ok = {"email": True, "ip": kind != "ip" or all(int(x) <= 255 for x in m[0].split(".")), "card": 16 <= len(d) <= 19 and luhn(d), "phone": 8 <= len(d) <= 15}[kind]
+            out += [(kind, m.start(), m.end())] if ok else []
+    return out
+
+
+def test_pii_against_the_plain_rules(spark):
+    r = random.Random(31)
+    pieces = ["a@b.co", "x._%@y-.de.z", "@", ".", "1.2.3.4", "256.1.1.1", "0001.002.3.255", "4111 1111 1111 1111", "4111-1111-1111-1112", "5500005555555559", "12", "7", "+1 (555) 123-4567", "+", "++49 30 1234", "555-123-4567", "é", "\U0001f600", "\n", " ", " ", "-", "tok_9f8e7d6c5b4a3f2e1d", "password=", "+4", "word", "1.1", "日本"]
+    texts = [(k, "".join(r.choices(pieces, k=r.choice((1, 5, 40, 400))))) for k in range(300)]
+    rows = spark.createDataFrame(texts, "doc_id long, text string")
+    got = {q.doc_id: q.spans for q in pii.detect(rows).collect()}
+    red = {q.doc_id: q.text for q in pii.redact(rows).collect()}
+    for i, t in texts:
+        assert [(x.kind, x.start, x.end) for x in got[i] if x.base] == plain_spans(t), t
+        out, pos = "", 0
+        for a, b, kind in sorted((x.start, x.end, x.kind) for x in got[i]):
+            if a >= pos:
+                out += t[pos:a] + f"<{kind}>"
+            pos = max(pos, b)
+        assert red[i] == out + t[pos:]
+        base = [x for x in got[i] if x.base]
+        assert not any(x.start < b.end and b.start < x.end for x in got[i] if not x.base for b in base)
+    assert any(not x.base for spans in got.values() for x in spans)
+
+
+def test_pii_time_follows_the_text(spark):
+    """A text of 60,000 numbers and one of 15,000 addresses."""
+    long = [(1, " ".join(str(1000 + k % 7000) + "x" for k in range(60_000))), (2, " ".join(f"10.0.{k % 250}.{k // 250}" for k in range(15_000)))]
+    start = time.time()
+    got = pii.redact(spark.createDataFrame(long, "doc_id long, text string")).orderBy("doc_id").collect()
+    assert got[0].text == long[0][1] and got[1].text == " ".join(["<ip>"] * 15_000) and time.time() - start < 90
+
+
 def test_fold(spark):
     got = spark.range(50).select("id", fold(F.col("id"), 7).alias("f")).collect()
     assert all(r.f == zlib.crc32(str(r.id).encode()) % 7 for r in got)
