@@ -10,8 +10,8 @@ Template: `<s>`, then for each turn `<|turn|>role<|text|>text<|end|>`, then `</s
 texts (those of this template and the bracketed ones of others) get one backslash more after their first character; taking
 one off restores them. Loss spans are code points [from, to) of the formatted text and hold assistant texts alone.
 
-Prefix sums are taken in two steps, inside blocks of turns and over the blocks, and a window holds no more turns than the
-budget lets in, so a conversation of any length is spread over tasks.
+Prefix sums are taken in two steps, inside ranges of turns and over the ranges, and a window holds no more turns than the
+budget lets in, so a conversation of any length is spread over tasks. Texts are tokenised once and written; windows are worked out on places and sums alone.
 
 Cases: a null text counts as empty, a null role as "", a null turn comes first; equal turns are ordered by role and text;
 a turn longer than the budget makes a window of its own, over_budget; a null conv_id is one conversation; an empty table
@@ -24,17 +24,19 @@ import hashlib
 import re
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import materialise, small_batches, tasks_for
+from .textnum import slices
 from .tokens import chunked
 
 #: Strings that structure this template or other common ones.
 CONTROL = r"([<\[])(\\*)(/?s>|/?INST\]|</?SYS>>|\|(?:turn|text|end)\|>)"
 ESCAPED = r"([<\[])\\(\\*)(/?s>|/?INST\]|</?SYS>>|\|(?:turn|text|end)\|>)"
-BLOCK = 64
+BATCH_CHARS = 2_000_000
 TURN = re.compile(r"<\|turn\|>(.*?)<\|text\|>(.*?)<\|end\|>", re.S)
 
 
@@ -46,55 +48,73 @@ def unescape(text: str) -> str:
     return re.sub(ESCAPED, r"\1\2\3", text)
 
 
-def _counter(tokenizer: str):
-    @F.pandas_udf("long")
-    def tokens(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        coder = chunked(tokenizer)
-        for x in texts:
-            yield pd.Series(coder.encode(x.tolist())[1])
+def _turns(conversations: DataFrame, tokenizer: str) -> DataFrame:
+    """Every turn with its tokens, place (pos) and prefix sum (to): conv_id, pos, to, tokens, role, head, body, as a written table.
 
-    return tokens
+    Turns are dealt out in order, by ranges, so that a conversation of any length, turns without numbers and equal ones spread over tasks. Each task
+    counts tokens and sums from its own start of a conversation; what earlier tasks hold of it is added after."""
+    spark = conversations.sparkSession
+    small_batches(spark)
+    text = lambda name: F.coalesce(F.col(name), F.lit(""))
+    rows = conversations.select("conv_id", "turn", text("role").alias("role"), text("text").alias("text"))
+    # Range bounds come to the driver, so they hold the beginnings of texts alone.
+    dealt = rows.repartitionByRange(tasks_for(spark), "conv_id", "turn", "role", F.left("text", F.lit(32))).sortWithinPartitions("conv_id", "turn", "role", "text")
+    dealt = dealt.select("conv_id", "role", F.concat(F.lit("<|turn|>"), escape(F.col("role")), F.lit("<|text|>")).alias("head"), escape(F.col("text")).alias("body"))
+    names = ["conv_id", "role", "head", "body", "part", "pos", "to", "tokens"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder, part, held = chunked(tokenizer), TaskContext.get().partitionId(), (None, 0, 0)
+        for batch in batches:
+            heads, bodies = batch.column("head").to_pylist(), batch.column("body").to_pylist()
+            for a, b in slices([len(t) for t in bodies], BATCH_CHARS):
+                own = batch.slice(a, b - a)
+                tokens = coder.encode([f"{x}{y}<|end|>" for x, y in zip(heads[a:b], bodies[a:b])])[1]
+                pos, to = [], []
+                for conv, n in zip(own.column("conv_id").to_pylist(), tokens.tolist()):
+                    at, so_far = held[1:] if conv == held[0] else (0, 0)
+                    held = (conv, at + 1, so_far + n)
+                    pos.append(at)
+                    to.append(so_far + n)
+                yield pa.RecordBatch.from_arrays([*own.columns, pa.array([part] * (b - a), pa.int32()), pa.array(pos, pa.int64()), pa.array(to, pa.int64()), pa.array(tokens, pa.int64())], names)
+
+    rows = materialise(dealt.mapInArrow(run, f"conv_id {rows.schema['conv_id'].dataType.simpleString()}, role string, head string, body string, part int, pos long, to long, tokens long"), "turns")
+    earlier = Window.partitionBy("conv_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = rows.groupBy("conv_id", "part").agg(F.count("*").alias("n"), F.sum("tokens").alias("sum"))
+    parts = parts.select("conv_id", "part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("n0"), F.coalesce(F.sum("sum").over(earlier), F.lit(0)).alias("t0"))
+    more = materialise(parts.where("n0 > 0"), "parts").select(F.col("conv_id").alias("c"), F.col("part").alias("p"), "n0", "t0")
+    rows = rows.join(more, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("part") == F.col("p")), "left")
+    plus = lambda x, y: (F.col(x) + F.coalesce(F.col(y), F.lit(0))).alias(x)
+    return rows.select("conv_id", plus("pos", "n0"), plus("to", "t0"), "tokens", "role", "head", "body")
 
 
 def windows(conversations: DataFrame, tokenizer: str, budget: int = 2048, history_budget: int = 512, history_turns: int = 4) -> DataFrame:
     """conv_id, window (from 0, ascending with the turns), formatted, loss_spans, n_tokens, n_repeated (turns at the head that earlier windows hold), n_turns, over_budget."""
-    text = lambda name: F.coalesce(F.col(name), F.lit(""))
-    rows = conversations.select("conv_id", "turn", text("role").alias("role"), text("text").alias("text"))
-    rows = rows.withColumn("body", escape(F.col("text"))).withColumn("head", F.concat(F.lit("<|turn|>"), escape(F.col("role")), F.lit("<|text|>")))
-    rows = rows.withColumn("tokens", _counter(tokenizer)(F.concat("head", "body", F.lit("<|end|>"))))
-    rows = rows.withColumn("block", F.coalesce(F.floor(F.col("turn") / BLOCK), F.lit(-(2**62)))).drop("text")
-
-    # Prefix sums: within a block of turns, then over the blocks of a conversation.
-    order = Window.partitionBy("conv_id", "block").orderBy("turn", "role", "body")
-    rows = rows.withColumn("pos", F.row_number().over(order) - 1).withColumn("to", F.sum("tokens").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    blocks = rows.groupBy("conv_id", "block").agg(F.count("*").alias("n"), F.sum("tokens").alias("sum"))
-    earlier = Window.partitionBy("conv_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.select(F.col("conv_id").alias("c"), F.col("block").alias("b"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("n0"), F.coalesce(F.sum("sum").over(earlier), F.lit(0)).alias("t0"))
-    rows = rows.join(blocks, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("block") == F.col("b")))
-    rows = rows.withColumn("pos", F.col("pos") + F.col("n0")).withColumn("to", F.col("to") + F.col("t0")).drop("c", "b", "n0", "t0", "block", "turn")
+    turns = _turns(conversations, tokenizer)
+    rows = turns.select("conv_id", "pos", "to", "tokens", (F.col("role") == "system").alias("is_system"))
 
     # One row for each conversation: its first system turn, and what that leaves for spans.
-    first = F.min(F.when(F.col("role") == "system", F.struct("pos", "head", "body", "tokens")))
-    heads = rows.groupBy("conv_id").agg(first.alias("system"))
+    heads = rows.groupBy("conv_id").agg(F.min(F.when(F.col("is_system"), F.struct("pos", "tokens"))).alias("system"))
     share = F.greatest(F.lit(budget - history_budget) - F.coalesce(F.col("system.tokens"), F.lit(0)), F.lit(budget // 4))
-    heads = heads.select(F.col("conv_id").alias("c"), "system", share.cast("long").alias("share"))
+    heads = materialise(heads.select(F.col("conv_id").alias("c"), "system", share.cast("long").alias("share")), "heads")
     rows = rows.join(heads.select("c", "share"), F.col("conv_id").eqNullSafe(F.col("c"))).drop("c")
 
     rows = rows.withColumn("span", F.floor((F.col("to") - 1) / F.col("share")))
     group = Window.partitionBy("conv_id", "span")
     sticks = (F.col("to") - F.col("tokens") < F.col("span") * F.col("share")) & (F.sum("tokens").over(group) > F.col("share"))
-    rows = rows.withColumn("span", F.col("span") * 2 + F.when(sticks, 0).otherwise(1))
+    rows = materialise(rows.withColumn("span", F.col("span") * 2 + F.when(sticks, 0).otherwise(1)).drop("share"), "spans")
 
-    # Turns that a later span repeats: by the places just before its first turn.
+    # Turns that a later span repeats: by the places just before its first turn. From here on rows are places; texts join them last.
     spans = rows.groupBy("conv_id", "span").agg(F.min("pos").alias("p0"), F.min(F.col("to") - F.col("tokens")).alias("from"))
-    wanted = spans.where("p0 > 0").select(F.col("conv_id").alias("c"), F.col("span").alias("s"), "from", F.explode(F.sequence(F.greatest(F.col("p0") - history_turns, F.lit(0)), F.col("p0") - 1)).alias("p"))
-    is_system = F.col("role") == "system"
-    past = rows.drop("span").join(wanted, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("pos") == F.col("p")))
-    past = past.where((F.col("from") - F.col("to") + F.col("tokens") <= history_budget) & ~is_system).withColumnRenamed("s", "span")
-    lead = spans.join(heads.where("system is not null"), F.col("conv_id").eqNullSafe(F.col("c"))).where(F.col("system.pos") < F.col("p0"))
-    lead = lead.select("conv_id", "span", F.lit(-1).cast("long").alias("pos"), F.lit("system").alias("role"), "system.head", "system.body", "system.tokens", F.lit(1).alias("again"))
-    columns = ["conv_id", "span", "pos", "role", "head", "body", "tokens", "again"]
-    every = rows.withColumn("again", F.lit(0)).select(columns).unionByName(past.withColumn("again", F.lit(1)).select(columns)).unionByName(lead.select(columns))
+    spans = materialise(spans.select(F.col("conv_id").alias("c"), F.col("span").alias("s"), "p0", "from"), "starts")
+    wanted = spans.where("p0 > 0").select("c", "s", "from", F.explode(F.sequence(F.greatest(F.col("p0") - history_turns, F.lit(0)), F.col("p0") - 1)).alias("p"))
+    past = rows.join(wanted, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("pos") == F.col("p")))
+    past = past.where((F.col("from") - F.col("to") + F.col("tokens") <= history_budget) & ~F.col("is_system"))
+    lead = spans.join(heads.select(F.col("c").alias("k"), "system").where("system is not null"), F.col("c").eqNullSafe(F.col("k"))).where(F.col("system.pos") < F.col("p0"))
+    placed = rows.select("conv_id", "span", "pos", F.col("pos").alias("order"), F.lit(0).alias("again"))
+    placed = placed.unionByName(past.select("conv_id", F.col("s").alias("span"), "pos", F.col("pos").alias("order"), F.lit(1).alias("again")))
+    placed = placed.unionByName(lead.select(F.col("c").alias("conv_id"), F.col("s").alias("span"), F.col("system.pos").alias("pos"), F.lit(-1).cast("long").alias("order"), F.lit(1).alias("again")))
+    placed = materialise(placed.select(F.col("conv_id").alias("c"), "span", F.col("pos").alias("p"), "order", "again"), "placed")
+    every = placed.join(turns, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("pos") == F.col("p"))).select("conv_id", "span", F.col("order").alias("pos"), "again", "role", "head", "body", "tokens")
 
     rendered = F.concat("head", "body", F.lit("<|end|>"))
     before = Window.partitionBy("conv_id", "span").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
