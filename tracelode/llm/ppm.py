@@ -33,6 +33,7 @@ ORDER = 5
 END = 255  # never a byte of UTF-8: end symbol and what stands before a text's start
 SYMBOLS = 256
 UNIT_BYTES, UNIT_DOCS = 12_000_000, 60_000
+BUCKET_BYTES = 1 << 24  # of text a bucket of keys
 PIECE = 1 << 20  # what is worked on at once within a unit
 _UPPER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _SPACE = np.zeros(256, bool)
@@ -416,7 +417,9 @@ def _scores(units: DataFrame, answers: DataFrame, buckets: int, n: int, v: int)
 
 def score_pretrained(docs: DataFrame, modulus: int = 7, held: int = 2) -> DataFrame:
     """Scores every document by a trie of those whose fold isn't `held`: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
-    buckets = tasks_for(docs.sparkSession)
+    # What a bucket holds is bounded by the size of the texts, whatever the session's number of partitions.
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(tasks_for(docs.sparkSession), -(-size // BUCKET_BYTES))
     units = materialise(_units(docs, modulus, held), "units")
     requests = materialise(_requests(units, buckets), "asked")
     totals = materialise(_totals(requests, buckets), "totals")

@@ -1,6 +1,6 @@
 """Quality scores by supervised subword embeddings.
 
-A document is the mean of the learned vectors of its features: its words, its runs of three and of four bytes, and one feature
+A document is the mean of the learned vectors of its features: its words, its runs of three and of four bytes (which are its characters where those are ASCII), and one feature
 for a word that repeats the one before it; all but the last are hashed into BUCKETS rows. A softmax over two classes follows; both
 are trained by stochastic gradient descent in numpy on a bounded sample of labelled rows. Since the output is linear in
 the mean, scoring needs one number for each row: the difference of the two classes' products with its vector.
@@ -54,13 +54,15 @@ def features(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 def _sampled(docs: DataFrame, labels: DataFrame, target: str, folds: int, held: int, per_class: int, most_chars: int) -> tuple[DataFrame, float]:
     """Distinct labelled training texts, and the share of label 1 among labelled training rows."""
     known = labels.select("doc_id", F.col(target).cast("int").alias("y")).where("y in (0, 1)").where(fold(F.col("doc_id"), folds) != held)
-    share = known.agg(F.avg("y")).first()[0]
+    share = known.join(docs.select("doc_id"), "doc_id", "left_semi").agg(F.avg("y")).first()[0]
     # Hash and length stand for a text until the sample is drawn, so that the shuffles carry no texts.
-    brief = documents(docs).select("doc_id", F.xxhash64("text").alias("h"), F.length("text").alias("n")).where(F.col("n") <= most_chars)
+    texts = documents(docs).withColumn("h", F.xxhash64("text"))
+    brief = texts.select("doc_id", "h", F.length("text").alias("n")).where(F.col("n") <= most_chars)
     rows = brief.join(known, "doc_id").groupBy("h", "n", "y").agg(F.min("doc_id").alias("doc_id"))
     picked = [rows.where(F.col("y") == y).orderBy("h", "n").limit(per_class) for y in (0, 1)]
-    chosen = picked[0].unionByName(picked[1]).select("doc_id", "y")
-    return documents(docs).join(F.broadcast(chosen), "doc_id"), 0.5 if share is None else share
+    chosen = picked[0].unionByName(picked[1]).select("doc_id", "h", "y")
+    # Rows that repeat a doc_id and its text are one.
+    return texts.join(F.broadcast(chosen), ["doc_id", "h"]).dropDuplicates(["doc_id", "h", "y"]).drop("h"), 0.5 if share is None else share
 
 
 def train(rows: list[tuple[int, np.ndarray, np.ndarray]], dim: int = 12, epochs: int = 6, rate: float = 0.4, seed: int = 4) -> tuple[np.ndarray, float]:
