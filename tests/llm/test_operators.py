@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import re
 import time
@@ -10,8 +11,9 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+import corpus_pipeline
 from tracelode.llm import chat_format, decontam, digest, ngram_join, packing, pii, ppm, quality, token_store, toxicity
-from tracelode.llm.common import fold
+from tracelode.llm.common import fold, materialise
 from tracelode.llm.components import components
 from tracelode.llm.textnum import Words
 from tracelode.llm.tokens import ChunkedTokenizer, chunked, tokenizer_path
@@ -445,3 +447,105 @@ def test_toxic_rows_go_by_their_own_text(spark, docs, labels):
     assert kept.count() == scored.where("predicted = 0").count()
     assert kept.exceptAll(docs).isEmpty()
     assert toxicity.drop_toxic(docs.limit(0), labels).count() == 0
+
+
+def test_digest_against_a_plain_version(spark):
+    def plain(data):
+        counts = [0] * digest.BUCKETS
+        for at in range(len(data)):
+            for k, (i, j) in enumerate(digest.PAIRS):
+                if at + j < len(data):
+                    counts[int(digest._T[k, 0, data[at]]) ^ int(digest._T[k, 1, data[at + i]]) ^ int(digest._T[k, 2, data[at + j]])] += 1
+        cut = [sorted(counts)[q * digest.BUCKETS // 4 - 1] for q in (1, 2, 3)]
+        return [sum(c > q for q in cut) for c in counts] if any(counts) else [0] * digest.BUCKETS, min(255, round(8 * math.log2(1 + len(data))))
+
+    def near(x, y):
+        step = sum((0, 1, 2, 6)[abs(a - b)] for a, b in zip(x[0], y[0]))
+        return 1 - (step + min(24, abs(x[1] - y[1]))) / (6 * 128 + 24)
+
+    texts = [(i, t or "") for i, t in ODD if i not in (None, 7)]
+    got = sorted(digest.fingerprints(spark.createDataFrame(texts, "doc_id long, text string")).collect())
+    for r, (_, t), (_, after) in zip(got, texts, texts[1:] + texts[:1]):
+        half = len(t) // 2
+        own, edited, following = (plain(x.encode()) for x in (t, t[: len(t) - half] + after[:half], after))
+        d = digest.parse(r.fingerprint).tolist()
+        assert (d[:-1], d[-1]) == own and r.near_edited == pytest.approx(near(own, edited)) and r.near_next == pytest.approx(near(own, following))
+
+
+def test_field_climbs_the_exact_likelihood():
+    """One step from the start moves every weight the way that finite differences of the likelihood say."""
+    r = np.random.default_rng(12)
+    features, bounds, y = r.integers(0, 6, (9, 1)).astype(np.int32), np.array([0, 4, 9]), np.array([0, 1, 1, 0, 0, 0, 1, 1, 0])
+
+    def likelihood(w, move):
+        total = 0.0
+        for a, b in ((0, 4), (4, 9)):
+            def weight(path):
+                return math.exp(sum(w[features[a + t, 0]] * z for t, z in enumerate(path)) + sum(move[p, q] for p, q in zip(path, path[1:])))
+            total += math.log(weight(tuple(y[a:b])) / sum(weight(z) for z in np.ndindex(*[2] * (b - a))))
+        return total
+
+    start = np.array([[0.0, -2.0], [0.0, -2.0]])
+    w, move = toxicity.train(features, bounds, y, epochs=1)
+    for k in range(6):
+        up = np.zeros(6)
+        up[k] = 1e-5
+        slope = (likelihood(up, start) - likelihood(-up, start)) / 2e-5
+        assert np.sign(w[k]) == np.sign(slope) or abs(slope) < 1e-6
+    for i, j in np.ndindex(2, 2):
+        up = np.zeros((2, 2))
+        up[i, j] = 1e-5
+        slope = (likelihood(np.zeros(6), start + up) - likelihood(np.zeros(6), start - up)) / 2e-5
+        assert np.sign(move[i, j] - start[i, j]) == np.sign(slope) or abs(slope) < 1e-6
+
+
+def test_sample_is_of_documents_that_exist(spark, docs):
+    known = spark.createDataFrame([(1, 1), (5, 0), (7, 1), (990, 1), (991, 1), (None, 1)], "doc_id long, quality int")
+    folds = 10_000
+    sample, share = quality._sampled(docs, known, "quality", folds, -1, 5, 1000)
+    rows = sorted((r.doc_id, r.text, r.y) for r in sample.collect())
+    assert share == pytest.approx(2 / 3)
+    # 7 has two texts, one of which is that of 1; 5 is too long.
+    assert rows == sorted([(1, prose(60, 1), 1), (7, ODD[7][1], 1)])
+
+
+def test_pipeline_against_plain_stages(spark, tmp_path):
+    r = random.Random(90)
+    item = prose(40, 91)
+    clean = [(k, prose(50, 1000 + k)) for k in range(60)]
+    toxic = [(100 + k, f"{prose(30, 1200 + k)} idiot {prose(5, 1300 + k)} moron") for k in range(60)]
+    copies = [(200 + k, clean[k][1] + (" extra" if k % 2 else "")) for k in range(20)]
+    leaks = [(300 + k, f"{prose(12, 1400 + k)} {item} {prose(9, 1500 + k)}") for k in range(5)]
+    private = [(400, prose(40, 1600) + " mail me@example.com now"), (400, prose(40, 1601)), (401, None), (402, ""), (None, prose(40, 1602)), (403, LONG), (403, LONG)]
+    rows = [*clean, *toxic, *copies, *leaks, *private]
+    r.shuffle(rows)
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or ""), 1, b"x", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, h int, node binary, spans int")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    labels = [(i, 1, int(100 <= i < 200)) for i, _ in [*clean, *toxic]]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    stage = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    seen = {}
+    for name, f in corpus_pipeline.STAGES[:-1]:
+        stage = materialise(f(spark, stage, str(tmp_path)), "test")
+        assert stage.columns == docs.columns
+        seen[name] = sorted((q.doc_id or -1, q.text or "") for q in stage.collect())
+    tell = lambda rows: sorted((i or -1, t or "") for i, t in rows)
+    assert seen["toxicity"] == tell([*clean, *copies, *leaks, *private])
+    assert seen["ngram_join"] == tell([*clean, *leaks, *private[:-1]])
+    assert seen["decontamination"] == tell([*clean, *private[:-1]])
+    redacted = [(i, (t or "").replace("me@example.com", "<email>")) for i, t in [*clean, *private[:-1]]]
+    assert seen["pii"] == tell(redacted)
+    library = Tokenizer.from_file(tokenizer_path(WORD))
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    sizes = Counter()
+    for i, t in redacted:
+        sizes[i or -1] += len(library.encode(t, add_special_tokens=False).ids) + 1
+    mine = Counter()
+    for q in got:
+        mine[q.doc_id or -1] += q.length
+    assert mine == sizes and all(q.length <= 4096 for q in got)
+    spark.createDataFrame([], docs.schema).write.parquet(str(tmp_path / "none" / "documents.parquet"))
+    for name in ("benchmark", "labels"):
+        spark.read.parquet(str(tmp_path / f"{name}.parquet")).write.parquet(str(tmp_path / "none" / f"{name}.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
