@@ -1,4 +1,9 @@
-"""A cleaning pipeline over documents: toxicity, near copies, benchmark leaks, personal data, packing."""
+"""A cleaning pipeline over documents: toxicity, near copies, benchmark leaks, personal data, packing.
+
+Cases, in every stage: all columns of the documents are kept, whatever their names; a null text counts as empty (it is clean, no copy of
+anything, and one token long); rows that repeat a doc_id, or have none, are judged each by its own text, and of rows that repeat both doc_id and
+text the second stage keeps one; an empty table gives an empty result.
+"""
 
 from __future__ import annotations
 
@@ -11,27 +16,27 @@ from tracelode.llm import decontam, ngram_join, packing, pii, toxicity
 from tracelode.llm.common import materialise, table
 from tracelode.llm.tokens import tokenizer_path
 
-COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is one half or more go; the field is fitted on the labels of those that came. Each row is judged by its own text."""
-    return toxicity.drop_toxic(docs.select(*COLUMNS), table(spark, sf_dir, "labels"))
+    return toxicity.drop_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near copies stays, that with the least doc_id."""
-    return ngram_join.keep_one(docs.select(*COLUMNS))
+    """One document of each class of near copies stays, that with the least doc_id; documents without words stay."""
+    return ngram_join.keep_one(docs)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a near copy of a benchmark item go."""
-    return decontam.clean(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"))
+    return decontam.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def redact_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data gives way to placeholders; n_chars is counted anew where the text changed."""
-    done = pii.redact(docs.select(*COLUMNS))
+    """Personal data gives way to placeholders; n_chars, if there is such a column, is counted anew."""
+    done = pii.redact(docs)
+    if "n_chars" not in docs.columns:
+        return done
     return done.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
 
 
@@ -49,7 +54,7 @@ STAGES = [
     ("packing", pack),
 ]
 
-#: Learned scores and packing aren't expressible in SQL; tests/llm holds the stages against plain versions.
+#: Learned scores and packing aren't expressible in SQL; tests/llm holds the stages and the whole against plain versions.
 ORACLE_SQL = None
 
 
