@@ -17,15 +17,45 @@ DANGEROUS = (
 MOST_ROWS = 1000
 
 
+#: Functions that run code of the machine; data needs none of them.
+REFLECTION = ("reflect", "try_reflect", "java_method")
+#: Words at which a list of tables ends.
+_ENDS = "from|join|where|group|order|having|limit|offset|on|using|union|intersect|except|minus|window|qualify|lateral|tablesample|pivot|unpivot|select|sort|cluster|distribute|natural|left|right|inner|full|cross|semi|anti"
+_DEPTH = 12
+
+
+def tables_read(text: Column) -> Column:
+    """What stands where a query names tables, in lower case, as an array; "?" for what can't be read with certainty.
+
+    Texts in quotes vanish and plain names lose their back-ticks. Then brackets are taken off from the innermost: a subquery is kept to be read and
+    leaves a mark that may stand for a table, any other bracket leaves one that may not. What is left has no brackets, so its lists after FROM and JOIN
+    end at the next clause, and their members are told apart by commas."""
+    low = F.lower(text)
+    bare = F.regexp_replace(low, r"""'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*"|`([a-z_][a-z0-9_]*)`""", "$1")
+
+    def off(acc: Column, _: Column) -> Column:
+        inner = F.regexp_extract_all(acc["text"], F.lit(r"\(\s*(select\b[^()]*)\)"), F.lit(1))
+        left = F.regexp_replace(F.regexp_replace(acc["text"], r"\(\s*select\b[^()]*\)", " \u00a7 "), r"\([^()]*\)", " \u00a4 ")
+        return F.struct(left.alias("text"), F.concat(acc["queries"], inner).alias("queries"))
+
+    def members(query: Column) -> Column:
+        lists = F.regexp_extract_all(query, F.lit(rf"(?s)\b(?:from|join)\b(.*?)(?=\b(?:{_ENDS})\b|;|$)"), F.lit(1))
+        return F.flatten(F.transform(lists, lambda x: F.transform(F.split(x, ","), lambda y: F.coalesce(F.nullif(F.regexp_extract(F.trim(F.translate(y, "\n\t\r", "   ")), r"^(\S+)", 1), F.lit("")), F.lit("?")))))
+
+    start = F.struct(bare.alias("text"), F.array().cast("array<string>").alias("queries"))
+    found = F.aggregate(F.sequence(F.lit(1), F.lit(_DEPTH)), start, off, lambda acc: F.concat(F.flatten(F.transform(F.array_append(acc["queries"], acc["text"]), members)), F.when(acc["text"].rlike(r"[()`'\"]|\btable\b"), F.array(F.lit("?"))).otherwise(F.array().cast("array<string>"))))
+    # Raw texts escape nothing, so their ends can't be told from here.
+    return F.filter(F.when(low.rlike(r"\br['\"]"), F.array(F.lit("?"))).otherwise(found), lambda t: t != "\u00a7")
+
+
 def audit(text: Column) -> Column:
-    """verdict (valid, empty, not_select, dangerous_pattern, forbidden_operation, unauthorized_table), what was matched, and an excerpt."""
+    """verdict (valid, empty, not_select, dangerous_pattern, forbidden_operation, unauthorized_table), what was matched ("?": tables that can't be read), and an excerpt."""
     low = F.lower(F.trim(text))
     bare = F.regexp_replace(low, r"'(?:[^']|'')*'", "''")
     pattern = F.filter(F.array(*map(F.lit, DANGEROUS)), lambda p: F.contains(low, p))
     words = F.regexp_extract_all(bare, F.lit(r"[a-z_][a-z0-9_]*"), F.lit(0))
-    word = F.filter(words, lambda w: w.isin([x.lower() for x in FORBIDDEN]))
-    names = F.regexp_extract_all(bare, F.lit(r"\b(?:from|join)\s+\"?([a-z_][a-z0-9_]*)"), F.lit(1))
-    foreign = F.array_except(names, F.array(*map(F.lit, TABLES)))
+    word = F.filter(words, lambda w: w.isin([*(x.lower() for x in FORBIDDEN), *REFLECTION]))
+    foreign = F.array_except(tables_read(text), F.array(*map(F.lit, TABLES)))
     first = lambda x: F.get(x, F.lit(0))
     verdict = F.when(low == "", "empty").when(~low.startswith("select"), "not_select").when(F.size(pattern) > 0, "dangerous_pattern").when(F.size(word) > 0, "forbidden_operation").when(F.size(foreign) > 0, "unauthorized_table").otherwise("valid")
     matched = F.when(verdict == "dangerous_pattern", first(pattern)).when(verdict == "forbidden_operation", first(word)).when(verdict == "unauthorized_table", first(foreign))
@@ -33,6 +63,14 @@ def audit(text: Column) -> Column:
     return F.struct(verdict.alias("verdict"), matched.alias("matched"), advice.alias("suggestion"), excerpt(F.trim(text)).alias("excerpt"))
 
 
+def syntax_report(text: Column) -> Column:
+    """valid, issues and suggestions (lists), the query and its excerpt."""
+    a = audit(text)
+    issue = F.when(a["verdict"] != "valid", F.concat_ws(": ", a["verdict"], a["matched"]))
+    one = lambda x: F.filter(F.array(x), lambda y: y.isNotNull())
+    return F.struct((a["verdict"] == "valid").alias("valid"), one(issue).alias("issues"), one(a["suggestion"]).alias("suggestions"), text.alias("query"), a["excerpt"].alias("query_excerpt"))
+
+
 def limit_of(text: str, limit: int) -> int | None:
     """The limit to append: none if the text has its own or the limit isn't positive; at most MOST_ROWS."""
     return None if "limit" in text.lower() or limit <= 0 else min(limit, MOST_ROWS)
@@ -47,13 +85,25 @@ def guarded_sql(spark: SparkSession, text: str, limit: int = 100, args: list | N
     return found if n is None else found.limit(n)
 
 
-def inspect_schema(tables: dict[str, DataFrame]) -> DataFrame:
-    """A row for each column of each table, with the table's row count."""
-    parts = []
+def inspect_schema(tables: dict[str, DataFrame], with_views: bool = True, samples: int = 0) -> DataFrame:
+    """A row for each column of each table (views, by their prefix vw_, only if asked for): type, nullability, the table's row count, `samples` values as texts, and error.
+
+    A table that can't be read has one row, with its error; the others aren't touched by it."""
+    none = F.lit(None).cast("string")
+    out = None
     for name, df in sorted(tables.items()):
-        fields = F.array(*(F.struct(F.lit(i + 1).alias("position"), F.lit(f.name).alias("column_name"), F.lit(f.dataType.simpleString()).alias("data_type")) for i, f in enumerate(df.schema)))
-        parts.append(df.agg(F.count("*").alias("n_rows")).select(F.lit(name).alias("table_name"), "n_rows", F.explode(fields).alias("f")).select("table_name", "f.*", "n_rows"))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
+        if not with_views and name.startswith("vw_"):
+            continue
+        try:
+            n = F.count("*").alias("n_rows")
+            values = [F.slice(F.array_sort(F.collect_set(F.col(f"`{f.name}`").cast("string"))), 1, samples).alias(f"s{i}") for i, f in enumerate(df.schema)] if samples else []
+            source = df.orderBy(*[f"`{c}`" for c in df.columns[:1]]).limit(samples).agg(*values) if samples else None
+            empty = F.array().cast("array<string>")
+            fields = F.array(*(F.struct(F.lit(i + 1).alias("position"), F.lit(f.name).alias("column_name"), F.lit(f.dataType.simpleString()).alias("data_type"), F.lit(f.nullable).alias("nullable"), (F.col(f"s{i}") if samples else empty).alias("samples")) for i, f in enumerate(df.schema)))
+            part = df.agg(n)
+            part = part.join(F.broadcast(source)) if samples else part  # one row each
+            part = part.select(F.lit(name).alias("table_name"), "n_rows", F.explode(fields).alias("f")).select("table_name", "f.*", "n_rows", none.alias("error"))
+        except Exception as failed:  # a broken view, say
+            part = df.sparkSession.createDataFrame([(name, str(failed)[:500])], "table_name string, error string").select("table_name", F.lit(None).cast("int").alias("position"), none.alias("column_name"), none.alias("data_type"), F.lit(None).cast("boolean").alias("nullable"), F.array().cast("array<string>").alias("samples"), F.lit(None).cast("long").alias("n_rows"), "error")
+        out = part if out is None else out.unionByName(part)
     return out
