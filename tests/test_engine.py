@@ -9,16 +9,18 @@ from pyspark.sql import functions as F
 from tests.compare import spark_rows, sql_rows
 from tracelode.functions.rules import PRODUCER
 from tracelode.functions.scalars import excerpt, line_count, notebook_name, parse_time
-from tracelode.operators import graph, guard, tracked
+from tracelode.operators import executions, graph, guard, profile, tracked
 from tracelode.plans.queries import QUERIES, SQL
+from tracelode.sources import catalogue
 from tracelode.sources.jsonl import checked
+from tracelode.streaming.ingest import open_executions
 
 SF = "/root/testdata/sf0.001"
 RUNTIME = {"event_type": "cell_execution_start", "execution_id": "abcdef01", "cell_id": "c", "cell_source": "x", "cell_source_lines": 1, "start_memory_mb": 1.5, "timestamp": "2024-01-01T00:00:00Z", "session_id": "abcdef02", "emitted_at": "1700000000"}
 RUN = {"eventType": "COMPLETE", "eventTime": "t", "run": {"runId": "r"}, "job": {"namespace": "n", "name": "j"}, "inputs": [{"namespace": "n", "name": "d"}], "outputs": [], "producer": PRODUCER, "schemaURL": "u", "session_id": "s", "emitted_at": "t"}
 
 
-@pytest.mark.parametrize("name", ["validate_runtime", "validate_frames", "runtime_events", "vw_dataframe_lineage", "q6_session_overview", "paired_executions", "upstream_closure", "cycles", "tracked_events", "query_log_audit", "streamed_ingest", "scanned_logs"])
+@pytest.mark.parametrize("name", ["validate_runtime", "validate_frames", "runtime_events", "vw_dataframe_lineage", "q6_session_overview", "paired_executions", "upstream_closure", "cycles", "tracked_events", "query_log_audit", "streamed_ingest", "scanned_logs", "vw_lineage_io", "vw_performance_metrics", "q1_recent_events", "q3_slow_executions", "q4_errors", "schema_changes", "schema_retypes", "column_profile", "compliance_errors", "table_samples", "catalogue_sql", "ingest_statistics"])
 def test_query_matches_sql(spark, name):
     assert spark_rows(QUERIES[name](spark, SF)) == sql_rows(SF, SQL[name])
 
@@ -78,10 +80,89 @@ def test_guard(spark):
     assert guard.limit_of("select 1 limit 5", 9) is None and guard.limit_of("select 1", 5000) == 1000 and guard.limit_of("select 1", 0) is None
 
 
+@pytest.mark.parametrize("text", [
+    "SELECT * FROM `secrets`", "SELECT * FROM runtime_events, secrets", "SELECT * FROM(secrets)", "SELECT * FROM runtime_events r, `parquet`.`/etc/x`", "SELECT * FROM parquet.`/etc/x`", 'SELECT * FROM "secrets"',
+    "SELECT * FROM (SELECT 1 FROM runtime_events) t, secrets", "SELECT * FROM (runtime_events JOIN secrets)", "SELECT 1 FROM runtime_events UNION TABLE secrets", "SELECT ')' , * FROM runtime_events\n,\n secrets",
+    'SELECT "(" , * FROM secrets WHERE x = ")"', "SELECT 1 WHERE r'\\' = '' AND EXISTS (SELECT 1 FROM secrets WHERE '' = '')", "SELECT (SELECT max(a) FROM secrets)", "SELECT * FROM range(3)", "SELECT * FROM runtime_events JOIN other.vw_lineage_io", "SELECT * FROM runtime_events LATERAL JOIN secrets",
+])
+def test_guard_reads_every_table(spark, text):
+    assert spark.range(1).select(guard.audit(F.lit(text))["verdict"]).first()[0] in ("unauthorized_table", "dangerous_pattern")
+    with pytest.raises(ValueError):
+        guard.guarded_sql(spark, text)
+
+
+def test_guard_lets_the_catalogue_pass(spark):
+    for text in ("SELECT a, count(*) FROM runtime_events r, vw_lineage_io v WHERE r.x IN (1, 2) GROUP BY a", "select * from `runtime_events` t join (select max(y) y from lineage_events where z = 'from secrets') q on t.y = q.y", "SELECT 1", "SELECT * FROM runtime_events WHERE cell_id = 'it''s (a' AND n = \"b)\""):
+        assert spark.range(1).select(guard.audit(F.lit(text))["verdict"]).first()[0] == "valid", text
+    report = spark.range(1).select(guard.syntax_report(F.lit("DROP x")).alias("r")).first().r
+    assert not report.valid and report.issues == ["not_select"] and report.suggestions == ["Start with SELECT."]
+    with pytest.raises(ValueError, match="forbidden_operation"):
+        guard.guarded_sql(spark, "SELECT reflect('java.lang.System', 'exit')")
+
+
 def test_observed_rows(spark):
     t = tracked.track_filter(spark.range(10).toDF("x"), "x > 6", observe=True)
     assert t.result.count() == 3 and t.observation.get["rows"] == 3
-    assert tracked.column_mapping(["a", "b"], ["a", "s"], "d", "o") == {"o.a": ["d.a"], "o.s": ["d.a", "d.b"]}
+    assert tracked.column_mapping([("d", ["a", "b"])], ["a", "s"], "o") == {"o.a": ["d.a"], "o.s": ["d.a", "d.b"]}
+    assert tracked.column_mapping([("l", ["k", "l"]), ("r", ["k", "r"])], ["k", "l", "r"], "o") == {"o.k": ["l.k", "r.k"], "o.l": ["l.l"], "o.r": ["r.r"]}
+
+
+def test_tracked_events_keep_the_rules(spark):
+    a, b = spark.createDataFrame([(1, 2)], "k long, l long"), spark.createDataFrame([(1, "x")], "k long, r string")
+    done = [
+        tracked.track_select(a, ["k"]), tracked.track_filter(a, "l > 1"), tracked.track_group(a, ["k"], "sum", ["l"]), tracked.track_join(a, b, "k"), tracked.track_join(a, b, ["k"], "left"),
+        tracked.track_with_column(a, "m", F.col("l") + 1),
+    ]
+    for t in done:
+        assert checked(tracked.lines(t.events), "dataframe_lineage").first().violations == []
+    place = tracked.Place("abcdef01", "c", "abcdef02")
+    data, run = [tracked.dataset(a, "a")], F.lit("0" * 32)
+    for state in ("START", "COMPLETE", "ABORT", "FAIL"):
+        event = tracked.run_event(state, run, "job", data, data, F.current_timestamp(), place, F.lit(5), F.lit("it broke"))
+        row = checked(spark.range(1).select(event.alias("value")), "lineage").first()
+        assert row.violations == [] and ("it broke" in row.value) == (state in ("ABORT", "FAIL"))
+    frame, start = tracked.track_source(a, "a", place)
+    assert frame is a and checked(start, "lineage").first().violations == []
+    mapped = done[3].events.select("column_lineage.column_mapping").first()[0]
+    assert mapped["out.r"] == ["right.r"] and mapped["out.k"] == ["left.k", "right.k"]
+
+
+def test_cell_events_keep_the_rules(spark):
+    jobs = spark.sql("SELECT '0000000a' AS execution_id, 'c' AS cell_id, 'x' AS source, '0000000b' AS session_id, timestamp'2024-01-01 00:00:00' AS started, timestamp'2024-01-01 00:00:01' AS ended, 1.0D AS start_memory_mb, 2.0D AS end_memory_mb, e AS error FROM VALUES (NULL), ('bad') AS t(e)")
+    made = tracked.lines(executions.cell_events(jobs))
+    assert {r.violations == [] for r in checked(made, "runtime").collect()} == {True}
+    assert sorted(json.loads(r.value)["event_type"] for r in made.collect()) == ["cell_execution_end", "cell_execution_error", "cell_execution_start", "cell_execution_start"]
+
+
+def test_profile_takes_any_type(spark):
+    df = spark.createDataFrame([("b", 2**53, None), ("a", 2**53 + 1, 1.5), ("b", None, 1.5)], "t string, n long, x double")
+    got = {r["column"]: tuple(r)[1:] for r in profile.column_profile(df, ["t", "n", "x"]).collect()}
+    assert got == {"t": (0, 2, "a", "b"), "n": (1, 2, str(2**53), str(2**53 + 1)), "x": (1, 1, "1.5", "1.5")}
+
+
+def test_stored_tables_by_notebook(spark, tmp_path):
+    path = str(tmp_path / "runtime")
+    assert catalogue.stored(spark, "runtime_events", path).count() == 0
+    rows = spark.createDataFrame([], catalogue.SCHEMAS["runtime_events"]).unionByName(spark.sql("SELECT id AS event_id FROM range(6)"), allowMissingColumns=True)
+    catalogue.append(rows.withColumn("notebook_hash", F.when(F.col("event_id") < 4, "aaaaaaaa").otherwise("bbbbbbbb")), path)
+    mine = catalogue.stored(spark, "runtime_events", path, "bbbbbbbb")
+    assert sorted(r.event_id for r in mine.collect()) == [4, 5]
+    assert "PartitionFilters: [isnotnull(notebook_hash" in mine._jdf.queryExecution().toString()  # other notebooks' files aren't opened
+    assert catalogue.incompatible(rows, catalogue.SCHEMAS["runtime_events"]) == []
+    assert catalogue.incompatible(rows.select(F.col("event_id").cast("int"), F.lit("x").alias("duration_ms")), "event_id long, duration_ms double, cell_id string") == [("duration_ms", "string", "double"), ("cell_id", "none", "string")]
+    found = guard.inspect_schema({"runtime_events": rows, "vw_x": rows}, with_views=False, samples=2).where("column_name = 'event_id'").first()
+    assert (found.n_rows, found.nullable, found.samples, found.error) == (6, True, ["0", "1"], None)
+
+
+def test_open_executions_meet_over_any_edge(spark, tmp_path):
+    """An execution that runs for hours, one that never ends, and one without a start."""
+    rows = [[("a", "cell_execution_start", "2024-01-01 00:09:59"), ("b", "cell_execution_start", "2024-01-01 00:10:00"), ("c", "cell_execution_end", "2024-01-01 00:10:00")], [("a", "cell_execution_end", "2024-01-01 05:00:00")], [("z", "cell_execution_start", "2024-01-09 00:00:00")], [("z", "cell_execution_end", "2024-01-09 00:00:01")]]
+    for k, part in enumerate(rows):
+        spark.createDataFrame(part, "execution_id string, event_type string, t string").selectExpr("execution_id", "event_type", "cast(t as timestamp) AS emitted_at").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema("execution_id string, event_type string, emitted_at timestamp").parquet(str(tmp_path / "in"))
+        open_executions(stream).writeStream.format("parquet").outputMode("append").option("checkpointLocation", str(tmp_path / "check")).option("path", str(tmp_path / "out")).trigger(availableNow=True).start().awaitTermination()
+    got = {r.execution_id: (r.state, str(r.ended)) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got == {"a": ("closed", "2024-01-01 05:00:00"), "b": ("open", "None"), "c": ("unmatched", "2024-01-01 00:10:00"), "z": ("closed", "2024-01-09 00:00:01")}
 
 
 def test_entry_is_imported_without_a_session():

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalars import line_count
+from ..plans.scratch import settled
+
 
 def paired(runtime: DataFrame) -> DataFrame:
     """A row for each execution with a start: its times and state (end, error or open). One aggregation, with partial sums before the shuffle."""
@@ -42,7 +45,11 @@ def runs(lineage: DataFrame) -> DataFrame:
 
 
 def session_overview(runtime: DataFrame) -> DataFrame:
-    return runtime.groupBy("session_id").agg(F.count("*").alias("n_events"), F.countDistinct("execution_id").alias("n_executions"), F.avg("duration_ms").alias("avg_duration"), F.max("duration_ms").alias("max_duration"), F.min("timestamp").alias("first_time"), F.max("timestamp").alias("last_time"))
+    """Sessions by their events that have a duration."""
+    return runtime.where("duration_ms is not null").groupBy("session_id").agg(
+        F.count("*").alias("total_events"), F.countDistinct("execution_id").alias("unique_executions"), F.avg("duration_ms").alias("avg_duration_ms"), F.max("duration_ms").alias("max_duration_ms"),
+        F.min("timestamp").alias("session_start"), F.max("timestamp").alias("session_end"),
+    )
 
 
 def error_summary(runtime: DataFrame) -> DataFrame:
@@ -51,8 +58,42 @@ def error_summary(runtime: DataFrame) -> DataFrame:
 
 
 def schema_changes(versions: DataFrame) -> DataFrame:
-    """versions: dataset, version_time, columns (array). A row where columns differ from the version before."""
-    w = Window.partitionBy("dataset").orderBy("version_time")
-    rows = versions.withColumn("before", F.lag("columns").over(w)).where("before is not null")
-    out = rows.select("dataset", "version_time", F.array_sort(F.array_except("columns", "before")).alias("added"), F.array_sort(F.array_except("before", "columns")).alias("removed"))
-    return out.where("size(added) > 0 or size(removed) > 0")
+    """versions: dataset, version_time, columns (an array of names, or of structs of name and type). A row where they differ from the version before: names added, removed and, if types are given, retyped.
+
+    A dataset of any number of versions is spread over tasks: versions lie in ranges of time, and each range's last one is handed on to the next."""
+    typed = versions.schema["columns"].dataType.elementType.typeName() == "struct"
+    rows = versions.withColumn("columns", F.transform("columns", lambda c: F.struct(c["name"].alias("name"), c["type"].alias("type")) if typed else F.struct(c.alias("name"), F.lit("").alias("type"))))
+    rows = rows.repartitionByRange("dataset", "version_time").withColumn("part", F.spark_partition_id())
+    rows = settled(rows, "versions")
+    last = rows.groupBy("dataset", "part").agg(F.max_by("columns", "version_time").alias("last"))
+    handed = F.lag("last").over(Window.partitionBy("dataset").orderBy("part"))
+    last = last.select("dataset", "part", handed.alias("handed"))
+    w = Window.partitionBy("dataset", "part").orderBy("version_time")
+    rows = rows.withColumn("inside", F.lag("columns").over(w)).join(last, ["dataset", "part"]).withColumn("before", F.coalesce("inside", "handed")).where("before is not null")
+    names = lambda c: F.transform(c, lambda x: x["name"])
+    old, new = names("before"), names("columns")
+    other = F.filter("columns", lambda x: F.array_contains(names("before"), x["name"]) & ~F.array_contains(F.col("before"), x))
+    out = rows.select("dataset", "version_time", F.array_sort(F.array_except(new, old)).alias("added"), F.array_sort(F.array_except(old, new)).alias("removed"), F.array_sort(names(other)).alias("retyped"))
+    return out.where("size(added) > 0 or size(removed) > 0 or size(retyped) > 0")
+
+
+def dataset_schemas(lineage: DataFrame, side: str = "inputs_json") -> DataFrame:
+    """dataset, version_time and columns (name, type) as schema facets of lineage events tell them, for schema_changes."""
+    facet = "array<struct<name:string,facets:struct<schema:struct<fields:array<struct<name:string,type:string>>>>>>"
+    rows = lineage.select("event_time", F.explode(F.from_json(side, facet)).alias("d"))
+    rows = rows.select(F.col("d.name").alias("dataset"), F.col("event_time").alias("version_time"), F.col("d.facets.schema.fields").alias("columns"))
+    return rows.where("columns is not null").groupBy("dataset", "version_time").agg(F.max("columns").alias("columns"))
+
+
+def cell_events(jobs: DataFrame) -> DataFrame:
+    """Runtime events of jobs that ran (T18): jobs has execution_id, cell_id, source, session_id, started, ended, start_memory_mb, end_memory_mb, error (text; null: none). A start event each, and an end or an error."""
+    ms = (F.unix_micros("ended") - F.unix_micros("started")) / 1000.0
+    stamp = lambda t: F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+    base = ["execution_id", "cell_id", F.col("source").alias("cell_source"), F.greatest(line_count(F.col("source")), F.lit(1)).alias("cell_source_lines"), "start_memory_mb", "session_id"]
+    none = lambda kind: F.lit(None).cast(kind)
+    failed = "struct<error_type:string,error_message:string,traceback:string>"
+    start = jobs.select(F.lit("cell_execution_start").alias("event_type"), *base, none("double").alias("end_memory_mb"), none("double").alias("duration_ms"), stamp("started").alias("timestamp"), none(failed).alias("error_info"))
+    error = F.when(F.col("error").isNotNull(), F.struct(F.lit("Error").alias("error_type"), F.col("error").alias("error_message"), F.lit("").alias("traceback")))
+    kind = F.when(F.col("error").isNotNull(), "cell_execution_error").otherwise("cell_execution_end")
+    end = jobs.where("ended is not null").select(kind.alias("event_type"), *base, "end_memory_mb", ms.alias("duration_ms"), stamp("ended").alias("timestamp"), error.alias("error_info"))
+    return start.unionByName(end).withColumn("emitted_at", F.col("timestamp"))

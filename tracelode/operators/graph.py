@@ -60,9 +60,23 @@ def impact(edges: DataFrame, changed: DataFrame, max_depth: int | None = None) -
     return closure(edges, changed, max_depth).groupBy("seed").agg(F.countDistinct("node").alias("n_nodes"), F.max("depth").alias("max_depth"))
 
 
+def _peeled(edges: DataFrame) -> DataFrame:
+    """Edges whose ends both have edges in and out: no other lies on a cycle. Rounds go on while they take a tenth of the edges, so that a long chain, which loses an edge at a time, ends them."""
+    now = settled(edges.select("source", "target").distinct(), "edges")
+    n = now.count()
+    while n:
+        kept = now.join(now.select(F.col("source").alias("target")), "target", "left_semi").join(now.select(F.col("target").alias("source")), "source", "left_semi")
+        now = settled(kept.select("source", "target"), "edges")
+        before, n = n, now.count()
+        if n * 10 > before * 9:
+            break
+    return now
+
+
 def in_cycles(edges: DataFrame) -> DataFrame:
-    """Nodes that reach themselves."""
-    return closure(edges, edges.select(F.col("source").alias("node")).distinct()).where("seed = node").select("node").distinct()
+    """Nodes that reach themselves. Ways are followed only among the edges that peeling leaves."""
+    core = _peeled(edges)
+    return closure(core, core.select(F.col("source").alias("node")).distinct()).where("seed = node").select("node").distinct()
 
 
 def degrees(edges: DataFrame) -> DataFrame:
@@ -75,6 +89,6 @@ def degrees(edges: DataFrame) -> DataFrame:
 
 def chain_metrics(reached: DataFrame, frames_view: DataFrame) -> DataFrame:
     """Rows, time and size along what each seed reaches, by the operations that made those frames."""
-    ops = frames_view.select(F.col("output_name").alias("node"), "input_rows", "output_rows", "overhead_ms", "df_size_mb")
+    ops = frames_view.select(F.col("output_variable").alias("node"), "input_rows", "output_rows", "overhead_ms", "df_size_mb")
     out = reached.select("seed", "node").join(ops, "node").groupBy("seed").agg(F.count("*").alias("n_operations"), F.sum("input_rows").alias("rows_in"), F.sum("output_rows").alias("rows_out"), F.sum("overhead_ms").alias("overhead_ms"), F.max("df_size_mb").alias("max_mb"))
     return out.withColumn("retention", F.when(F.col("rows_in") > 0, F.col("rows_out") / F.col("rows_in")))

@@ -7,10 +7,30 @@ from pyspark.sql import functions as F
 
 
 def column_profile(df: DataFrame, columns: list[str]) -> DataFrame:
-    """A row for each column: null_count, distinct_count, least and most as texts. One pass to long form, one aggregation by column."""
-    cell = F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("x")) for c in columns)))
+    """A row for each column, of any type that has an order: null_count, distinct_count, least and most (as texts, by the column's own order).
+
+    Distinct values are counted in long form, as texts, so that one aggregation serves all columns; the rest is one aggregation without a shuffle of rows."""
+    cell = F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("x")) for c in columns)))
     long = df.select(cell.alias("c")).select("c.*").groupBy("column", "x").agg(F.count("*").alias("n"))
-    return long.groupBy("column").agg(F.sum(F.when(F.col("x").isNull(), F.col("n")).otherwise(0)).alias("null_count"), F.count("x").alias("distinct_count"), F.min("x").alias("least"), F.max("x").alias("most"))
+    counts = long.groupBy("column").agg(F.sum(F.when(F.col("x").isNull(), F.col("n")).otherwise(0)).alias("null_count"), F.count("x").alias("distinct_count"))
+    ends = df.agg(F.array(*(F.struct(F.lit(c).alias("column"), F.min(c).cast("string").alias("least"), F.max(c).cast("string").alias("most")) for c in columns)).alias("e"))
+    return counts.join(F.broadcast(ends.select(F.inline("e"))), "column")  # a row for each column
+
+
+def first_rows(df: DataFrame, by: str, n: int = 5) -> DataFrame:
+    """The n first rows by a column, as a sample to look at: the same rows each time."""
+    return df.orderBy(by, *[c for c in df.columns if c != by]).limit(n)
+
+
+def errors_listed(checked: DataFrame, key: str) -> DataFrame:
+    """Every broken rule with its ordinal in its event: key, ordinal (from 1), path, rule."""
+    return checked.select(key, F.posexplode("violations").alias("at", "v")).select(key, (F.col("at") + 1).alias("ordinal"), "v.path", "v.rule")
+
+
+def file_statistics(checked: DataFrame) -> DataFrame:
+    """By file: lines read, processed and failed, and the share that passed."""
+    ok = F.count_if(F.size("violations") == 0)
+    return checked.groupBy("path").agg(F.count("*").alias("n_lines"), ok.alias("processed"), (F.count("*") - ok).alias("failed"), (ok / F.count("*")).alias("rate"))
 
 
 def table_counts(tables: dict[str, DataFrame]) -> DataFrame:

@@ -5,17 +5,17 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars
 from ..functions.normalize import ROWS
 from ..operators import executions, graph, guard, profile, tracked, views
 from ..operators.views import names_of
-from ..sources import jsonl
+from ..sources import catalogue, jsonl
 from ..sources.corpus import LINES, load
-from ..streaming.ingest import start_ingest
-from .scratch import shared_dir
+from ..streaming.ingest import start_ingest, statistics
+from .scratch import settled, shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -45,16 +45,28 @@ def _split(spark: SparkSession, sf_dir: str, kind: str) -> tuple[DataFrame, Data
     return jsonl.split(jsonl.checked(LINES[kind](spark, sf_dir), kind), kind, F.col("key"))
 
 
+_STORED: dict[tuple[str, ...], DataFrame] = {}
+
+
+def _table(spark: SparkSession, sf_dir: str, kind: str, name: str) -> DataFrame:
+    """A stored table: lines are checked and typed once for each input and session and written; queries read columns and ranges of times of what is stored."""
+    key = (spark.sparkContext.applicationId, shared_dir(spark), sf_dir, kind)
+    if key not in _STORED:
+        rows = _split(spark, sf_dir, kind)[0]
+        _STORED[key] = settled(rows.sortWithinPartitions(catalogue.TIME[name]), name)
+    return _STORED[key]
+
+
 def runtime(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _split(spark, sf_dir, "runtime")[0]
+    return _table(spark, sf_dir, "runtime", "runtime_events")
 
 
 def lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _split(spark, sf_dir, "lineage")[0]
+    return _table(spark, sf_dir, "lineage", "lineage_events")
 
 
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _split(spark, sf_dir, "dataframe_lineage")[0]
+    return _table(spark, sf_dir, "dataframe_lineage", "dataframe_lineage_events")
 
 
 def perf(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,7 +86,8 @@ _DEFECT = "CASE WHEN event_id % 97 = 0 THEN 97 WHEN event_id % 89 = 0 THEN 89 WH
 RT = f"""rt AS (SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'cell_execution_start' WHEN event_type = 'error' THEN 'cell_execution_error' ELSE 'cell_execution_end' END AS event_type,
  format('{{:08x}}', event_id // 2) AS execution_id, 'cell_' || (user_id % 20) AS cell_id, 'x = ' || event_id AS cell_source, 1 + event_id % 5 AS cell_source_lines, CAST(100 + event_id % 64 AS DOUBLE) AS start_memory_mb,
  CASE WHEN event_id % 2 = 1 THEN CAST(100 + event_id % 64 + event_id % 17 AS DOUBLE) END AS end_memory_mb, CASE WHEN event_id % 2 = 1 THEN round(value * 10, 3) END AS duration_ms, epoch_us(ts) AS us, format('{{:08x}}', user_id) AS session_id,
- CASE WHEN event_id % 2 = 1 AND event_type = 'error' THEN 'E' || (user_id % 3) END AS error_type FROM events WHERE ({_DEFECT}) = 0)"""
+ CASE WHEN event_id % 2 = 1 AND event_type = 'error' THEN 'E' || (user_id % 3) END AS error_type,
+ CASE WHEN event_id % 2 = 1 AND event_type = 'error' THEN '{{"error_message":"failed ' || event_id || '","error_type":"E' || (user_id % 3) || '","traceback":"at 1"}}' END AS error_info FROM events WHERE ({_DEFECT}) = 0)"""
 LI = """li AS (SELECT o_orderkey AS k, CASE o_orderkey % 4 WHEN 0 THEN 'START' WHEN 3 THEN 'FAIL' ELSE 'COMPLETE' END AS event_type, epoch_us(o_orderdate) AS us,
  substr(md5(CAST(o_orderkey AS VARCHAR)), 1, 8) || '-' || substr(md5(CAST(o_orderkey AS VARCHAR)), 9, 4) || '-' || substr(md5(CAST(o_orderkey AS VARCHAR)), 13, 4) || '-' || substr(md5(CAST(o_orderkey AS VARCHAR)), 17, 4) || '-' || substr(md5(CAST(o_orderkey AS VARCHAR)), 21, 12) AS run_id,
  CASE WHEN o_orderkey % 9 <> 0 THEN format('{:08x}', o_orderkey % 4096) END AS execution_id, CASE WHEN o_orderkey % 9 <> 0 THEN format('{:08x}', o_custkey % 64) END AS session_id, CAST(o_orderkey % 3000 AS DOUBLE) AS duration_ms, 'job_' || substr(o_orderpriority, 1, 1) AS job_name,
@@ -85,7 +98,7 @@ FR = """fr AS (SELECT c_custkey AS k, format('{:08x}', c_custkey % 4096) AS exec
  'df' || c_nationkey AS input_name, c_custkey % 500 AS input_rows, 'out' || c_nationkey AS output_name, (c_custkey % 500) // 2 AS output_rows, (c_custkey % 40) / 8.0 AS overhead_ms, (c_custkey % 16) / 4.0 AS df_size_mb, c_custkey % 2 = 0 AS sampled
  FROM customer WHERE c_custkey % 53 <> 0 AND c_custkey % 59 <> 0 AND c_custkey % 47 <> 0)"""
 PM = f"""{RT}, {LI}, pm AS (SELECT rt.event_id, rt.execution_id, rt.cell_id, rt.session_id, rt.event_type AS runtime_event_type, rt.us AS runtime_us, rt.duration_ms AS runtime_duration_ms, rt.start_memory_mb, rt.end_memory_mb, rt.end_memory_mb - rt.start_memory_mb AS memory_delta_mb,
- li.k, li.run_id, li.job_name, li.event_type AS lineage_event_type, li.duration_ms AS lineage_duration_ms, li.n_in AS input_count, li.n_out AS output_count, CASE WHEN rt.duration_ms > 0 THEN li.duration_ms / rt.duration_ms END AS duration_ratio
+ li.k, li.us AS lineage_us, li.run_id, li.job_name, li.event_type AS lineage_event_type, li.duration_ms AS lineage_duration_ms, li.n_in AS input_count, li.n_out AS output_count, CASE WHEN rt.duration_ms > 0 THEN li.duration_ms / rt.duration_ms END AS duration_ratio
  FROM rt LEFT JOIN li ON rt.execution_id = li.execution_id WHERE rt.event_type IN ('cell_execution_start', 'cell_execution_end'))"""
 
 
@@ -135,58 +148,61 @@ def dataframe_lineage_events(spark, sf_dir):
     return frames(spark, sf_dir).select(F.col("df_event_id").alias("k"), "execution_id", "cell_id", "session_id", us("timestamp").alias("us"), "operation_type", "operation_method", "overhead_ms", "df_size_mb", "sampled")
 
 
-# Views
+# Views, with all of their columns (times as microseconds, lists of names as texts joined by commas)
 
-@query(f"WITH {LI} SELECT k, run_id, execution_id, event_type, job_name, us, duration_ms, session_id, CASE WHEN in2 IS NULL THEN in1 ELSE in1 || ',' || in2 END AS input_names, out1 AS output_names, n_in AS input_count, n_out AS output_count FROM li")
+@query(f"WITH {LI} SELECT k AS ol_event_id, run_id, execution_id, event_type, job_name, us AS event_time, session_id, CASE WHEN in2 IS NULL THEN in1 ELSE in1 || ',' || in2 END AS input_names, out1 AS output_names, n_in AS input_count, n_out AS output_count FROM li")
 def vw_lineage_io(spark, sf_dir):
-    return io(spark, sf_dir).select(F.col("ol_event_id").alias("k"), "run_id", "execution_id", "event_type", "job_name", us("event_time").alias("us"), "duration_ms", "session_id", F.array_join("input_names", ",").alias("input_names"), F.array_join("output_names", ",").alias("output_names"), F.col("input_count").cast("long").alias("input_count"), F.col("output_count").cast("long").alias("output_count"))
+    v = io(spark, sf_dir)
+    return v.withColumns({"event_time": us("event_time"), **{c: F.array_join(c, ",") for c in ("input_names", "output_names")}, **{c: F.col(c).cast("long") for c in ("input_count", "output_count")}})
 
 
-@query(f"WITH {PM} SELECT event_id, execution_id, cell_id, session_id, runtime_event_type, runtime_us, runtime_duration_ms, memory_delta_mb, run_id, job_name, lineage_event_type, lineage_duration_ms, input_count, output_count, round(duration_ratio, 6) AS duration_ratio FROM pm")
+@query(f"WITH {PM} SELECT execution_id, session_id, cell_id, runtime_event_type, start_memory_mb, end_memory_mb, memory_delta_mb, runtime_duration_ms, runtime_us AS runtime_timestamp, k AS ol_event_id, run_id, lineage_event_type, job_name, lineage_duration_ms, lineage_us AS lineage_timestamp, input_count AS input_dataset_count, output_count AS output_dataset_count, round(duration_ratio, 6) AS lineage_to_runtime_ratio FROM pm")
 def vw_performance_metrics(spark, sf_dir):
-    return perf(spark, sf_dir).select("event_id", "execution_id", "cell_id", "session_id", "runtime_event_type", us("runtime_timestamp").alias("runtime_us"), "runtime_duration_ms", "memory_delta_mb", "run_id", "job_name", "lineage_event_type", "lineage_duration_ms", F.col("input_count").cast("long").alias("input_count"), F.col("output_count").cast("long").alias("output_count"), r6(F.col("duration_ratio")).alias("duration_ratio"))
+    v = perf(spark, sf_dir)
+    return v.withColumns({**{c: us(c) for c in ("runtime_timestamp", "lineage_timestamp")}, **{c: F.col(c).cast("long") for c in ("input_dataset_count", "output_dataset_count")}, "lineage_to_runtime_ratio": r6(F.col("lineage_to_runtime_ratio"))})
 
 
-@query(f"WITH {FR} SELECT k, operation_type, operation_method, overhead_ms, df_size_mb, sampled, input_name, input_rows, 3 AS input_columns, output_name, output_rows, 2 AS output_columns, 'id,value' AS output_column_names, CASE WHEN input_rows > 0 THEN round(CAST(output_rows AS DOUBLE) / input_rows, 6) END AS row_retention_ratio FROM fr")
+@query(f"WITH {FR} SELECT k AS df_event_id, execution_id, cell_id, session_id, us AS timestamp, operation_type, operation_method, 'df[...]' AS operation_code, 1 AS input_df_count, 1 AS output_df_count, input_name AS input_variable, output_name AS output_variable, input_rows, 3 AS input_cols, output_rows, 2 AS output_cols, 'id,value' AS output_columns, overhead_ms, df_size_mb, sampled, CASE WHEN input_rows > 0 THEN round(CAST(output_rows AS DOUBLE) / input_rows, 6) END AS row_retention_ratio FROM fr")
 def vw_dataframe_lineage(spark, sf_dir):
-    return ops(spark, sf_dir).select(F.col("df_event_id").alias("k"), "operation_type", "operation_method", "overhead_ms", "df_size_mb", "sampled", "input_name", "input_rows", "input_columns", "output_name", "output_rows", "output_columns", F.array_join("output_column_names", ",").alias("output_column_names"), r6(F.col("row_retention_ratio")).alias("row_retention_ratio"))
+    v = ops(spark, sf_dir)
+    return v.withColumns({"timestamp": us("timestamp"), "output_columns": F.array_join("output_columns", ","), "row_retention_ratio": r6(F.col("row_retention_ratio"))})
 
 
 # Catalogue
 
-@query(f"WITH {PM} SELECT event_id, coalesce(k, -1) AS k, execution_id, runtime_event_type, runtime_us, runtime_duration_ms FROM pm ORDER BY runtime_us DESC, event_id, 2 LIMIT 20")
+@query(f"WITH {PM} SELECT execution_id, cell_id, runtime_event_type AS event_type, runtime_duration_ms AS duration_ms, memory_delta_mb, runtime_us AS timestamp FROM pm ORDER BY runtime_us DESC, execution_id, runtime_event_type LIMIT 20")
 def q1_recent_events(spark, sf_dir):
-    p = perf(spark, sf_dir).withColumn("k", F.coalesce("ol_event_id", F.lit(-1)))
-    return p.orderBy(F.desc("runtime_timestamp"), "event_id", "k").limit(20).select("event_id", "k", "execution_id", "runtime_event_type", us("runtime_timestamp").alias("runtime_us"), "runtime_duration_ms")
+    p = perf(spark, sf_dir).orderBy(F.desc("runtime_timestamp"), "execution_id", "runtime_event_type").limit(20)
+    return p.select("execution_id", "cell_id", F.col("runtime_event_type").alias("event_type"), F.col("runtime_duration_ms").alias("duration_ms"), "memory_delta_mb", us("runtime_timestamp").alias("timestamp"))
 
 
-@query(f"WITH {LI} SELECT k, run_id, job_name, us, n_in AS input_count, n_out AS output_count FROM li WHERE event_type = 'COMPLETE' ORDER BY us DESC, k LIMIT 15")
+@query(f"WITH {LI} SELECT job_name, CASE WHEN in2 IS NULL THEN in1 ELSE in1 || ',' || in2 END AS input_names, out1 AS output_names, n_in AS input_count, n_out AS output_count, us AS event_time FROM li WHERE event_type = 'COMPLETE' ORDER BY us DESC, k LIMIT 15")
 def q2_lineage_summary(spark, sf_dir):
     p = io(spark, sf_dir).where("event_type = 'COMPLETE'").orderBy(F.desc("event_time"), "ol_event_id").limit(15)
-    return p.select(F.col("ol_event_id").alias("k"), "run_id", "job_name", us("event_time").alias("us"), F.col("input_count").cast("long").alias("input_count"), F.col("output_count").cast("long").alias("output_count"))
+    return p.select("job_name", F.array_join("input_names", ",").alias("input_names"), F.array_join("output_names", ",").alias("output_names"), F.col("input_count").cast("long").alias("input_count"), F.col("output_count").cast("long").alias("output_count"), us("event_time").alias("event_time"))
 
 
-@query(f"WITH {PM} SELECT event_id, coalesce(k, -1) AS k, execution_id, runtime_duration_ms FROM pm WHERE runtime_duration_ms > 1000 ORDER BY runtime_duration_ms DESC, event_id, 2 LIMIT 10")
+@query(f"WITH {PM} SELECT execution_id, cell_id, runtime_duration_ms AS duration_ms, memory_delta_mb, round(duration_ratio, 6) AS lineage_to_runtime_ratio FROM pm WHERE runtime_duration_ms > 1000 ORDER BY runtime_duration_ms DESC, execution_id, coalesce(k, -1) LIMIT 10")
 def q3_slow_executions(spark, sf_dir):
-    p = perf(spark, sf_dir).where("runtime_duration_ms > 1000").withColumn("k", F.coalesce("ol_event_id", F.lit(-1)))
-    return p.orderBy(F.desc("runtime_duration_ms"), "event_id", "k").limit(10).select("event_id", "k", "execution_id", "runtime_duration_ms")
+    p = perf(spark, sf_dir).where("runtime_duration_ms > 1000").orderBy(F.desc("runtime_duration_ms"), "execution_id", F.coalesce("ol_event_id", F.lit(-1))).limit(10)
+    return p.select("execution_id", "cell_id", F.col("runtime_duration_ms").alias("duration_ms"), "memory_delta_mb", r6(F.col("lineage_to_runtime_ratio")).alias("lineage_to_runtime_ratio"))
 
 
-@query(f"WITH {RT} SELECT event_id, execution_id, error_type, us FROM rt WHERE error_type IS NOT NULL ORDER BY us DESC, event_id LIMIT 10")
+@query(f"WITH {RT} SELECT execution_id, cell_id, event_type, error_info, us AS timestamp FROM rt WHERE error_info IS NOT NULL ORDER BY us DESC, event_id LIMIT 10")
 def q4_errors(spark, sf_dir):
-    return runtime(spark, sf_dir).where("error_info IS NOT NULL").orderBy(F.desc("timestamp"), "event_id").limit(10).select("event_id", "execution_id", F.get_json_object("error_info", "$.error_type").alias("error_type"), us("timestamp").alias("us"))
+    return runtime(spark, sf_dir).where("error_info IS NOT NULL").orderBy(F.desc("timestamp"), "event_id").limit(10).select("execution_id", "cell_id", "event_type", "error_info", us("timestamp").alias("timestamp"))
 
 
-@query(f"WITH {RT} SELECT event_id, start_memory_mb, end_memory_mb, end_memory_mb - start_memory_mb AS memory_delta_mb, us FROM rt WHERE end_memory_mb IS NOT NULL ORDER BY us DESC, event_id LIMIT 20")
+@query(f"WITH {RT} SELECT execution_id, start_memory_mb, end_memory_mb, end_memory_mb - start_memory_mb AS memory_delta_mb, duration_ms, us AS timestamp FROM rt WHERE end_memory_mb IS NOT NULL ORDER BY us DESC, event_id LIMIT 20")
 def q5_memory_trend(spark, sf_dir):
     p = runtime(spark, sf_dir).where("start_memory_mb IS NOT NULL AND end_memory_mb IS NOT NULL").orderBy(F.desc("timestamp"), "event_id").limit(20)
-    return p.select("event_id", "start_memory_mb", "end_memory_mb", (F.col("end_memory_mb") - F.col("start_memory_mb")).alias("memory_delta_mb"), us("timestamp").alias("us"))
+    return p.select("execution_id", "start_memory_mb", "end_memory_mb", (F.col("end_memory_mb") - F.col("start_memory_mb")).alias("memory_delta_mb"), "duration_ms", us("timestamp").alias("timestamp"))
 
 
-@query(f"WITH {RT} SELECT session_id, count(*) AS n_events, count(DISTINCT execution_id) AS n_executions, round(avg(duration_ms), 6) AS avg_duration, max(duration_ms) AS max_duration, min(us) AS first_us, max(us) AS last_us FROM rt GROUP BY session_id")
+@query(f"WITH {RT} SELECT session_id, count(*) AS total_events, count(DISTINCT execution_id) AS unique_executions, round(avg(duration_ms), 6) AS avg_duration_ms, max(duration_ms) AS max_duration_ms, min(us) AS session_start, max(us) AS session_end FROM rt WHERE duration_ms IS NOT NULL GROUP BY session_id")
 def q6_session_overview(spark, sf_dir):
-    o = executions.session_overview(runtime(spark, sf_dir))
-    return o.select("session_id", "n_events", "n_executions", r6(F.col("avg_duration")).alias("avg_duration"), "max_duration", us("first_time").alias("first_us"), us("last_time").alias("last_us"))
+    o = executions.session_overview(runtime(spark, sf_dir)).orderBy(F.desc("session_start"))
+    return o.withColumns({"avg_duration_ms": r6(F.col("avg_duration_ms")), "session_start": us("session_start"), "session_end": us("session_end")})
 
 
 @query(f"WITH {LI} SELECT DISTINCT execution_id, unnest(CASE WHEN in2 IS NULL THEN [in1] ELSE [in1, in2] END) AS input FROM li WHERE execution_id = '00000021'")
@@ -217,10 +233,10 @@ def q11_column_lineage(spark, sf_dir):
     return p.select(F.col("ol_event_id").alias("k"), "output", F.explode("f.fields").alias("target_column", "g")).select("k", "output", "target_column", F.get("g.inputFields", F.lit(0))["field"].alias("source_column"))
 
 
-@query(f"WITH {PM} SELECT event_id, coalesce(k, -1) AS k, runtime_duration_ms FROM pm WHERE runtime_duration_ms IS NOT NULL ORDER BY runtime_duration_ms DESC, event_id, 2 LIMIT 10")
+@query(f"WITH {PM} SELECT execution_id, coalesce(k, -1) AS k, runtime_duration_ms FROM pm WHERE runtime_duration_ms IS NOT NULL ORDER BY runtime_duration_ms DESC, execution_id, 2 LIMIT 10")
 def q12_slowest_first(spark, sf_dir):
     p = perf(spark, sf_dir).withColumn("k", F.coalesce("ol_event_id", F.lit(-1)))
-    return p.orderBy(F.desc("runtime_duration_ms"), "event_id", "k").limit(10).select("event_id", "k", "runtime_duration_ms")
+    return p.where("runtime_duration_ms is not null").orderBy(F.desc("runtime_duration_ms"), "execution_id", "k").limit(10).select("execution_id", "k", "runtime_duration_ms")
 
 
 @query(f"WITH {LI} SELECT k, k % 7 AS null_count FROM li WHERE out1 IS NOT NULL AND k % 7 > 4")
@@ -245,9 +261,9 @@ def q16_operation_times(spark, sf_dir):
     return frames(spark, sf_dir).groupBy("operation_method").agg(r6(F.avg("overhead_ms")).alias("avg_overhead"), F.count("*").alias("n")).orderBy(F.desc("avg_overhead"))
 
 
-@query(f"WITH {PM} SELECT event_id, coalesce(k, -1) AS k, memory_delta_mb FROM pm WHERE memory_delta_mb > 10")
+@query(f"WITH {PM} SELECT execution_id, runtime_event_type, coalesce(k, -1) AS k, memory_delta_mb FROM pm WHERE memory_delta_mb > 10")
 def q17_memory_deltas(spark, sf_dir):
-    return perf(spark, sf_dir).where("memory_delta_mb > 10").select("event_id", F.coalesce("ol_event_id", F.lit(-1)).alias("k"), "memory_delta_mb").orderBy(F.desc("memory_delta_mb"))
+    return perf(spark, sf_dir).where("memory_delta_mb > 10").select("execution_id", "runtime_event_type", F.coalesce("ol_event_id", F.lit(-1)).alias("k"), "memory_delta_mb").orderBy(F.desc("memory_delta_mb"))
 
 
 @query(f"WITH {RT}, {LI}, {FR} SELECT 'dataframe_lineage_events' AS table_name, count(*) AS n_rows FROM fr UNION ALL SELECT 'lineage_events', count(*) FROM li UNION ALL SELECT 'runtime_events', count(*) FROM rt")
@@ -307,6 +323,41 @@ def schema_changes(spark, sf_dir):
     return executions.schema_changes(v).select("dataset", F.col("version_time").alias("k"), F.array_join("added", ",").alias("added"), F.array_join("removed", ",").alias("removed"))
 
 
+@query("WITH v AS (SELECT 'table_' || (o_orderkey % 50) AS dataset, o_orderkey AS k, o_orderkey // 50 % 3 AS m, lag(o_orderkey // 50 % 3) OVER (PARTITION BY o_orderkey % 50 ORDER BY o_orderkey) AS b FROM orders) SELECT dataset, k, CASE WHEN m = 2 THEN 'b' ELSE '' END AS added, CASE WHEN b = 2 THEN 'b' ELSE '' END AS removed, CASE WHEN (m = 0) <> (b = 0) THEN 'a' ELSE '' END AS retyped FROM v WHERE b IS NOT NULL AND m <> b")
+def schema_retypes(spark, sf_dir):
+    """Versions of schemas as facets of lineage events tell them: a is an int, then a long, then a long beside b."""
+    facet = lambda x: f"concat('[{{\"name\":\"table_', o_orderkey % 50, '\",\"facets\":{{\"schema\":{{\"fields\":', {x}, '}}}}}}]')"
+    fields = "element_at(array('[{\"name\":\"a\",\"type\":\"int\"}]', '[{\"name\":\"a\",\"type\":\"long\"}]', '[{\"name\":\"a\",\"type\":\"long\"},{\"name\":\"b\",\"type\":\"int\"}]'), cast(o_orderkey div 50 % 3 AS int) + 1)"
+    events = load(spark, sf_dir, "orders").selectExpr("timestamp_seconds(o_orderkey) AS event_time", f"{facet(fields)} AS inputs_json")
+    found = executions.schema_changes(executions.dataset_schemas(events))
+    return found.select("dataset", F.unix_seconds("version_time").alias("k"), *(F.array_join(c, ",").alias(c) for c in ("added", "removed", "retyped")))
+
+
+@query(f"SELECT path_rule AS rule, ordinal, count(*) AS n FROM (SELECT CASE " + " ".join(f"WHEN event_id % {m} = 0 THEN '{r}'" for m, r in ((97, "json:$"), (89, "required:$.cell_id"), (83, "additional:$"), (79, "pattern:$.execution_id"), (73, "enum:$.event_type"), (71, "minimum:$.cell_source_lines"))) + " END AS path_rule, 1 AS ordinal FROM events) t WHERE path_rule IS NOT NULL GROUP BY path_rule, ordinal")
+def compliance_errors(spark, sf_dir):
+    """Every broken rule with its ordinal in its event."""
+    found = profile.errors_listed(jsonl.checked(LINES["runtime"](spark, sf_dir), "runtime"), "key")
+    return found.groupBy(F.concat_ws(":", "rule", "path").alias("rule"), "ordinal").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {RT}, {LI}, {FR} SELECT * FROM (SELECT 'runtime_events' AS table_name, event_id AS k, row_number() OVER (ORDER BY us, event_id) AS n FROM rt) WHERE n <= 5 UNION ALL SELECT * FROM (SELECT 'lineage_events', k, row_number() OVER (ORDER BY us, k) AS n FROM li) WHERE n <= 5")
+def table_samples(spark, sf_dir):
+    """The first rows of a table, as a look at it."""
+    out = None
+    for name, df, key, time in (("runtime_events", runtime(spark, sf_dir), "event_id", "timestamp"), ("lineage_events", lineage(spark, sf_dir), "ol_event_id", "event_time")):
+        rows = profile.first_rows(df.select(time, F.col(key).alias("k")), time)
+        part = rows.select(F.lit(name).alias("table_name"), "k", F.row_number().over(Window.orderBy(time, "k")).cast("long").alias("n"))  # five rows
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query(f"WITH {PM}, {FR} SELECT pm.session_id, count(*) AS n, round(avg(duration_ratio), 6) AS ratio FROM pm WHERE duration_ratio IS NOT NULL GROUP BY pm.session_id")
+def catalogue_sql(spark, sf_dir):
+    """A user's SQL on the registered views, by their names."""
+    catalogue.register(spark, runtime(spark, sf_dir), lineage(spark, sf_dir), frames(spark, sf_dir))
+    return guard.guarded_sql(spark, "SELECT session_id, count(*) AS n, round(avg(lineage_to_runtime_ratio), 6) AS ratio FROM vw_performance_metrics WHERE lineage_to_runtime_ratio IS NOT NULL GROUP BY session_id", limit=0)
+
+
 # Graph
 
 _EDGES = "ed AS (SELECT in1 AS source, out1 AS target, k FROM li WHERE out1 IS NOT NULL UNION ALL SELECT in2, out1, k FROM li WHERE out1 IS NOT NULL AND in2 IS NOT NULL)"
@@ -365,16 +416,16 @@ def cycles(spark, sf_dir):
 @query(f"WITH {FR} SELECT input_name AS seed, count(*) AS n_operations, CAST(sum(input_rows) AS BIGINT) AS rows_in, CAST(sum(output_rows) AS BIGINT) AS rows_out, round(sum(overhead_ms), 6) AS overhead_ms, max(df_size_mb) AS max_mb, CASE WHEN sum(input_rows) > 0 THEN round(CAST(sum(output_rows) AS DOUBLE) / sum(input_rows), 6) END AS retention FROM fr GROUP BY input_name")
 def chain_metrics(spark, sf_dir):
     view = ops(spark, sf_dir)
-    edges = view.select(F.col("input_name").alias("source"), F.col("output_name").alias("target"))
+    edges = view.select(F.col("input_variable").alias("source"), F.col("output_variable").alias("target"))
     m = graph.chain_metrics(graph.closure(edges, edges.select(F.col("source").alias("node"))), view)
     return m.withColumn("overhead_ms", r6(F.col("overhead_ms"))).withColumn("retention", r6(F.col("retention")))
 
 
 # Profiles, tracked operations, guard
 
-@query("SELECT 'o_custkey' AS \"column\", count(*) FILTER (o_custkey IS NULL) AS null_count, count(DISTINCT o_custkey) AS distinct_count, CAST(min(o_custkey) AS DOUBLE) AS least, CAST(max(o_custkey) AS DOUBLE) AS most FROM orders UNION ALL SELECT 'o_totalprice', count(*) FILTER (o_totalprice IS NULL), count(DISTINCT o_totalprice), min(o_totalprice), max(o_totalprice) FROM orders")
+@query("SELECT 'o_custkey' AS \"column\", count(*) FILTER (o_custkey IS NULL) AS null_count, count(DISTINCT o_custkey) AS distinct_count, CAST(min(o_custkey) AS VARCHAR) AS least, CAST(max(o_custkey) AS VARCHAR) AS most FROM orders UNION ALL SELECT 'o_orderkey' AS \"column\", count(*) FILTER (o_orderkey IS NULL) AS null_count, count(DISTINCT o_orderkey) AS distinct_count, CAST(min(o_orderkey) AS VARCHAR) AS least, CAST(max(o_orderkey) AS VARCHAR) AS most FROM orders UNION ALL SELECT 'o_orderstatus' AS \"column\", count(*) FILTER (o_orderstatus IS NULL) AS null_count, count(DISTINCT o_orderstatus) AS distinct_count, CAST(min(o_orderstatus) AS VARCHAR) AS least, CAST(max(o_orderstatus) AS VARCHAR) AS most FROM orders UNION ALL SELECT 'o_orderpriority' AS \"column\", count(*) FILTER (o_orderpriority IS NULL) AS null_count, count(DISTINCT o_orderpriority) AS distinct_count, CAST(min(o_orderpriority) AS VARCHAR) AS least, CAST(max(o_orderpriority) AS VARCHAR) AS most FROM orders UNION ALL SELECT 'o_totalprice' AS \"column\", count(*) FILTER (o_totalprice IS NULL) AS null_count, count(DISTINCT o_totalprice) AS distinct_count, CAST(min(o_totalprice) AS VARCHAR) AS least, CAST(max(o_totalprice) AS VARCHAR) AS most FROM orders")
 def column_profile(spark, sf_dir):
-    return profile.column_profile(load(spark, sf_dir, "orders"), ["o_custkey", "o_totalprice"])
+    return profile.column_profile(load(spark, sf_dir, "orders"), ["o_custkey", "o_orderkey", "o_orderstatus", "o_orderpriority", "o_totalprice"])
 
 
 @query("SELECT 'selection' AS operation_type, '__getitem__' AS operation_method, 1 AS step, (SELECT count(*) FROM orders) AS rows_in, (SELECT count(*) FROM orders) AS rows_out, 2 AS columns_out UNION ALL SELECT 'selection', '__getitem__', 2, (SELECT count(*) FROM orders), (SELECT count(*) FROM orders WHERE o_totalprice > 100000), 2 UNION ALL SELECT 'join', 'merge', 3, (SELECT count(*) FROM orders WHERE o_totalprice > 100000), (SELECT count(*) FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_totalprice > 100000), 4 UNION ALL SELECT 'aggregation', 'mean', 4, (SELECT count(*) FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_totalprice > 100000), (SELECT count(DISTINCT c_nationkey) FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_totalprice > 100000), 2")
@@ -403,6 +454,8 @@ def tracked_result(spark, sf_dir):
 TEXTS = (
     ("SELECT * FROM runtime_events WHERE cell_id = '{}'", "valid"), ("  select a from vw_lineage_io join lineage_events using (run_id) where x = 'INSERT {}'", "valid"), ("WITH x AS (SELECT '{}') SELECT * FROM x", "not_select"),
     ("SELECT 1 -- {}", "dangerous_pattern"), ("SELECT '{}' UNION SELECT 2", "dangerous_pattern"), ("SELECT exp_{} FROM runtime_events", "dangerous_pattern"), ("SELECT CREATE '{}' FROM runtime_events", "forbidden_operation"),
+    ("SELECT * FROM `secrets` WHERE n = '{}'", "unauthorized_table"), ("SELECT * FROM runtime_events, secrets_{}", "unauthorized_table"), ("SELECT * FROM(secrets_{})", "unauthorized_table"), ("SELECT * FROM runtime_events r, `parquet`.`/etc/{}`", "unauthorized_table"),
+    ("SELECT * FROM (SELECT '{}' FROM runtime_events) t, secrets", "unauthorized_table"), ("SELECT * FROM \"secrets_{}\"", "unauthorized_table"), ("SELECT count(*) AS n, max(a) FROM `runtime_events` r, vw_lineage_io v WHERE r.k IN (SELECT k FROM lineage_events WHERE x = '(from z{}')", "valid"),
     ("SELECT * FROM secrets_{}", "unauthorized_table"), ("SELECT * FROM (SELECT '{}' FROM runtime_events) t", "valid"), ("DELETE FROM runtime_events WHERE n = '{}'", "not_select"),
 )
 
@@ -417,7 +470,7 @@ def query_log_audit(spark, sf_dir):
 @query(f"WITH {RT}, {LI} SELECT 'runtime_events' AS table_name, count(*) AS n_rows, 13 AS n_columns FROM rt UNION ALL SELECT 'lineage_events', count(*), 14 FROM li")
 def inspect_schema(spark, sf_dir):
     found = guard.inspect_schema({"runtime_events": runtime(spark, sf_dir), "lineage_events": lineage(spark, sf_dir)})
-    return found.groupBy("table_name").agg(F.max("n_rows").alias("n_rows"), F.count("*").cast("int").alias("n_columns"))
+    return found.where("error is null").groupBy("table_name").agg(F.max("n_rows").alias("n_rows"), F.count("*").cast("int").alias("n_columns"))
 
 
 @query(f"WITH {RT} SELECT cell_id, count(*) AS n FROM rt WHERE duration_ms > 500 GROUP BY cell_id")
@@ -452,6 +505,18 @@ def scanned_logs(spark, sf_dir):
     return rows.groupBy("event_type").agg(F.count("*").alias("n"), F.countDistinct("execution_id").alias("n_executions"))
 
 
+@query(f"SELECT CAST(sum(n) AS BIGINT) AS n_lines, CAST(sum(ok) AS BIGINT) AS processed, CAST(sum(n - ok) AS BIGINT) AS failed FROM (SELECT 1 AS n, CASE WHEN ({_DEFECT}) = 0 THEN 1 ELSE 0 END AS ok FROM events UNION ALL SELECT 1, CASE WHEN o_orderkey % 61 <> 0 THEN 1 ELSE 0 END FROM orders UNION ALL SELECT 1, CASE WHEN c_custkey % 53 <> 0 THEN 1 ELSE 0 END FROM customer) t")
+def ingest_statistics(spark, sf_dir):
+    """All three kinds through their streams: lines read, processed and failed, by file, summed."""
+    root, out = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}", None
+    for kind in LINES:
+        LINES[kind](spark, sf_dir).select("value").write.text(f"{root}/in/{kind}")
+        start_ingest(spark, kind, f"{root}/in", f"{root}/{kind}", f"{root}/bad-{kind}", f"{root}/check-{kind}", glob="*").awaitTermination()
+        part = statistics(spark, f"{root}/bad-{kind}")
+        out = part if out is None else out.unionByName(part)
+    return out.agg(*(F.sum(c).alias(c) for c in ("n_lines", "processed", "failed")))
+
+
 @query(f"WITH {RT} SELECT session_id, count(*) AS n, max(duration_ms) AS max_duration FROM rt GROUP BY session_id")
 def streamed_ingest(spark, sf_dir):
     """The same files through the stream, twice: the second run finds nothing new, and identities are unique."""

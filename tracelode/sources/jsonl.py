@@ -55,11 +55,6 @@ def split(checked_lines: DataFrame, kind: str, key: Column) -> tuple[DataFrame,
     return rows.where("broken is null").select(names), bad.unionByName(late)
 
 
-def append(rows: DataFrame, path: str) -> None:
-    """Append sink of a table, by notebook."""
-    rows.write.mode("append").partitionBy("notebook_hash").parquet(path)
-
-
 def emit(events: DataFrame, path: str) -> None:
     """JSON-lines sink: an object a row, null fields left out."""
     events.select(F.to_json(F.struct("*"), {"ignoreNullFields": "true"}).alias("value")).write.mode("append").text(path)
