@@ -23,15 +23,15 @@ from .common import documents, materialise, tasks_for
 from .textnum import slices
 from .tokens import chunked, crc_of
 
-BATCH_CHARS = 4_000_000
-PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("ids", pa.binary())])
+BATCH_CHARS, SALTS = 4_000_000, 4096
+PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("ids", pa.binary()), ("salt", pa.int32())])
 
 
 def cut_pieces(docs: DataFrame, tokenizer: str, end_id: int, budget: int, keep_ids: bool = True) -> DataFrame:
-    """Token pieces of every document; only documents of more than budget ids are cut. ids: little-endian unsigned 32-bit."""
+    """Token pieces of every document; only documents of more than budget ids are cut. ids: little-endian unsigned 32-bit. salt: any number, to spread pieces that are alike in everything."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = chunked(tokenizer)
+        coder, salt = chunked(tokenizer), 0
         for batch in batches:
             docs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for a, b in slices([len(t) for t in texts], BATCH_CHARS):
@@ -41,11 +41,12 @@ def cut_pieces(docs: DataFrame, tokenizer: str, end_id: int, budget: int, keep_i
                 for doc, size in zip(docs[a:b], n.tolist()):
                     for piece, start in enumerate(range(0, size, budget)):
                         ids = flat[at + start : at + min(start + budget, size)]
-                        out.append((doc, piece, start, len(ids), crc_of(ids), ids.tobytes() if keep_ids else None))
+                        out.append((doc, piece, start, len(ids), crc_of(ids), ids.tobytes() if keep_ids else None, salt))
+                        salt = (salt + 1) % SALTS
                     at += size
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), PIECES)], schema=PIECES)
 
-    return documents(docs).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary")
+    return documents(docs).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary, salt int")
 
 
 def candidate_patterns(counts: np.ndarray, budget: int, choices: int = 8) -> np.ndarray:
@@ -132,18 +133,18 @@ def _slots(chosen: list[tuple[tuple[int, ...], int]], budget: int) -> dict[int,
 def pack(pieces: DataFrame, budget: int) -> DataFrame:
     """Adds sequence_id and offset to pieces, which must be a written table (it is read three times). Only the histogram, of budget bins, passes the driver.
 
-    Ranks among pieces of equal length are taken in blocks, so that a length which a third of all pieces share is spread over many tasks."""
+    Ranks among pieces of equal length are taken in blocks, so that a length, or a document, which a third of all pieces share is spread over many tasks."""
     spark = pieces.sparkSession
     counts = np.zeros(budget + 1, np.int64)
     for length, n in pieces.groupBy("length").count().collect():
         counts[length] = n
     slots = spark.sparkContext.broadcast(_slots(plan(counts, budget), budget))
     blocks = max(64, tasks_for(spark))
-    keyed = pieces.withColumn("block", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(blocks)))
+    keyed = pieces.withColumn("block", F.pmod(F.xxhash64("doc_id", "piece", "salt"), F.lit(blocks)))
     sizes = keyed.groupBy("length", "block").agg(F.count("*").alias("n"))
     before = sizes.select("length", "block", (F.sum("n").over(Window.partitionBy("length").orderBy("block")) - F.col("n")).alias("before"))
     within = F.row_number().over(Window.partitionBy("length", "block").orderBy("doc_id", "piece", "ids_crc32")) - 1
-    ranked = keyed.withColumn("within", within).join(before, ["length", "block"]).withColumn("rank", F.col("before") + F.col("within")).drop("block", "before", "within")
+    ranked = keyed.withColumn("within", within).join(before, ["length", "block"]).withColumn("rank", F.col("before") + F.col("within")).drop("block", "before", "within", "salt")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
