@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.compare import spark_rows, sql_rows
-from tracelode.functions.rules import PRODUCER
+from tracelode.functions.rules import PRODUCER, plainly_valid, typed, violations
 from tracelode.functions.scalars import excerpt, line_count, notebook_name, parse_time
 from tracelode.operators import executions, graph, guard, profile, tracked
 from tracelode.plans.queries import QUERIES, SQL
@@ -48,6 +48,39 @@ def test_lineage_rules_reach_into_lists_and_maps(spark):
     assert got[3] == [("$.run", "additional")]
 
 
+def _mutations(value):
+    """An event with one value changed, taken away or added, for each place in it."""
+    for other in (None, 1, -1.5, "x", [], {}, True, [None]):
+        yield other
+    if isinstance(value, dict):
+        yield value | {"other": 1}
+        for k, v in value.items():
+            yield {n: w for n, w in value.items() if n != k}
+            yield from (value | {k: m} for m in _mutations(v))
+    if isinstance(value, list):
+        yield value + value
+        for i, v in enumerate(value):
+            yield from (value[:i] + [m] + value[i + 1 :] for m in _mutations(v))
+
+
+def test_first_look_lets_nothing_pass(spark):
+    """Whatever is valid at first sight breaks no rule; and an event that breaks none is mostly valid at first sight."""
+    made = {"_producer": PRODUCER, "_schemaURL": "u"}
+    facets = {"schema": made | {"fields": [{"name": "a", "type": "t"}]}, "columnMetrics": made | {"columnMetrics": {"a": {"nullCount": None, "min": 1.5}}}, "columnLineage": made | {"fields": {"a": {"inputFields": [{"namespace": "n", "name": "d", "field": "f"}]}}}, "dataQualityMetrics": {"x": [1]}}
+    frame = {"variable_name": "v", "shape": [1, 2], "columns": ["a"], "memory_usage_mb": 0.5}
+    whole = {
+        "runtime": RUNTIME | {"end_memory_mb": 1, "duration_ms": 2.25, "error_info": {"error_type": "é\"/\n"}},
+        "lineage": RUN | {"inputs": [{"namespace": "n", "name": "d", "facets": facets}], "run": {"runId": "r", "facets": {"performance": {"_producer": "p", "durationMs": 7}}}},
+        "dataframe_lineage": {"event_type": "dataframe_lineage", "execution_id": "abcdef01", "cell_id": "c", "session_id": "abcdef02", "timestamp": "t", "emitted_at": "t", "operation_type": "join", "operation_method": "merge", "operation_code": "x", "input_dataframes": [frame], "output_dataframes": [frame], "operation_parameters": {"on": ["a"]}, "column_lineage": {"column_mapping": {"a.b": ["c.d"]}, "input_columns": [], "output_columns": ["b"], "operation_method": "merge", "lineage_type": "join"}, "performance": {"sampled": False, "overhead_ms": 1e-3}},
+    }
+    for kind, event in whole.items():
+        lines = spark.createDataFrame([(json.dumps(e),) for e in (event, *_mutations(event))], "value string").select(F.try_parse_json("value").alias("v"))
+        rows = lines.select(F.to_json("v").alias("c"), "v").select(plainly_valid(F.col("c"), typed(F.col("c"), kind), kind).alias("plain"), violations(F.col("v"), kind).alias("broken"), "c").collect()
+        assert rows[0].plain and not rows[0].broken, kind
+        assert [r.c for r in rows if r.plain and r.broken] == []
+        assert sum(r.plain for r in rows) > 3 and sum(bool(r.broken) for r in rows) > 30
+
+
 def test_scalars(spark):
     rows = spark.createDataFrame([("2024-01-01T12:00:00Z", "a\nb", "/x/my nb.py"), ("0.5", "", "b-1.ipynb"), ("2024-01-01", "x", "é.py"), (None, None, None)], "t string, s string, p string")
     got = rows.select(F.unix_micros(parse_time(F.col("t"))), line_count(F.col("s")), notebook_name(F.col("p")), excerpt(F.lit("z" * 101))).collect()

@@ -7,6 +7,7 @@ members of arrays and maps are tested with higher-order functions, so a table of
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -25,6 +26,7 @@ class Rule:
     among: tuple[str, ...] = ()
     pattern: str | None = None
     least: float | None = None
+    seen: tuple[str, ...] = ()  # names that an open object often has besides; their values are free
 
 
 def text(**k) -> Rule:
@@ -39,8 +41,8 @@ def integer(least: float | None = None, *more: str) -> Rule:
     return Rule(("integer", *more), least=least)
 
 
-def record(required: dict | None = None, optional: dict | None = None, closed: bool = False) -> Rule:
-    return Rule(("object",), required or {}, optional or {}, closed)
+def record(required: dict | None = None, optional: dict | None = None, closed: bool = False, seen: tuple[str, ...] = ()) -> Rule:
+    return Rule(("object",), required or {}, optional or {}, closed, seen=seen)
 
 
 def listing(items: Rule | None = None, length: int | None = None) -> Rule:
@@ -64,7 +66,7 @@ _dataset = record(
         "columnMetrics": record(_made | {"columnMetrics": mapping(record(optional={"nullCount": integer(None, "null"), "distinctCount": integer(None, "null"), "min": Rule(("number", "null")), "max": Rule(("number", "null"))}))}, closed=True),
         "columnLineage": record(_made | {"fields": mapping(record({"inputFields": listing(record({"namespace": text(), "name": text(), "field": text()}))}))}, closed=True),
         "version": record(_made | {"datasetVersion": text()}, closed=True),
-    })},
+    }, seen=("catalog", "dataQualityAssertions", "dataQualityMetrics", "documentation", "inputStatistics", "lifecycleStateChange", "outputStatistics", "ownership", "storage", "symlinks", "tags"))},
     True,
 )
 _frame = record({"variable_name": text(), "shape": listing(integer(0), 2), "columns": _names}, {"object_id": text(), "memory_usage_mb": number(0)}, True)
@@ -77,7 +79,7 @@ RUNTIME = record(
 LINEAGE = record(
     {
         "eventType": text(among=("START", "COMPLETE", "ABORT", "FAIL")), "eventTime": text(),
-        "run": record({"runId": text()}, {"facets": record(optional={"marimoExecution": record({"_producer": text(), "executionId": text(), "sessionId": text()}), "performance": record({"_producer": text(), "durationMs": number(0)})})}, True),
+        "run": record({"runId": text()}, {"facets": record(optional={"marimoExecution": record({"_producer": text(), "executionId": text(), "sessionId": text()}), "performance": record({"_producer": text(), "durationMs": number(0)})}, seen=("errorMessage", "externalQuery", "nominalTime", "parent", "processing_engine", "tags"))}, True),
         "job": record({"namespace": text(), "name": text()}, {"facets": record()}, True),
         "inputs": listing(_dataset), "outputs": listing(_dataset), "producer": text(among=(PRODUCER,)), "schemaURL": text(), "session_id": text(), "emitted_at": text(),
     },
@@ -102,7 +104,7 @@ def _pair(path: str, rule: str) -> Column:
     return F.struct(F.lit(path).alias("path"), F.lit(rule).alias("rule"))
 
 
-_NONE = "array<struct<path:string,rule:string>>"
+VIOLATIONS = "array<struct<path:string,rule:string>>"
 
 
 def _has_type(v: Column, at: str, kinds: tuple[str, ...]) -> Column:
@@ -148,7 +150,7 @@ def _checks(rule: Rule, v: Column, at: str, label: str, scalars: list[Column], g
         own: list[Column] = []
         more: list[Column] = []
         _checks(sub, v, f"{at}.{name}", f"{label}.{name}", own, more, deep)  # looked at only where there is such an object
-        found = F.concat(F.filter(F.array(*own), lambda x: x.isNotNull()), *(F.coalesce(g, F.array().cast(_NONE)) for g in more))
+        found = F.concat(F.filter(F.array(*own), lambda x: x.isNotNull()), *(F.coalesce(g, F.array().cast(VIOLATIONS)) for g in more))
         groups.append(F.when(F.try_variant_get(v, f"{at}.{name}", "variant").isNotNull(), found))
     if deep and rule.items:
         groups.append(F.flatten(F.transform(get("array<variant>"), lambda x: _broken(rule.items, x, f"{label}[]", deep))))
@@ -161,7 +163,7 @@ def _broken(rule: Rule, v: Column, label: str, deep: bool) -> Column:
     groups: list[Column] = []
     _checks(rule, v, "$", label, scalars, groups, deep)
     own = F.filter(F.array(*scalars), lambda x: x.isNotNull())
-    return F.concat(own, *(F.coalesce(g, F.array().cast(_NONE)) for g in groups)) if groups else own
+    return F.concat(own, *(F.coalesce(g, F.array().cast(VIOLATIONS)) for g in groups)) if groups else own
 
 
 def violations(v: Column, kind: str, deep: bool = True) -> Column:
@@ -169,6 +171,56 @@ def violations(v: Column, kind: str, deep: bool = True) -> Column:
     return F.when(v.isNull(), F.array(_pair("$", "json"))).otherwise(F.array_distinct(_broken(KINDS[kind], v, "$", deep)))
 
 
+def _typed_as(rule: Rule) -> str:
+    """The type by which an object of a rule is read. What has no single type of Spark's, numbers too, stays a variant."""
+    if rule.values:
+        return f"map<string,{_typed_as(rule.values)}>"
+    if rule.items:
+        return f"array<{_typed_as(rule.items)}>"
+    fields = {**rule.required, **rule.optional, **{k: Rule(()) for k in rule.seen}}
+    if fields:
+        # In the order in which a variant is written.
+        return "struct<" + ",".join(f"`{k}`:{_typed_as(fields[k])}" for k in sorted(fields)) + ">"
+    return {("string",): "string", ("integer",): "bigint", ("boolean",): "boolean"}.get(rule.types, "variant")
+
+
+def _kept(rule: Rule, c: Column) -> Column:
+    """Whether a typed value that isn't null keeps a rule; its fields' names and types are known to be right."""
+    sure = lambda x: F.coalesce(x, F.lit(False))
+    held = [F.lit(True)]
+    if rule.values:
+        held.append(F.forall(F.map_values(c), lambda x: x.isNotNull() & _kept(rule.values, x)))
+        if rule.keys:
+            held.append(F.forall(F.map_keys(c), lambda k: k.rlike(rule.keys)))
+    elif rule.items:
+        held.append(F.forall(c, lambda x: x.isNotNull() & _kept(rule.items, x)))
+        if rule.length is not None:
+            held.append(F.size(c) == rule.length)
+    elif rule.required or rule.optional:
+        held += [c[k].isNotNull() & _kept(r, c[k]) for k, r in rule.required.items()]
+        held += [c[k].isNull() | _kept(r, c[k]) for k, r in rule.optional.items()]
+    elif _typed_as(rule) == "variant":
+        held.append(_has_type(c, "$", rule.types))
+        if rule.least is not None:
+            held.append(F.try_variant_get(c, "$", "double") >= rule.least)
+    else:
+        held += [c.isin(list(rule.among))] if rule.among else []
+        held += [c.rlike(rule.pattern)] if rule.pattern else []
+        held += [c >= rule.least] if rule.least is not None else []
+    return sure(reduce(lambda x, y: x & y, held))
+
+
+def typed(canonical: Column, kind: str) -> Column:
+    """An event, as a variant writes it, read by the types of its rules."""
+    return F.from_json(canonical, _typed_as(KINDS[kind]))
+
+
+def plainly_valid(canonical: Column, read: Column, kind: str) -> Column:
+    """Whether an event is valid at first sight: read by type and written again it is the same text, so it has no other fields and no other types,
+    and its values keep their rules. False means only that violations() must look closer."""
+    return F.coalesce((F.to_json(read) == canonical) & _kept(KINDS[kind], read), F.lit(False))
+
+
 def settle(df, name: str, value: Column):
     """Adds a column that later expressions refer to instead of repeating it: a generator of one row, which the optimizer doesn't look through."""
     return df.select("*", F.inline(F.array(F.struct(value.alias(name)))))

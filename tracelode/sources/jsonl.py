@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.normalize import ROWS, constraint
-from ..functions.rules import settle, violations
+from ..functions.rules import VIOLATIONS, plainly_valid, settle, typed, violations
 from ..functions.scalars import identity, notebook_hash
 
 #: Directory of each kind of event.
@@ -41,8 +41,13 @@ def identified(lines: DataFrame) -> DataFrame:
 def checked(lines: DataFrame, kind: str, value: str = "value", strict: bool = True, deep: bool = True) -> DataFrame:
     """Adds v (the parsed line) and violations. Without strict nothing but JSON itself is asked for."""
     parsed = settle(lines, "v", F.try_parse_json(F.col(value)))
-    broken: Column = violations(F.col("v"), kind, deep) if strict else F.filter(violations(F.col("v"), kind, deep=False), lambda x: x["rule"] == "json")
-    return settle(parsed, "violations", broken)
+    if not strict:
+        return settle(parsed, "violations", F.filter(violations(F.col("v"), kind, deep=False), lambda x: x["rule"] == "json"))
+    # Most events are valid at first sight; only the others are walked rule by rule.
+    read = settle(settle(parsed, "_canonical", F.to_json("v")), "_read", typed(F.col("_canonical"), kind))
+    plain = settle(read, "_plain", plainly_valid(F.col("_canonical"), F.col("_read"), kind)).drop("_canonical", "_read")
+    every = violations(F.col("v"), kind, deep)
+    return settle(plain, "violations", F.when(F.col("_plain"), F.array().cast(VIOLATIONS)).otherwise(every)).drop("_plain")
 
 
 def split(checked_lines: DataFrame, kind: str, key: Column) -> tuple[DataFrame, DataFrame]:
