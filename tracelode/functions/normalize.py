@@ -35,9 +35,10 @@ def _facet_map(facet: str) -> Column:
     """Output name to one of its facets; an output without a name is "unknown", a later one of the same name wins."""
     outs = F.coalesce(get("outputs", "array<variant>"), F.array().cast("array<variant>"))
     having = F.filter(outs, lambda o: get(f"facets.{facet}", "variant", o).isNotNull())
-    names = F.transform(having, lambda o: F.coalesce(get("name", "string", o), F.lit("unknown")))
-    last = F.filter(F.arrays_zip(names.alias("n"), having.alias("o"), F.sequence(F.lit(1), F.greatest(F.size(having), F.lit(1))).alias("i")), lambda x: x["n"].isNotNull() & (x["i"] == F.size(names) + 1 - F.array_position(F.reverse(names), x["n"])))
-    return null_if_empty(F.to_json(F.map_from_entries(F.transform(last, lambda x: F.struct(x["n"], get(f"facets.{facet}", "variant", x["o"]))))))
+    entries = F.transform(having, lambda o: F.struct(F.coalesce(get("name", "string", o), F.lit("unknown")).alias("name"), get(f"facets.{facet}", "variant", o).alias("facet")))
+    # An array of one array, so that the lambda below stands for entries made once.
+    last = F.transform(F.array(entries), lambda e: F.filter(e, lambda x, i: ~F.exists(F.slice(e, i + 2, F.size(e)), lambda y: y["name"] == x["name"])))
+    return null_if_empty(F.to_json(F.map_from_entries(F.get(last, F.lit(0)))))
 
 
 def _other_facets() -> Column:
