@@ -7,10 +7,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.compare import spark_rows, sql_rows
+from tracelode.functions import rules
+from tracelode.functions.normalize import unique
 from tracelode.functions.rules import PRODUCER, plainly_valid, typed, violations
 from tracelode.functions.scalars import excerpt, line_count, notebook_name, parse_time
 from tracelode.operators import executions, graph, guard, profile, tracked
-from tracelode.plans.queries import QUERIES, SQL
+from tracelode.plans.registry import QUERIES, SQL
 from tracelode.sources import catalogue
 from tracelode.sources.jsonl import checked
 from tracelode.streaming.ingest import open_executions
@@ -20,7 +22,10 @@ RUNTIME = {"event_type": "cell_execution_start", "execution_id": "abcdef01", "ce
 RUN = {"eventType": "COMPLETE", "eventTime": "t", "run": {"runId": "r"}, "job": {"namespace": "n", "name": "j"}, "inputs": [{"namespace": "n", "name": "d"}], "outputs": [], "producer": PRODUCER, "schemaURL": "u", "session_id": "s", "emitted_at": "t"}
 
 
-@pytest.mark.parametrize("name", ["validate_runtime", "validate_frames", "runtime_events", "vw_dataframe_lineage", "q6_session_overview", "paired_executions", "upstream_closure", "cycles", "tracked_events", "query_log_audit", "streamed_ingest", "scanned_logs", "vw_lineage_io", "vw_performance_metrics", "q1_recent_events", "q3_slow_executions", "q4_errors", "schema_changes", "schema_retypes", "column_profile", "compliance_errors", "table_samples", "catalogue_sql", "ingest_statistics"])
+@pytest.mark.parametrize("name", ["validate_runtime", "validate_frames", "runtime_events", "vw_dataframe_lineage", "q6_session_overview", "paired_executions", "upstream_closure", "cycles", "tracked_events", "query_log_audit", "streamed_ingest", "scanned_logs", "vw_lineage_io", "vw_performance_metrics", "q1_recent_events", "q3_slow_executions", "q4_errors", "schema_changes", "schema_retypes", "column_profile", "compliance_errors", "table_samples", "catalogue_sql", "ingest_statistics",
+    "nested_rules", "strict_and_lenient", "flat_lineage", "text_excerpts", "processing_summary", "stored_by_notebook", "landed_logs", "reprocessed_files", "unique_keys", "rule_compatibility", "distinct_sets", "open_execution_stream",
+    "operation_types", "tracked_parameters", "tracked_sources", "frame_infos", "run_events", "cell_events", "sampled_frames", "limit_rule", "syntax_reports", "described_tables",
+])
 def test_query_matches_sql(spark, name):
     assert spark_rows(QUERIES[name](spark, SF)) == sql_rows(SF, SQL[name])
 
@@ -75,7 +80,7 @@ def test_first_look_lets_nothing_pass(spark):
     }
     for kind, event in whole.items():
         lines = spark.createDataFrame([(json.dumps(e),) for e in (event, *_mutations(event))], "value string").select(F.try_parse_json("value").alias("v"))
-        rows = lines.select(F.to_json("v").alias("c"), "v").select(plainly_valid(F.col("c"), typed(F.col("c"), kind), kind).alias("plain"), violations(F.col("v"), kind).alias("broken"), "c").collect()
+        rows = lines.select(F.to_json("v").alias("c"), "v").withColumn("t", typed(F.col("c"), kind)).select(plainly_valid("c", "t", kind).alias("plain"), violations("v", kind).alias("broken"), "c").collect()
         assert rows[0].plain and not rows[0].broken, kind
         assert [r.c for r in rows if r.plain and r.broken] == []
         assert sum(r.plain for r in rows) > 3 and sum(bool(r.broken) for r in rows) > 30
@@ -198,6 +203,24 @@ def test_open_executions_meet_over_any_edge(spark, tmp_path):
     assert got == {"a": ("closed", "2024-01-01 05:00:00"), "b": ("open", "None"), "c": ("unmatched", "2024-01-01 00:10:00"), "z": ("closed", "2024-01-09 00:00:01")}
 
 
+def test_breaking_changes_of_rules():
+    old = rules.RUNTIME
+    assert rules.breaking(old, old) == [] and rules.breaking(rules.LINEAGE, rules.LINEAGE) == []
+    new = rules.record({k: r for k, r in old.required.items() if k != "cell_id"} | {"event_type": rules.text(among=("cell_execution_start",)), "kernel": rules.text(), "cell_source_lines": rules.text()}, {"duration_ms": rules.number(1)}, True)
+    assert set(rules.breaking(old, new)) == {
+        ("$.cell_id", "no longer required"), ("$.cell_id", "additional"), ("$.end_memory_mb", "additional"), ("$.error_info", "additional"), ("$.kernel", "required"),
+        ("$.event_type", "enum"), ("$.cell_source_lines", "type"), ("$.duration_ms", "minimum"),
+    }
+
+
+def test_unique_keys_keep_null_keys(spark):
+    rows = spark.createDataFrame([(1, 3), (1, 2), (None, 5), (None, 6), (2, 1)], "k int, at int")
+    kept, repeated = unique(rows, "k", "at")
+    assert sorted(map(str, kept.collect())) == sorted(map(str, spark.createDataFrame([(1, 2), (None, 5), (None, 6), (2, 1)], "k int, at int").collect()))
+    assert [tuple(r) for r in repeated.collect()] == [(1, 3)]
+    assert unique(rows.limit(0), "k", "at")[0].count() == 0
+
+
 def test_entry_is_imported_without_a_session():
     home = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     assert subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; e.queries(), e.oracle_sql()"], cwd=home, timeout=120).returncode == 0

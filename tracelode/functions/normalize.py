@@ -71,6 +71,15 @@ def frame_rows(events: DataFrame) -> DataFrame:
     )
 
 
+def unique(rows: DataFrame, key: str, order: str) -> tuple[DataFrame, DataFrame]:
+    """(rows whose key comes first by `order`, the others): the unique key of a table. `order` tells rows of a key apart; a null key is no key and stays.
+
+    The first of each key is found by an aggregation, which is partial before its shuffle; no key's rows are brought together to be sorted."""
+    first = rows.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("_k")).agg(F.min(order).alias("_first"))
+    marked = rows.join(first, F.col(key) == F.col("_k"), "left").withColumn("_keep", F.coalesce(F.col(order) == F.col("_first"), F.lit(True)))
+    return marked.where("_keep").select(rows.columns), marked.where("NOT _keep").select(rows.columns)
+
+
 ROWS = {"runtime": runtime_rows, "lineage": lineage_rows, "dataframe_lineage": frame_rows}
 #: Columns that a stored row must have.
 NOT_NULL = {"runtime": (), "lineage": (), "dataframe_lineage": ("event_type", "execution_id", "cell_id", "session_id", "timestamp", "emitted_at", "operation_type", "operation_method", "input_dataframes", "output_dataframes")}

@@ -7,7 +7,6 @@ members of arrays and maps are tested with higher-order functions, so a table of
 from __future__ import annotations
 
 from dataclasses import dataclass, field
-from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -100,75 +99,119 @@ FRAMES = record(
 )
 KINDS = {"runtime": RUNTIME, "lineage": LINEAGE, "dataframe_lineage": FRAMES}
 
-def _pair(path: str, rule: str) -> Column:
-    return F.struct(F.lit(path).alias("path"), F.lit(rule).alias("rule"))
+# Expressions are written as SQL text: a rule set has thousands of nodes, and a call to the JVM for each takes seconds.
+
+def _pair(path: str, rule: str) -> str:
+    return f"named_struct('path', '{path}', 'rule', '{rule}')"
 
 
 VIOLATIONS = "array<struct<path:string,rule:string>>"
+_NONE = f"cast(array() AS {VIOLATIONS})"
+
+
+def _listed(values: tuple[str, ...]) -> str:
+    return "(" + ", ".join(f"'{x}'" for x in values) + ")"
 
 
-def _has_type(v: Column, at: str, kinds: tuple[str, ...]) -> Column:
+def _has_type(v: str, at: str, kinds: tuple[str, ...]) -> str:
     """Whether the value at a path has one of some JSON types. A number without a fraction is an integer."""
-    shown = F.schema_of_variant(F.try_variant_get(v, at, "variant"))
+    shown = f"schema_of_variant(try_variant_get({v}, '{at}', 'variant'))"
     tests = {
-        "string": lambda: shown == "STRING", "boolean": lambda: shown == "BOOLEAN", "null": lambda: shown == "VOID", "object": lambda: shown.startswith("OBJECT"), "array": lambda: shown.startswith("ARRAY"),
-        "number": lambda: shown.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)"),
-        "integer": lambda: (shown == "BIGINT") | (shown.rlike("^(DECIMAL|DOUBLE|FLOAT)") & (F.try_variant_get(v, at, "double") % 1 == 0)),
+        "string": f"{shown} = 'STRING'", "boolean": f"{shown} = 'BOOLEAN'", "null": f"{shown} = 'VOID'", "object": f"startswith({shown}, 'OBJECT')", "array": f"startswith({shown}, 'ARRAY')",
+        "number": f"{shown} RLIKE '^(BIGINT|DECIMAL|DOUBLE|FLOAT)'",
+        "integer": f"({shown} = 'BIGINT' OR ({shown} RLIKE '^(DECIMAL|DOUBLE|FLOAT)' AND try_variant_get({v}, '{at}', 'double') % 1 = 0))",
     }
-    found = tests[kinds[0]]()
-    for k in kinds[1:]:
-        found = found | tests[k]()
-    return found
+    return "(" + " OR ".join(tests[k] for k in kinds) + ")"
+
+
+def _checks(rule: Rule, v: str, at: str, label: str, scalars: list[str], groups: list[str], deep: bool, depth: int) -> None:
+    """Adds what is tested at one path of a root variant. Objects are walked by path; lists and maps become one group each, which tests their members in one pass. depth: of lambdas around."""
+    get = lambda kind: f"try_variant_get({v}, '{at}', '{kind}')"
+    x = f"x{depth}"
 
+    def mark(broken: str, what: str, where: str = label) -> None:
+        scalars.append(f"CASE WHEN coalesce({broken}, false) THEN {_pair(where, what)} END")
 
-def _checks(rule: Rule, v: Column, at: str, label: str, scalars: list[Column], groups: list[Column], deep: bool) -> None:
-    """Adds what is tested at one path of a root variant. Objects are walked by path; lists and maps become one group each, which tests their members in one pass."""
-    mark = lambda broken, what, where=label: scalars.append(F.when(F.coalesce(broken, F.lit(False)), _pair(where, what)))
-    get = lambda kind: F.try_variant_get(v, at, kind)
-    mark(~_has_type(v, at, rule.types), "type")
+    mark(f"NOT {_has_type(v, at, rule.types)}", "type")
     if rule.among:
-        mark(_has_type(v, at, ("string",)) & ~get("string").isin(list(rule.among)), "enum")
+        mark(f"{_has_type(v, at, ('string',))} AND {get('string')} NOT IN {_listed(rule.among)}", "enum")
     if rule.pattern:
-        mark(_has_type(v, at, ("string",)) & ~get("string").rlike(rule.pattern), "pattern")
+        mark(f"{_has_type(v, at, ('string',))} AND NOT {get('string')} RLIKE r'{rule.pattern}'", "pattern")
     if rule.least is not None:
-        mark(_has_type(v, at, ("number",)) & (get("double") < rule.least), "minimum")
+        mark(f"{_has_type(v, at, ('number',))} AND {get('double')} < {rule.least}", "minimum")
     if rule.closed and rule.keys is None:
-        mark(F.size(F.array_except(F.map_keys(get("map<string,variant>")), F.array(*map(F.lit, [*rule.required, *rule.optional])))) > 0, "additional")
+        mark(f"size(array_except(map_keys({get('map<string,variant>')}), array{_listed((*rule.required, *rule.optional))})) > 0", "additional")
     if rule.keys:
-        mark(F.exists(F.map_keys(get("map<string,variant>")), lambda k: ~k.rlike(rule.keys)), "key")
+        mark(f"exists(map_keys({get('map<string,variant>')}), {x} -> NOT {x} RLIKE r'{rule.keys}')", "key")
     if rule.length is not None:
-        mark(F.size(get("array<variant>")) != rule.length, "length")
+        mark(f"size({get('array<variant>')}) <> {rule.length}", "length")
     for name in rule.required:
-        here = get("variant").isNotNull() if at != "$" else F.lit(True)
-        mark(here & F.try_variant_get(v, f"{at}.{name}", "variant").isNull(), "required", f"{label}.{name}")
+        here = f"{get('variant')} IS NOT NULL AND " if at != "$" else ""
+        mark(f"{here}try_variant_get({v}, '{at}.{name}', 'variant') IS NULL", "required", f"{label}.{name}")
     for name, sub in rule.required.items():
-        _checks(sub, v, f"{at}.{name}", f"{label}.{name}", scalars, groups, deep)
+        _checks(sub, v, f"{at}.{name}", f"{label}.{name}", scalars, groups, deep, depth)
     for name, sub in rule.optional.items():
         if not sub.required and not sub.optional:
-            _checks(sub, v, f"{at}.{name}", f"{label}.{name}", scalars, groups, deep)
+            _checks(sub, v, f"{at}.{name}", f"{label}.{name}", scalars, groups, deep, depth)
             continue
-        own: list[Column] = []
-        more: list[Column] = []
-        _checks(sub, v, f"{at}.{name}", f"{label}.{name}", own, more, deep)  # looked at only where there is such an object
-        found = F.concat(F.filter(F.array(*own), lambda x: x.isNotNull()), *(F.coalesce(g, F.array().cast(VIOLATIONS)) for g in more))
-        groups.append(F.when(F.try_variant_get(v, f"{at}.{name}", "variant").isNotNull(), found))
+        own: list[str] = []
+        more: list[str] = []
+        _checks(sub, v, f"{at}.{name}", f"{label}.{name}", own, more, deep, depth)  # looked at only where there is such an object
+        groups.append(f"CASE WHEN try_variant_get({v}, '{at}.{name}', 'variant') IS NOT NULL THEN {_together(own, more, x)} END")
     if deep and rule.items:
-        groups.append(F.flatten(F.transform(get("array<variant>"), lambda x: _broken(rule.items, x, f"{label}[]", deep))))
+        groups.append(f"flatten(transform({get('array<variant>')}, {x} -> {_broken(rule.items, x, f'{label}[]', deep, depth + 1)}))")
     if deep and rule.values:
-        groups.append(F.flatten(F.transform(F.map_values(get("map<string,variant>")), lambda x: _broken(rule.values, x, f"{label}.*", deep))))
-
-
-def _broken(rule: Rule, v: Column, label: str, deep: bool) -> Column:
-    scalars: list[Column] = []
-    groups: list[Column] = []
-    _checks(rule, v, "$", label, scalars, groups, deep)
-    own = F.filter(F.array(*scalars), lambda x: x.isNotNull())
-    return F.concat(own, *(F.coalesce(g, F.array().cast(VIOLATIONS)) for g in groups)) if groups else own
-
-
-def violations(v: Column, kind: str, deep: bool = True) -> Column:
-    """All broken rules of an event: array of (path, rule), each once. v is null where the line isn't JSON. deep=False leaves out what lies in arrays and maps."""
-    return F.when(v.isNull(), F.array(_pair("$", "json"))).otherwise(F.array_distinct(_broken(KINDS[kind], v, "$", deep)))
+        groups.append(f"flatten(transform(map_values({get('map<string,variant>')}), {x} -> {_broken(rule.values, x, f'{label}.*', deep, depth + 1)}))")
+
+
+def _together(scalars: list[str], groups: list[str], x: str) -> str:
+    own = f"filter(array({', '.join(scalars)}), {x} -> {x} IS NOT NULL)"
+    return f"concat({', '.join([own, *(f'coalesce({g}, {_NONE})' for g in groups)])})" if groups else own
+
+
+def _broken(rule: Rule, v: str, label: str, deep: bool, depth: int = 0) -> str:
+    scalars: list[str] = []
+    groups: list[str] = []
+    _checks(rule, v, "$", label, scalars, groups, deep, depth)
+    return _together(scalars, groups, f"x{depth}")
+
+
+def violations(v: str, kind: str | Rule, deep: bool = True) -> Column:
+    """All broken rules of an event of a kind, or by a rule of one's own: array of (path, rule), each once. v names a variant column, null where the line isn't JSON. deep=False leaves out what lies in arrays and maps."""
+    rule = kind if isinstance(kind, Rule) else KINDS[kind]
+    return F.expr(f"CASE WHEN {v} IS NULL THEN array({_pair('$', 'json')}) ELSE array_distinct({_broken(rule, v, '$', deep)}) END")
+
+
+def breaking(old: Rule, new: Rule, path: str = "$") -> list[tuple[str, str]]:
+    """(path, change) of what in a new rule may refuse events that the old one takes, or drop what readers of old events rely on:
+    a field no longer required, or newly so; another type; a value taken from an enumeration; a new pattern, a higher minimum, another length; a field no longer known to a closed object."""
+    out = []
+    if not set(old.types) <= set(new.types):
+        out.append((path, "type"))
+    if new.among and (not old.among or set(old.among) - set(new.among)):
+        out.append((path, "enum"))
+    if new.pattern not in (None, old.pattern):
+        out.append((path, "pattern"))
+    if new.least is not None and (old.least is None or new.least > old.least):
+        out.append((path, "minimum"))
+    if new.length not in (None, old.length):
+        out.append((path, "length"))
+    if new.keys not in (None, old.keys):
+        out.append((path, "key"))
+    before, now = {**old.required, **old.optional}, {**new.required, **new.optional}
+    out += [(f"{path}.{k}", "no longer required") for k in old.required if k not in new.required]
+    out += [(f"{path}.{k}", "required") for k in new.required if k not in old.required]
+    if new.closed and new.keys is None:
+        out += [(f"{path}.{k}", "additional") for k in before if k not in now]
+        if not old.closed:
+            out.append((path, "additional"))
+    for k in before:
+        if k in now:
+            out += breaking(before[k], now[k], f"{path}.{k}")
+    for a, b, at in ((old.items, new.items, "[]"), (old.values, new.values, ".*")):
+        if b is not None:
+            out += breaking(a or Rule(()), b, path + at)
+    return out
 
 
 def _typed_as(rule: Rule) -> str:
@@ -184,30 +227,29 @@ def _typed_as(rule: Rule) -> str:
     return {("string",): "string", ("integer",): "bigint", ("boolean",): "boolean"}.get(rule.types, "variant")
 
 
-def _kept(rule: Rule, c: Column) -> Column:
+def _kept(rule: Rule, c: str, depth: int = 0) -> str:
     """Whether a typed value that isn't null keeps a rule; its fields' names and types are known to be right."""
-    sure = lambda x: F.coalesce(x, F.lit(False))
-    held = [F.lit(True)]
+    held, x = ["true"], f"x{depth}"
     if rule.values:
-        held.append(F.forall(F.map_values(c), lambda x: x.isNotNull() & _kept(rule.values, x)))
+        held.append(f"forall(map_values({c}), {x} -> {x} IS NOT NULL AND {_kept(rule.values, x, depth + 1)})")
         if rule.keys:
-            held.append(F.forall(F.map_keys(c), lambda k: k.rlike(rule.keys)))
+            held.append(f"forall(map_keys({c}), {x} -> {x} RLIKE r'{rule.keys}')")
     elif rule.items:
-        held.append(F.forall(c, lambda x: x.isNotNull() & _kept(rule.items, x)))
+        held.append(f"forall({c}, {x} -> {x} IS NOT NULL AND {_kept(rule.items, x, depth + 1)})")
         if rule.length is not None:
-            held.append(F.size(c) == rule.length)
+            held.append(f"size({c}) = {rule.length}")
     elif rule.required or rule.optional:
-        held += [c[k].isNotNull() & _kept(r, c[k]) for k, r in rule.required.items()]
-        held += [c[k].isNull() | _kept(r, c[k]) for k, r in rule.optional.items()]
+        held += [f"({c}.`{k}` IS NOT NULL AND {_kept(r, f'{c}.`{k}`', depth)})" for k, r in rule.required.items()]
+        held += [f"({c}.`{k}` IS NULL OR {_kept(r, f'{c}.`{k}`', depth)})" for k, r in rule.optional.items()]
     elif _typed_as(rule) == "variant":
         held.append(_has_type(c, "$", rule.types))
         if rule.least is not None:
-            held.append(F.try_variant_get(c, "$", "double") >= rule.least)
+            held.append(f"try_variant_get({c}, '$', 'double') >= {rule.least}")
     else:
-        held += [c.isin(list(rule.among))] if rule.among else []
-        held += [c.rlike(rule.pattern)] if rule.pattern else []
-        held += [c >= rule.least] if rule.least is not None else []
-    return sure(reduce(lambda x, y: x & y, held))
+        held += [f"{c} IN {_listed(rule.among)}"] if rule.among else []
+        held += [f"{c} RLIKE r'{rule.pattern}'"] if rule.pattern else []
+        held += [f"{c} >= {rule.least}"] if rule.least is not None else []
+    return f"coalesce({' AND '.join(held)}, false)"
 
 
 def typed(canonical: Column, kind: str) -> Column:
@@ -215,10 +257,10 @@ def typed(canonical: Column, kind: str) -> Column:
     return F.from_json(canonical, _typed_as(KINDS[kind]))
 
 
-def plainly_valid(canonical: Column, read: Column, kind: str) -> Column:
-    """Whether an event is valid at first sight: read by type and written again it is the same text, so it has no other fields and no other types,
+def plainly_valid(canonical: str, read: str, kind: str) -> Column:
+    """Whether an event is valid at first sight: read by type (a column's name) and written again it is the same text, so it has no other fields and no other types,
     and its values keep their rules. False means only that violations() must look closer."""
-    return F.coalesce((F.to_json(read) == canonical) & _kept(KINDS[kind], read), F.lit(False))
+    return F.expr(f"coalesce(to_json({read}) = {canonical} AND {_kept(KINDS[kind], read)}, false)")
 
 
 def settle(df, name: str, value: Column):

@@ -76,6 +76,11 @@ def limit_of(text: str, limit: int) -> int | None:
     return None if "limit" in text.lower() or limit <= 0 else min(limit, MOST_ROWS)
 
 
+def limit_column(text: Column, limit: Column) -> Column:
+    """limit_of for a table of texts and limits: null where none is appended."""
+    return F.when(~F.lower(text).contains("limit") & (limit > 0), F.least(limit, F.lit(MOST_ROWS)))
+
+
 def guarded_sql(spark: SparkSession, text: str, limit: int = 100, args: list | None = None) -> DataFrame:
     verdict = spark.range(1).select(audit(F.lit(text)).alias("a")).first()["a"]
     if verdict["verdict"] != "valid":

@@ -41,6 +41,18 @@ def table_counts(tables: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
+def distinct_sets(df: DataFrame, by: str, members: str, counted: str) -> DataFrame:
+    """by, members (the few distinct values of a column of kinds, sorted) and how many distinct values another column has."""
+    return df.groupBy(by).agg(F.array_sort(F.collect_set(members)).alias(members), F.countDistinct(counted).alias(f"n_{counted}"))
+
+
+def processing_summary(lines: DataFrame, rows: DataFrame) -> DataFrame:
+    """processed, failed, total and success_rate (0 when empty) of lines that were read and the rows that came of them."""
+    read, kept = lines.agg(F.count("*").alias("total")), rows.agg(F.count("*").alias("processed"))
+    rate = F.coalesce(F.try_divide(F.col("processed").cast("double"), F.col("total")), F.lit(0.0))
+    return read.join(F.broadcast(kept)).select("processed", (F.col("total") - F.col("processed")).alias("failed"), "total", rate.alias("success_rate"))  # a row each
+
+
 def compliance(checked: DataFrame) -> DataFrame:
     """total, valid, invalid and rate (0 when empty) of checked lines."""
     ok = F.count_if(F.size("violations") == 0)

@@ -54,7 +54,7 @@ def _stamp(time: Column) -> Column:
 def _event(method: str, parameters: dict, inputs: list[tuple[str, DataFrame]], output: tuple[str, DataFrame], observe: bool, place: Place, code: str) -> Tracked:
     name, result = output
 
-    def info(name: str, df: DataFrame) -> DataFrame:
+    def info(name: str, df: DataFrame) -> DataFrame:  # counts alone, so that no column is read
         shape = F.array(F.count("*"), F.lit(len(df.columns)).cast("long")).alias("shape")
         return df.agg(shape).select(F.struct(F.lit(name).alias("variable_name"), "shape", F.array(*map(F.lit, df.columns)).alias("columns")).alias("f"))
 
@@ -78,6 +78,28 @@ def _event(method: str, parameters: dict, inputs: list[tuple[str, DataFrame]], o
     return Tracked(result.observe(seen, F.count(F.lit(1)).alias("rows")), events, seen)
 
 
+#: Bytes of values of a fixed width.
+_WIDTH = {"boolean": 1, "tinyint": 1, "smallint": 2, "int": 4, "bigint": 8, "float": 4, "double": 8, "date": 4, "timestamp": 8, "timestamp_ntz": 8}
+
+
+def frame_info(df: DataFrame, name: str) -> DataFrame:
+    """One row: variable_name, object_id (of its schema and name), shape, columns and memory_usage_mb, an estimate: widths of fixed types (nulls too), bytes of texts, and bytes as JSON of all else. Reads all columns."""
+
+    def size(field) -> Column:
+        kind, c = field.dataType.simpleString(), F.col(f"`{field.name}`")
+        if kind in _WIDTH:
+            return F.lit(_WIDTH[kind])
+        text = c if kind in ("string", "binary") else F.to_json(F.struct(c))
+        return F.coalesce(F.octet_length(text), F.lit(0))
+
+    row = F.lit(0).cast("long")
+    for field in df.schema:
+        row = row + size(field)
+    found = df.agg(F.count("*").alias("n"), F.coalesce(F.sum(row), F.lit(0)).alias("bytes"))
+    identity = F.substring(F.sha2(F.concat_ws(",", F.lit(name), F.lit(df.schema.simpleString())), 256), 1, 16)
+    return found.select(F.lit(name).alias("variable_name"), identity.alias("object_id"), F.array("n", F.lit(len(df.columns)).cast("long")).alias("shape"), F.array(*map(F.lit, df.columns)).alias("columns"), (F.col("bytes") / 1048576.0).alias("memory_usage_mb"))
+
+
 def lines(events: DataFrame) -> DataFrame:
     """Events as JSON lines, as the log has them: value."""
     return events.select(F.to_json(F.struct("*"), {"ignoreNullFields": "true"}).alias("value"))
@@ -115,8 +137,12 @@ def dataset(df: DataFrame, name: str, namespace: str = "spark") -> Column:
     return F.struct(F.lit(namespace).alias("namespace"), F.lit(name).alias("name"), F.struct(schema.alias("schema")).alias("facets"))
 
 
-def run_event(state: str, run_id: Column, job: str, inputs: list[Column], outputs: list[Column], time: Column, place: Place = HERE, elapsed_ms: Column | None = None, error: Column | None = None) -> Column:
-    """An OpenLineage run event as JSON: START, COMPLETE, ABORT or FAIL, with the execution and session it belongs to, how long it took, and an error only where it failed or was aborted."""
+#: Facets that a job may have; others are left out.
+JOB_FACETS = ("cell_id", "cell_source", "termination_reason", "failure_context", "modification_type", "key", "value_type", "test_field", "custom_field", "abortion_context")
+
+
+def run_event(state: str, run_id: Column, job: str, inputs: list[Column], outputs: list[Column], time: Column, place: Place = HERE, elapsed_ms: Column | None = None, error: Column | None = None, job_facets: dict[str, Column] | None = None) -> Column:
+    """An OpenLineage run event as JSON: START, COMPLETE, ABORT or FAIL, with the execution and session it belongs to, how long it took, facets of its job (texts, of JOB_FACETS), and an error only where it failed or was aborted. A failed run gives the outputs it had made."""
     made = F.lit(PRODUCER).alias("_producer")
     facets = [F.struct(made, F.lit(place.execution_id).alias("executionId"), F.lit(place.session_id).alias("sessionId")).alias("marimoExecution")]
     if elapsed_ms is not None:
@@ -124,7 +150,9 @@ def run_event(state: str, run_id: Column, job: str, inputs: list[Column], output
     if error is not None and state in ("FAIL", "ABORT"):
         facets.append(F.struct(made, error.alias("message"), F.lit("python").alias("programmingLanguage")).alias("errorMessage"))
     some = lambda x: F.array(*x) if x else F.array().cast("array<struct<name:string>>")
-    job_ = F.struct(F.lit("spark").alias("namespace"), F.lit(job).alias("name"), F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>")).alias("facets"))
+    told = [(k, c.cast("string")) for k, c in (job_facets or {}).items() if k in JOB_FACETS]
+    facet = F.create_map(*(x for k, c in told for x in (F.lit(k), c))) if told else F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
+    job_ = F.struct(F.lit("spark").alias("namespace"), F.lit(job).alias("name"), facet.alias("facets"))
     event = F.struct(
         F.lit(state).alias("eventType"), _stamp(time).alias("eventTime"), F.struct(run_id.alias("runId"), F.struct(*facets).alias("facets")).alias("run"), job_.alias("job"), some(inputs).alias("inputs"), some(outputs).alias("outputs"),
         F.lit(PRODUCER).alias("producer"), F.lit(SCHEMA_URL).alias("schemaURL"), F.lit(place.session_id).alias("session_id"), _stamp(F.current_timestamp()).alias("emitted_at"),
@@ -138,8 +166,17 @@ def track_source(df: DataFrame, name: str, place: Place = HERE) -> tuple[DataFra
     return df, df.sparkSession.range(1).select(line.alias("value"))
 
 
+def set_column(df: DataFrame, column: str, value: Column, name: str, place: Place = HERE) -> tuple[DataFrame, DataFrame]:
+    """A frame with a column set (T2): itself, and its COMPLETE event as a line (value), with the column's name and the type of its values as facets of the job."""
+    made = df.withColumn(column, value)
+    facets = {"modification_type": F.lit("set_column"), "key": F.lit(column), "value_type": F.lit(made.schema[column].dataType.simpleString())}
+    line = run_event("COMPLETE", F.expr("uuid()"), f"modify_{name}", [dataset(df, name)], [dataset(made, name)], F.current_timestamp(), place, job_facets=facets)
+    return made, df.sparkSession.range(1).select(line.alias("value"))
+
+
 def sampled(df: DataFrame, key: str, megabytes: float, limit: float = 10.0, percent: int = 10) -> DataFrame:
-    """Frames above the size limit are sampled by hash of a key, the same rows each time; sampled says so."""
+    """Frames above the size limit are sampled by hash of a key, the same rows each time and on any engine that has MD5; sampled says so."""
     large = megabytes > limit
-    rows = df.where(F.pmod(F.xxhash64(key), F.lit(100)) < percent) if large else df
+    drawn = F.conv(F.substring(F.md5(F.col(key).cast("string")), 1, 8), 16, 10).cast("long") % 100
+    rows = df.where(drawn < percent) if large else df
     return rows.withColumn("sampled", F.lit(large))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -21,15 +23,34 @@ def with_origin(lines: DataFrame) -> DataFrame:
     return lines.select("value", path.alias("path"), kind.alias("kind"), F.regexp_extract(path, r"/([0-9a-f]{8})_[^/]*$", 1).alias("notebook_hash"))
 
 
+def hash_of(spark: SparkSession, notebook: str) -> str:
+    return spark.range(1).select(notebook_hash(F.lit(notebook))).first()[0]
+
+
 def scan(spark: SparkSession, root: str, notebook: str | None = None) -> DataFrame:
-    """Lines of all kinds under root, blank ones left out; only one notebook's files, if its path is given."""
-    reader = spark.read
-    if notebook:
-        digest = spark.range(1).select(notebook_hash(F.lit(notebook))).first()[0]
-        reader = reader.option("pathGlobFilter", f"{digest}_*.jsonl")
-    else:
-        reader = reader.option("pathGlobFilter", "*.jsonl")
-    return with_origin(reader.text([f"{root}/{d}" for d in DIRECTORIES.values()])).where("kind is not null").where(F.trim("value") != "")
+    """Lines of all kinds under root, blank ones left out; only one notebook's files, if its path is given. Directories of kinds that aren't there yet are left out."""
+    named = f"{hash_of(spark, notebook)}_*.jsonl" if notebook else "*.jsonl"
+    lines = spark.read.option("pathGlobFilter", named).text(f"{root}/{{{','.join(DIRECTORIES.values())}}}")
+    return with_origin(lines).where("kind is not null").where(F.trim("value") != "")
+
+
+def unrouted(spark: SparkSession, root: str) -> DataFrame:
+    """What lies under root in directories of no kind, and so is never read: directory, n_lines."""
+    lines = with_origin(spark.read.option("pathGlobFilter", "*.jsonl").text(f"{root}/*")).where("kind is null")
+    return lines.groupBy(F.element_at(F.split("path", "/"), -2).alias("directory")).agg(F.count("*").alias("n_lines"))
+
+
+def land(lines: DataFrame, root: str, directory: str, notebook: str) -> None:
+    """Lines (value) as files of one notebook in a directory. They are written aside and appear by renaming, whole, so that no reader sees half a file."""
+    spark = lines.sparkSession
+    staged, name = f"{root}/_staged/{uuid.uuid4().hex}", f"{hash_of(spark, notebook)}_{uuid.uuid4().hex[:8]}"
+    lines.select("value").write.text(staged)
+    jvm = spark._jvm
+    path = jvm.org.apache.hadoop.fs.Path
+    files = path(staged).getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(path(f"{root}/{directory}"))
+    for k, part in enumerate(sorted(str(f.getPath()) for f in files.globStatus(path(f"{staged}/part-*")))):
+        files.rename(path(part), path(f"{root}/{directory}/{name}-{k}.jsonl"))
 
 
 def identified(lines: DataFrame) -> DataFrame:
@@ -42,11 +63,11 @@ def checked(lines: DataFrame, kind: str, value: str = "value", strict: bool = Tr
     """Adds v (the parsed line) and violations. Without strict nothing but JSON itself is asked for."""
     parsed = settle(lines, "v", F.try_parse_json(F.col(value)))
     if not strict:
-        return settle(parsed, "violations", F.filter(violations(F.col("v"), kind, deep=False), lambda x: x["rule"] == "json"))
+        return settle(parsed, "violations", F.filter(violations("v", kind, deep=False), lambda x: x["rule"] == "json"))
     # Most events are valid at first sight; only the others are walked rule by rule.
     read = settle(settle(parsed, "_canonical", F.to_json("v")), "_read", typed(F.col("_canonical"), kind))
-    plain = settle(read, "_plain", plainly_valid(F.col("_canonical"), F.col("_read"), kind)).drop("_canonical", "_read")
-    every = violations(F.col("v"), kind, deep)
+    plain = settle(read, "_plain", plainly_valid("_canonical", "_read", kind)).drop("_canonical", "_read")
+    every = violations("v", kind, deep)
     return settle(plain, "violations", F.when(F.col("_plain"), F.array().cast(VIOLATIONS)).otherwise(every)).drop("_plain")
 
 
