@@ -116,8 +116,10 @@ def _listed(values: tuple[str, ...]) -> str:
 def _has_type(v: str, at: str, kinds: tuple[str, ...]) -> str:
     """Whether the value at a path has one of some JSON types. A number without a fraction is an integer."""
     shown = f"schema_of_variant(try_variant_get({v}, '{at}', 'variant'))"
+    # A schema is told of scalars only: that of an object would be written out with all that lies in it.
+    holds = lambda kind: f"if(try_variant_get({v}, '{at}', 'variant') IS NULL, NULL, try_variant_get({v}, '{at}', '{kind}') IS NOT NULL)"
     tests = {
-        "string": f"{shown} = 'STRING'", "boolean": f"{shown} = 'BOOLEAN'", "null": f"{shown} = 'VOID'", "object": f"startswith({shown}, 'OBJECT')", "array": f"startswith({shown}, 'ARRAY')",
+        "string": f"{shown} = 'STRING'", "boolean": f"{shown} = 'BOOLEAN'", "null": f"{shown} = 'VOID'", "object": holds("map<string,variant>"), "array": holds("array<variant>"),
         "number": f"{shown} RLIKE '^(BIGINT|DECIMAL|DOUBLE|FLOAT)'",
         "integer": f"({shown} = 'BIGINT' OR ({shown} RLIKE '^(DECIMAL|DOUBLE|FLOAT)' AND try_variant_get({v}, '{at}', 'double') % 1 = 0))",
     }
