@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontam, digest, ngram_join, packing, pii, ppm, quality, token_store, toxicity
+from . import centroids, chat_format, decontam, digest, licenses, ngram_join, packing, pii, ppm, quality, token_store, toxicity, whitening
 from .common import scratch_dir, table
 from .tokens import tokenizer_path
 
@@ -64,10 +64,22 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.clusters(table(spark, sf_dir, "embeddings"), k=16, rounds=3, dims=64, seed=1).drop("n_measured")
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), k=32)
+
+
+def op13_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     found = {k: v for k, v in globals().items() if k.startswith("op")}
     return dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0])))
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op11_centroids": centroids.SQL, "op13_licenses": licenses.SQL}
