@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.scratch import settled
+from .components import bypassed, chain_links, strong_components
 from .views import names_of
 
 
@@ -31,24 +34,57 @@ def frame_column_edges(frames: DataFrame) -> DataFrame:
     return rows.select(part("s", 0).alias("source"), part("s", 1).alias("source_column"), part("t", 0).alias("target"), part("t", 1).alias("target_column"))
 
 
+def frame_edges(frames: DataFrame) -> DataFrame:
+    """source, target: each input frame of an operation to each output frame."""
+    named = "array<struct<variable_name:string>>"
+    rows = frames.select(F.from_json("input_dataframes", named)["variable_name"].alias("i"), F.from_json("output_dataframes", named)["variable_name"].alias("o"))
+    return rows.select(F.explode("i").alias("source"), "o").select("source", F.explode("o").alias("target"))
+
+
+#: Rounds of an edge each before chains are passed in one.
+SHALLOW = 12
+
+
+def _spread(found: list[DataFrame], edges: DataFrame, max_depth: int | None, rounds: int | None) -> tuple[list[DataFrame], DataFrame]:
+    """Follows edges (source, target, weight) from the last of `found` (seed, node, depth), a written table a round that holds what is new or nearer than before. Returns all of them, and the last that was written."""
+    front, turn = found[-1], 0
+    while rounds is None or turn < rounds:
+        near = front.join(edges, front["node"] == edges["source"]).select("seed", F.col("target").alias("node"), (F.col("depth") + F.col("weight")).alias("depth"))
+        near = near.where(F.col("depth") <= max_depth) if max_depth is not None else near
+        near = near.groupBy("seed", "node").agg(F.min("depth").alias("depth"))
+        known = reduce(DataFrame.unionByName, found).groupBy("seed", "node").agg(F.min("depth").alias("known"))
+        front = settled(near.join(known, ["seed", "node"], "left").where("known is null or depth < known").select("seed", "node", "depth"), "found")
+        if not front.limit(1).count():
+            return found, front
+        found, turn = [*found, front], turn + 1
+    return found, front
+
+
 def closure(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None) -> DataFrame:
-    """seeds: node. Returns seed, node, depth for all that edges (source, target) reach; depth is the shortest way. Cycles end by themselves.
+    """seeds: node. Returns seed, node, depth for all that edges (source, target; weight, if there, else 1 each) reach; depth is the shortest way. Cycles end by themselves. max_depth: how far to look (None: all the way).
 
-    Each round doubles the depth: `found` holds all ways of up to `reach` edges, `jump` the ends of ways of exactly so many. When a
-    round finds no new pair, none lies farther. Both are written, not kept in a growing plan. max_depth: how far to look (None: all the way)."""
-    jump = settled(edges.select("source", "target").distinct(), "hops")
+    Only what the seeds reach is written, a table a round. Each round reads the edges, so give a stored table. Ways of more than SHALLOW
+    edges go on over a graph whose chains (nodes with one edge in and one out) are single edges, found by pointer doubling over those nodes;
+    what lies inside the chains that were passed is added in the end. So rounds grow with the branchings on a way, not with its length."""
+    named = edges.select("source", "target", (F.col("weight") if "weight" in edges.columns else F.lit(1)).cast("int").alias("weight")).where("source is not null and target is not null")
     start = seeds.select(F.col("node").alias("seed")).distinct()
-    found = settled(start.join(jump, start["seed"] == jump["source"]).select("seed", F.col("target").alias("node"), F.lit(1).alias("depth")), "found")
-    n, reach = found.count(), 1
-    while n and (max_depth is None or reach < max_depth):
-        far = found.join(jump, found["node"] == jump["source"]).select("seed", F.col("target").alias("node"), (F.col("depth") + reach).alias("depth"))
-        found = settled(found.unionByName(far).groupBy("seed", "node").agg(F.min("depth").alias("depth")), "found")
-        before, n = n, found.count()
-        if n == before:
-            break
-        on = jump.select(F.col("source").alias("target"), F.col("target").alias("end"))
-        jump, reach = settled(jump.join(on, "target").select("source", F.col("end").alias("target")).distinct(), "jump"), reach * 2
-    return found if max_depth is None else found.where(F.col("depth") <= max_depth)
+    first = start.join(named, start["seed"] == named["source"]).groupBy("seed", F.col("target").alias("node")).agg(F.min("weight").alias("depth"))
+    found, front = _spread([settled(first if max_depth is None else first.where(F.col("depth") <= max_depth), "found")], named, max_depth, SHALLOW)
+    if front.limit(1).count():
+        one = settled(named.where("source <> target").groupBy("source", "target").agg(F.min("weight").alias("weight")), "edges")
+        links = chain_links(one, front.select("node").distinct())
+        # Steps count nodes; weights need the way's sum, so only chains of edges of weight one are passed at once.
+        uneven = one.where("weight <> 1").select(F.explode(F.array("source", "target")).alias("node")).join(links, "node").select("last").distinct()
+        links = links.where("ended").join(uneven, "last", "left_anti")
+        chain = settled(bypassed(one, links).withColumn("all", F.col("steps") + 2), "chains")
+        inner = settled(links.join(chain.select("last", "u", F.col("steps").alias("whole")), "last").select("node", "u", (1 + F.col("whole") - F.col("steps")).cast("int").alias("far")), "inside")
+        gone = inner.select(F.col("node").alias("source"))
+        plain = one.join(gone, "source", "left_anti").join(gone.select(F.col("source").alias("target")), "target", "left_anti").select("source", "target", "weight")
+        short = settled(plain.unionByName(chain.select(F.col("u").alias("source"), F.col("w").alias("target"), F.col("all").cast("int").alias("weight"))), "edges")
+        found, _ = _spread(found, short, max_depth, None)
+        passed = reduce(DataFrame.unionByName, found).join(inner.select("u", F.col("node").alias("inside"), "far"), F.col("node") == F.col("u")).select("seed", F.col("inside").alias("node"), (F.col("depth") + F.col("far")).alias("depth"))
+        found = [*found, passed if max_depth is None else passed.where(F.col("depth") <= max_depth)]
+    return reduce(DataFrame.unionByName, found).groupBy("seed", "node").agg(F.min("depth").alias("depth"))
 
 
 def upstream(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None) -> DataFrame:
@@ -57,26 +93,31 @@ def upstream(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None) -
 
 def impact(edges: DataFrame, changed: DataFrame, max_depth: int | None = None) -> DataFrame:
     """How many nodes lie downstream of each changed one, and how far."""
-    return closure(edges, changed, max_depth).groupBy("seed").agg(F.countDistinct("node").alias("n_nodes"), F.max("depth").alias("max_depth"))
-
-
-def _peeled(edges: DataFrame) -> DataFrame:
-    """Edges whose ends both have edges in and out: no other lies on a cycle. Rounds go on while they take a tenth of the edges, so that a long chain, which loses an edge at a time, ends them."""
-    now = settled(edges.select("source", "target").distinct(), "edges")
-    n = now.count()
-    while n:
-        kept = now.join(now.select(F.col("source").alias("target")), "target", "left_semi").join(now.select(F.col("target").alias("source")), "source", "left_semi")
-        now = settled(kept.select("source", "target"), "edges")
-        before, n = n, now.count()
-        if n * 10 > before * 9:
-            break
-    return now
+    return closure(edges, changed, max_depth).groupBy("seed").agg(F.count("*").alias("n_nodes"), F.max("depth").alias("max_depth"))
+
+
+def column_graph(lineage: DataFrame, frames: DataFrame) -> DataFrame:
+    """source, target (structs of name and column; column is empty for a dataset or frame as a whole) and weight: columns to the columns made of them, columns to what holds them (no step), and datasets and frames to those made of them."""
+    node = lambda name, column: F.struct(F.col(name).alias("name"), (F.col(column) if column else F.lit("")).alias("column"))
+    columns = column_edges(lineage).unionByName(frame_column_edges(frames))
+    steps = columns.select(node("source", "source_column").alias("source"), node("target", "target_column").alias("target"), F.lit(1).alias("weight"))
+    holds = columns.select(node("target", "target_column").alias("source"), node("target", None).alias("target"), F.lit(0).alias("weight"))
+    whole = dataset_edges(lineage).select("source", "target").unionByName(frame_edges(frames)).select(node("source", None).alias("source"), node("target", None).alias("target"), F.lit(1).alias("weight"))
+    return steps.unionByName(holds).unionByName(whole).distinct()
+
+
+def column_impact(lineage: DataFrame, frames: DataFrame, changed: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """changed: name, column. What a changed column can alter: seed_name, seed_column, name, column (empty: a dataset or frame as a whole) and depth in steps.
+
+    Columns are followed by column lineage; a dataset is touched if it holds a column that is, or is made of a dataset that is."""
+    graph = settled(column_graph(lineage, frames), "columns")
+    reached = closure(graph, changed.select(F.struct("name", "column").alias("node")), max_depth)
+    return reached.select(F.col("seed.name").alias("seed_name"), F.col("seed.column").alias("seed_column"), "node.name", "node.column", "depth")
 
 
 def in_cycles(edges: DataFrame) -> DataFrame:
-    """Nodes that reach themselves. Ways are followed only among the edges that peeling leaves."""
-    core = _peeled(edges)
-    return closure(core, core.select(F.col("source").alias("node")).distinct()).where("seed = node").select("node").distinct()
+    """Nodes that reach themselves, and the component (named by its least node) in which all reach each other."""
+    return strong_components(edges)
 
 
 def degrees(edges: DataFrame) -> DataFrame:
@@ -92,3 +133,42 @@ def chain_metrics(reached: DataFrame, frames_view: DataFrame) -> DataFrame:
     ops = frames_view.select(F.col("output_variable").alias("node"), "input_rows", "output_rows", "overhead_ms", "df_size_mb")
     out = reached.select("seed", "node").join(ops, "node").groupBy("seed").agg(F.count("*").alias("n_operations"), F.sum("input_rows").alias("rows_in"), F.sum("output_rows").alias("rows_out"), F.sum("overhead_ms").alias("overhead_ms"), F.max("df_size_mb").alias("max_mb"))
     return out.withColumn("retention", F.when(F.col("rows_in") > 0, F.col("rows_out") / F.col("rows_in")))
+
+
+def operation_costs(frames_view: DataFrame, performance: DataFrame) -> DataFrame:
+    """Operations of W3 with what W2 knows of their executions: source, target, rows_in, rows_out, time_ms (the execution's and the operation's own) and memory_mb. Of several operations between two frames the slowest stands."""
+    runs = performance.groupBy("execution_id").agg(F.max("runtime_duration_ms").alias("ms"), F.max("memory_delta_mb").alias("memory_mb"))
+    ops = frames_view.where("input_variable is not null and output_variable is not null").join(runs, "execution_id", "left")
+    cost = F.struct((F.coalesce("ms", F.lit(0.0)) + F.coalesce("overhead_ms", F.lit(0.0))).alias("time_ms"), F.col("input_rows").alias("rows_in"), F.col("output_rows").alias("rows_out"), "memory_mb")
+    return ops.groupBy(F.col("input_variable").alias("source"), F.col("output_variable").alias("target")).agg(F.max(cost).alias("c")).select("source", "target", "c.*")
+
+
+def chain_costs(costs: DataFrame, seeds: DataFrame) -> DataFrame:
+    """The slowest way from each seed (node) to each node that it reaches: seed, node, length, rows_in (of its first operation), rows_out (of its last), retention (product of rows out by rows in; null where an input was empty), time_ms (sum) and memory_mb (greatest).
+
+    Programming by topological level: a node's ways are made when all nodes before it have theirs, so each pair is made once and no way is listed.
+    Ways don't go round cycles: edges inside a strongly connected component are left out. Rounds grow with the longest way."""
+    parts = settled(strong_components(costs.select("source", "target")), "components")
+    a, b = (parts.select(F.col("node").alias(c), F.col("component").alias(f"in_{c}")) for c in ("source", "target"))
+    edges = costs.join(a, "source", "left").join(b, "target", "left").where("in_source is null or in_target is null or in_source <> in_target").drop("in_source", "in_target")
+    edges = settled(edges.withColumn("kept", F.expr("CASE WHEN rows_in > 0 THEN rows_out / rows_in END")), "edges")
+    start = settled(seeds.select("node").distinct(), "seeds")
+    left, ways = edges.select("source", "target"), []
+    best = lambda: reduce(DataFrame.unionByName, ways).groupBy("seed", "node").agg(F.max("w").alias("w"))
+    while True:
+        # Nodes of this level: they have edges left, but none into them, so all their ways are made.
+        ready = settled(left.select(F.col("source").alias("node")).distinct().join(left.select(F.col("target").alias("node")), "node", "left_anti"), "level")
+        if not ready.limit(1).count():
+            break
+        out = edges.join(ready, edges["source"] == ready["node"]).drop("node")
+        fresh = out.join(start, out["source"] == start["node"]).select(F.col("source").alias("seed"), "target", F.struct("time_ms", F.lit(1).alias("length"), F.col("kept").alias("retention"), "rows_in", "rows_out", "memory_mb").alias("w"))
+        if ways:
+            longer = best().join(ready, "node").join(out.select("source", "target", F.struct("time_ms", "kept", "rows_out", "memory_mb").alias("e")), F.col("node") == F.col("source"))
+            grown = F.struct((F.col("w.time_ms") + F.col("e.time_ms")).alias("time_ms"), (F.col("w.length") + 1).alias("length"), (F.col("w.retention") * F.col("e.kept")).alias("retention"), F.col("w.rows_in").alias("rows_in"), F.col("e.rows_out").alias("rows_out"), F.greatest("w.memory_mb", "e.memory_mb").alias("memory_mb"))
+            fresh = fresh.unionByName(longer.select("seed", "target", grown.alias("w")))
+        ways.append(settled(fresh.groupBy("seed", F.col("target").alias("node")).agg(F.max("w").alias("w")), "ways"))
+        left = settled(left.join(ready.select(F.col("node").alias("source")), "source", "left_anti").select("source", "target"), "left")
+    if not ways:  # no edge
+        none = F.struct(*(F.lit(None).cast(t).alias(c) for c, t in (("time_ms", "double"), ("length", "int"), ("retention", "double"), ("rows_in", "long"), ("rows_out", "long"), ("memory_mb", "double"))))
+        ways.append(start.select(F.col("node").alias("seed"), "node", none.alias("w")).limit(0))
+    return best().select("seed", "node", "w.length", "w.rows_in", "w.rows_out", "w.retention", "w.time_ms", "w.memory_mb")

@@ -394,19 +394,19 @@ _TURNS = "tu AS (SELECT DISTINCT conv_id || ':' || turn AS source, conv_id || ':
 
 @query(f"WITH RECURSIVE {_TURNS}, up AS (SELECT target AS seed, source AS node, 1 AS depth FROM tu UNION SELECT up.seed, tu.source, up.depth + 1 FROM up JOIN tu ON up.node = tu.target) SELECT seed, node, CAST(min(depth) AS INTEGER) AS depth FROM up GROUP BY seed, node")
 def upstream_closure(spark, sf_dir):
-    e = _turns(spark, sf_dir)
+    e = settled(_turns(spark, sf_dir).distinct(), "turns")
     return graph.upstream(e, e.select(F.col("target").alias("node")))
 
 
 @query(f"WITH RECURSIVE {_TURNS}, dn AS (SELECT source AS seed, target AS node, 1 AS depth FROM tu WHERE source LIKE '%:0' UNION SELECT dn.seed, tu.target, dn.depth + 1 FROM dn JOIN tu ON dn.node = tu.source) SELECT seed, count(DISTINCT node) AS n_nodes, CAST(max(depth) AS INTEGER) AS max_depth FROM dn GROUP BY seed")
 def impact_analysis(spark, sf_dir):
-    e = _turns(spark, sf_dir)
+    e = settled(_turns(spark, sf_dir).distinct(), "turns")
     return graph.impact(e, e.where("source LIKE '%:0'").select(F.col("source").alias("node")))
 
 
-@query("SELECT 'n' || n_nationkey AS node FROM nation")
+@query("SELECT 'n' || n_nationkey AS node, min('n' || n_nationkey) OVER (PARTITION BY n_regionkey) AS component FROM nation")
 def cycles(spark, sf_dir):
-    """Nations in a ring inside their region, reached from customers, which lie on no cycle."""
+    """Nations joined to all of their region, reached from customers, which lie on no cycle; a component for each region."""
     n = load(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
     a, b = n.alias("a"), n.alias("b")
     ring = a.join(b, "n_regionkey").selectExpr("concat('n', a.n_nationkey) AS source", "concat('n', b.n_nationkey) AS target")

@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from . import capture_queries, ingest_queries, queries  # noqa: F401 (each registers its own)
+from . import capture_queries, graph_queries, ingest_queries, queries  # noqa: F401 (each registers its own)
 
 QUERIES, SQL = queries.QUERIES, queries.SQL

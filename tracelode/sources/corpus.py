@@ -85,4 +85,36 @@ def frame_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select(F.col("c_custkey").alias("key"), F.to_json(body, _SILENT).alias("value"))
 
 
+def chained_frame_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames made of frames: that of customer c is read into that of c div 3 and, for an even c, also into that of c div 5 (which takes its ids, too)."""
+    c = spread(load(spark, sf_dir, "customer")).where("c_custkey > 0").withColumn("step", F.explode(F.expr("IF(c_custkey % 2 = 0, array(3, 5), array(3))"))).withColumn("to", F.expr("c_custkey div step"))
+    frame = lambda name, rows: f"named_struct('variable_name', {name}, 'shape', array({rows}, 2), 'columns', array('id', 'value'))"
+    source, target = "concat('f', c_custkey)", "concat('f', to)"
+    body = F.struct(
+        F.lit("dataframe_lineage").alias("event_type"), F.expr(hex8("c_custkey % 4096")).alias("execution_id"), F.lit("cell_1").alias("cell_id"), F.expr(hex8("c_nationkey")).alias("session_id"), F.lit("2024-01-01T00:00:00Z").alias("timestamp"), F.lit("2024-01-01T00:00:00Z").alias("emitted_at"),
+        F.lit("selection").alias("operation_type"), F.lit("__getitem__").alias("operation_method"), F.lit("df[...]").alias("operation_code"), F.expr("named_struct('columns', array('id', 'value'))").alias("operation_parameters"),
+        F.expr(f"array({frame(source, '100 + c_custkey % 400')})").alias("input_dataframes"), F.expr(f"array({frame(target, '(100 + c_custkey % 400) div (step - 1)')})").alias("output_dataframes"),
+        F.expr(f"named_struct('column_mapping', map(concat({target}, '.value'), IF(step = 5, array(concat({source}, '.value'), concat({source}, '.id')), array(concat({source}, '.value')))), 'input_columns', array('id', 'value'), 'output_columns', array('id', 'value'), 'operation_method', '__getitem__', 'lineage_type', 'selection')").alias("column_lineage"),
+        F.expr("named_struct('overhead_ms', (c_custkey % 40) / 8.0D, 'df_size_mb', 1.0D, 'sampled', false)").alias("performance"),
+    )
+    return c.select(F.expr("c_custkey * 10 + step").alias("key"), F.to_json(body, _SILENT).alias("value"))
+
+
+def chained_run_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Datasets made of datasets: that of part p goes into that of p div 2; every tenth is made of the frame of customer p div 10, too."""
+    p = spread(load(spark, sf_dir, "part")).where("p_partkey > 0").withColumn("m", F.expr("md5(cast(p_partkey as string))"))
+    uuid = "concat_ws('-', substring(m, 1, 8), substring(m, 9, 4), substring(m, 13, 4), substring(m, 17, 4), substring(m, 21, 12))"
+    own, frame, into = "concat('s', p_partkey)", "concat('f', p_partkey div 10)", "concat('s', p_partkey div 2)"
+    dataset = lambda name: f"named_struct('namespace', 'db', 'name', {name})"
+    field = lambda name, column: f"named_struct('namespace', 'db', 'name', {name}, 'field', '{column}')"
+    fields = f"map('total', named_struct('inputFields', IF(p_partkey % 10 = 0, array({field(own, 'total')}, {field(frame, 'value')}), array({field(own, 'total')}))), 'key', named_struct('inputFields', array({field(own, 'key')})))"
+    body = F.struct(
+        F.lit("COMPLETE").alias("eventType"), F.lit("2024-01-01T00:00:00Z").alias("eventTime"), F.expr(f"named_struct('runId', {uuid})").alias("run"), F.expr("named_struct('namespace', 'n', 'name', 'chain')").alias("job"),
+        F.expr(f"IF(p_partkey % 10 = 0, array({dataset(own)}, {dataset(frame)}), array({dataset(own)}))").alias("inputs"),
+        F.expr(f"array(named_struct('namespace', 'db', 'name', {into}, 'facets', named_struct('columnLineage', named_struct('_producer', '{PRODUCER}', '_schemaURL', 'u', 'fields', {fields}))))").alias("outputs"),
+        F.lit(PRODUCER).alias("producer"), F.lit("u").alias("schemaURL"), F.lit("s").alias("session_id"), F.lit("2024-01-01T00:00:00Z").alias("emitted_at"),
+    )
+    return p.select(F.col("p_partkey").alias("key"), F.to_json(body, _SILENT).alias("value"))
+
+
 LINES = {"runtime": runtime_lines, "lineage": lineage_lines, "dataframe_lineage": frame_lines}
