@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.scratch import settled
 from .scalars import null_if_empty, parse_time
 
 UUID = "^[0-9a-fA-F]{8}-?([0-9a-fA-F]{4}-?){3}[0-9a-fA-F]{12}$"
@@ -72,11 +73,12 @@ def frame_rows(events: DataFrame) -> DataFrame:
 
 
 def unique(rows: DataFrame, key: str, order: str) -> tuple[DataFrame, DataFrame]:
-    """(rows whose key comes first by `order`, the others): the unique key of a table. `order` tells rows of a key apart; a null key is no key and stays.
+    """(rows whose key comes first by `order`, the others): the unique key of a table. A null key is no key and stays. Exactly one row of each key is kept: of rows alike in `order` one by what else it holds, and of rows alike in everything any.
 
-    The first of each key is found by an aggregation, which is partial before its shuffle; no key's rows are brought together to be sorted."""
-    first = rows.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("_k")).agg(F.min(order).alias("_first"))
-    marked = rows.join(first, F.col(key) == F.col("_k"), "left").withColumn("_keep", F.coalesce(F.col(order) == F.col("_first"), F.lit(True)))
+    The first of each key is found by an aggregation, which is partial before its shuffle; no key's rows are brought together to be sorted. Rows are written once with a number each, so that a task that runs again numbers nothing anew."""
+    told = settled(rows.withColumn("_rank", F.struct(F.col(order).alias("o"), F.xxhash64(F.to_json(F.struct(*rows.columns))).alias("h"), F.monotonically_increasing_id().alias("n"))), "unique")
+    first = told.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("_k")).agg(F.min("_rank")["n"].alias("_first"))
+    marked = told.join(first, F.col(key) == F.col("_k"), "left").withColumn("_keep", F.coalesce(F.col("_rank")["n"] == F.col("_first"), F.lit(True)))
     return marked.where("_keep").select(rows.columns), marked.where("NOT _keep").select(rows.columns)
 
 

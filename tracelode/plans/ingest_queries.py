@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 from dataclasses import replace
 
@@ -13,9 +14,9 @@ from ..functions.rules import RUNTIME, Rule, number, text
 from ..operators import profile
 from ..sources import catalogue, jsonl
 from ..sources.corpus import LINES, hex8, iso, load, spread
-from ..streaming.ingest import open_executions, process_now
+from ..streaming.ingest import Counters, committed, compact, open_executions, process_now, quarantined, start_ingest, statistics
 from .queries import _DEFECT, FR, LI, RT, frames, lineage, query, r6, runtime, us
-from .scratch import shared_dir
+from .scratch import settled, shared_dir
 
 #: Changes made to lines of DataFrame operations, by c_custkey % 8: (text, its replacement, the path and the rule that then break).
 FRAME_CHANGES = (
@@ -139,7 +140,7 @@ def reprocessed_files(spark, sf_dir):
     first = f"{root}/runtime/{jsonl.hash_of(spark, '/nb/0.py')}_*.jsonl"
     for files in ([first], [f"{root}/runtime/*.jsonl"]):
         process_now(spark, "runtime", files, f"{root}/table", f"{root}/bad")
-    return spark.read.parquet(f"{root}/table").groupBy("event_type").agg(F.count("*").alias("n"), F.countDistinct("row_id").alias("n_rows"))
+    return committed(spark, "runtime", f"{root}/table").groupBy("event_type").agg(F.count("*").alias("n"), F.countDistinct("row_id").alias("n_rows"))
 
 
 @query(f"WITH {RT} SELECT 'kept' AS part, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS keys, CAST(sum(us % 1000003) AS BIGINT) AS times FROM rt UNION ALL SELECT 'repeated', count(*), CAST(sum(event_id) AS BIGINT), CAST(sum((us + 1) % 1000003) AS BIGINT) FROM rt WHERE event_id % 5 = 0 OR event_id % 7 = 0")
@@ -177,3 +178,68 @@ def open_execution_stream(spark, sf_dir):
     stream = spark.readStream.schema(rows.schema).parquet(f"{root}/in")
     open_executions(stream).writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{root}/check").option("path", f"{root}/out").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(f"{root}/out").where("state = 'closed'").select("execution_id", us("started").alias("started_us"), us("ended").alias("ended_us"))
+
+
+def _three_states(us):
+    """SQL for closed, open and unmatched executions, by what comes first of each side."""
+    return f"SELECT coalesce(s.execution_id, e.execution_id) AS execution_id, CASE WHEN e.execution_id IS NULL THEN 'open' WHEN s.execution_id IS NULL THEN 'unmatched' ELSE 'closed' END AS state, s.us AS started_us, e.us AS ended_us FROM (SELECT execution_id, {us} AS us FROM rt WHERE event_type = 'cell_execution_start') s FULL JOIN (SELECT execution_id, {us} AS us FROM rt WHERE event_type <> 'cell_execution_start') e ON s.execution_id = e.execution_id"
+
+
+@query(f"WITH {RT} {_three_states('us')}")
+def execution_states_stream(spark, sf_dir):
+    """All executions as a stream over several batches: closed, still open and ended without a start. A beat two days after the last event moves the watermark past them all."""
+    root = f"{shared_dir(spark)}/states-{uuid.uuid4().hex}"
+    rows = runtime(spark, sf_dir).select("execution_id", "event_type", F.col("timestamp").alias("emitted_at"))
+    first, last = rows.agg(F.min("emitted_at"), F.max("emitted_at")).first()
+    beat = rows.agg((F.max("emitted_at") + F.expr("INTERVAL 2 DAYS")).alias("emitted_at")).select(F.lit("beat").alias("execution_id"), F.lit("cell_execution_start").alias("event_type"), "emitted_at")
+    quarter = lambda k: F.lit(first) + (F.lit(last) - F.lit(first)) * (k / 4)
+    parts = [rows.where((F.col("emitted_at") >= quarter(k)) & ((F.col("emitted_at") < quarter(k + 1)) | F.lit(k == 3))) for k in range(4)]
+    for part in (*parts, beat):  # files come in the order of their events
+        part.write.mode("append").parquet(f"{root}/in")
+        stream = spark.readStream.schema(rows.schema).parquet(f"{root}/in")
+        open_executions(stream).writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{root}/check").option("path", f"{root}/out").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{root}/out").select("execution_id", "state", us("started").alias("started_us"), us("ended").alias("ended_us"))
+
+
+@query(f"WITH {RT}, n AS (SELECT count(*) AS n_lines, count(*) FILTER (({_DEFECT}) = 0) AS processed FROM events) SELECT 'table' AS part, n_lines, processed, n_lines - processed AS failed, (SELECT count(*) FROM rt) AS n_rows FROM n UNION ALL SELECT 'after', n_lines, processed, n_lines - processed, (SELECT count(*) FROM rt) FROM n")
+def committed_ingest(spark, sf_dir):
+    """A stream and a second look at the same files, both at once, then one more look and all commits made one: each line has one row or one place in the quarantine, and one count."""
+    root = f"{shared_dir(spark)}/commits-{uuid.uuid4().hex}"
+    lines = LINES["runtime"](spark, sf_dir)
+    for n in (0, 1):
+        jsonl.land(lines.where(f"key % 2 = {n}"), root, "runtime", f"/nb/{n}.py")
+    table, bad, files = f"{root}/table", f"{root}/bad", [f"{root}/runtime/*.jsonl"]
+
+    def counts(part):
+        seen = statistics(spark, table, bad).agg(*(F.sum(c).alias(c) for c in ("n_lines", "processed")))
+        failed = quarantined(spark, table, bad).agg(F.count("*").alias("failed"))
+        rows = committed(spark, "runtime", table).agg(F.count_distinct("row_id").alias("ids"), F.count("*").alias("n_rows")).where("ids = n_rows").drop("ids")
+        return settled(seen.join(F.broadcast(failed)).join(F.broadcast(rows)).select(F.lit(part).alias("part"), "*"), "counts")  # a row each
+
+    stream = start_ingest(spark, "runtime", root, table, bad, f"{root}/check", files_a_batch=3)
+    process_now(spark, "runtime", files, table, bad)
+    stream.awaitTermination()
+    first = counts("table")
+    process_now(spark, "runtime", files, table, bad)
+    compact(spark, "runtime", table, bad)
+    return first.unionByName(counts("after"))
+
+
+@query(f"SELECT 'runtime' AS kind, 7 AS files, count(*) AS n_lines, count(*) FILTER (({_DEFECT}) = 0) AS processed, count(*) FILTER (({_DEFECT}) <> 0) AS failed FROM events UNION ALL SELECT 'lineage', 5, count(*), count(*) FILTER (o_orderkey % 61 <> 0), count(*) FILTER (o_orderkey % 61 = 0) FROM orders")
+def live_counters(spark, sf_dir):
+    """What a listener has counted of two streams of several batches when they end."""
+    root, counters = f"{shared_dir(spark)}/live-{uuid.uuid4().hex}", Counters()
+    spark.streams.addListener(counters)
+    try:
+        for kind, n in (("runtime", 7), ("lineage", 5)):
+            LINES[kind](spark, sf_dir).select("value").repartition(n).write.text(f"{root}/in/{kind}")
+            start_ingest(spark, kind, f"{root}/in", f"{root}/{kind}", f"{root}/bad-{kind}", f"{root}/check-{kind}", glob="*.txt", files_a_batch=2).awaitTermination()
+        want = {k: spark.read.text(f"{root}/in/{k}").count() for k in ("runtime", "lineage")}
+        for _ in range(100):  # events reach a listener a moment after their batch
+            told = counters.table(spark)
+            if {r["kind"]: r["n_lines"] for r in told.collect()} == want:
+                break
+            time.sleep(0.1)
+    finally:
+        spark.streams.removeListener(counters)
+    return told.select("kind", "files", "n_lines", "processed", "failed")

@@ -14,7 +14,7 @@ from ..operators import executions, graph, guard, profile, tracked, views
 from ..operators.views import names_of
 from ..sources import catalogue, jsonl
 from ..sources.corpus import LINES, load
-from ..streaming.ingest import start_ingest, statistics
+from ..streaming.ingest import committed, start_ingest, statistics
 from .scratch import settled, shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -512,7 +512,7 @@ def ingest_statistics(spark, sf_dir):
     for kind in LINES:
         LINES[kind](spark, sf_dir).select("value").write.text(f"{root}/in/{kind}")
         start_ingest(spark, kind, f"{root}/in", f"{root}/{kind}", f"{root}/bad-{kind}", f"{root}/check-{kind}", glob="*").awaitTermination()
-        part = statistics(spark, f"{root}/bad-{kind}")
+        part = statistics(spark, f"{root}/{kind}", f"{root}/bad-{kind}")
         out = part if out is None else out.unionByName(part)
     return out.agg(*(F.sum(c).alias(c) for c in ("n_lines", "processed", "failed")))
 
@@ -525,7 +525,7 @@ def streamed_ingest(spark, sf_dir):
     # Text writers name their files part-*.txt; the stream takes them by directory.
     for _ in range(2):
         start_ingest(spark, "runtime", f"{root}/in", f"{root}/table", f"{root}/quarantine", f"{root}/checkpoint", glob="*").awaitTermination()
-    return spark.read.parquet(f"{root}/table").groupBy("session_id").agg(F.count("*").alias("n"), F.max("duration_ms").alias("max_duration"))
+    return committed(spark, "runtime", f"{root}/table").groupBy("session_id").agg(F.count("*").alias("n"), F.max("duration_ms").alias("max_duration"))
 
 
 assert set(ROWS) == set(LINES)

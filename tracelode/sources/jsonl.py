@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.normalize import ROWS, constraint
 from ..functions.rules import VIOLATIONS, plainly_valid, settle, typed, violations
 from ..functions.scalars import identity, notebook_hash
 
+#: Equal lines of one file that one task numbers.
+BLOCK = 10_000
 #: Directory of each kind of event.
 DIRECTORIES = {"runtime": "runtime", "lineage": "lineage", "dataframe_lineage": "dataframe_lineage"}
 
@@ -50,13 +52,20 @@ def land(lines: DataFrame, root: str, directory: str, notebook: str) -> None:
     files = path(staged).getFileSystem(spark._jsc.hadoopConfiguration())
     files.mkdirs(path(f"{root}/{directory}"))
     for k, part in enumerate(sorted(str(f.getPath()) for f in files.globStatus(path(f"{staged}/part-*")))):
-        files.rename(path(part), path(f"{root}/{directory}/{name}-{k}.jsonl"))
+        if not files.rename(path(part), path(f"{root}/{directory}/{name}-{k}.jsonl")):
+            raise OSError(f"{part} can't be put in place; it stays in {staged}")
+    files.delete(path(staged), True)
 
 
 def identified(lines: DataFrame) -> DataFrame:
-    """Adds row_id, the same in every scan of the same files."""
-    occurrence = F.row_number().over(Window.partitionBy("path", "value").orderBy(F.lit(0)))
-    return lines.withColumn("occurrence", occurrence).withColumn("row_id", identity(F.col("path"), F.col("value"), F.col("occurrence"))).drop("occurrence")
+    """Adds row_id, the same in every scan of the same files. Other columns must follow from path and value.
+
+    Equal lines of a file are alike, so they are counted, with partial sums, and numbered anew; a line that stands there very often is numbered in blocks, by many tasks."""
+    count = lines.groupBy("path", "value").agg(F.count("*").alias("n"), *(F.first(c).alias(c) for c in lines.columns if c not in ("path", "value")))
+    few = count.where(F.col("n") <= BLOCK).withColumn("occurrence", F.explode(F.sequence(F.lit(1).cast("long"), "n")))
+    many = count.where(F.col("n") > BLOCK).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n - 1) div {BLOCK}")))).repartition("path", "value", "block")
+    many = many.withColumn("occurrence", F.explode(F.sequence(F.col("block") * BLOCK + 1, F.least("n", (F.col("block") + 1) * BLOCK)))).drop("block")
+    return few.unionByName(many).select(*lines.columns, identity(F.col("path"), F.col("value"), F.col("occurrence")).alias("row_id"))
 
 
 def checked(lines: DataFrame, kind: str, value: str = "value", strict: bool = True, deep: bool = True) -> DataFrame:
