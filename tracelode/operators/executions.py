@@ -52,6 +52,17 @@ def session_overview(runtime: DataFrame) -> DataFrame:
     )
 
 
+def session_summary(runtime: DataFrame, frames: DataFrame) -> DataFrame:
+    """Every session of either table: session_id, n_executions, n_failed, n_operations and n_frames (distinct frames that its operations read or made)."""
+    ran = runtime.groupBy("session_id").agg(F.countDistinct("execution_id").alias("n_executions"), F.count_if(F.col("event_type") == "cell_execution_error").alias("n_failed"))
+    named = "array<struct<variable_name:string>>"
+    both = F.concat(*(F.coalesce(F.from_json(c, named)["variable_name"], F.array().cast("array<string>")) for c in ("input_dataframes", "output_dataframes")))
+    ops = frames.groupBy("session_id").agg(F.count("*").alias("n_operations"))
+    held = frames.select("session_id", F.explode(both).alias("frame")).groupBy("session_id").agg(F.countDistinct("frame").alias("n_frames"))
+    joined = ran.join(ops, "session_id", "full_outer").join(held, "session_id", "full_outer")
+    return joined.select("session_id", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_executions", "n_failed", "n_operations", "n_frames")))
+
+
 def error_summary(runtime: DataFrame) -> DataFrame:
     kind = F.get_json_object("error_info", "$.error_type").alias("error_type")
     return runtime.where("error_info is not null").groupBy(kind).agg(F.count("*").alias("n"), F.countDistinct("session_id").alias("n_sessions"))

@@ -87,6 +87,17 @@ def closure(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None) ->
     return reduce(DataFrame.unionByName, found).groupBy("seed", "node").agg(F.min("depth").alias("depth"))
 
 
+def closure_sql(edges: DataFrame, seeds: DataFrame, max_depth: int = 50) -> DataFrame:
+    """closure by one recursive SQL statement, for shallow graphs: ways of up to max_depth edges are listed, cycles gone round until then. Nothing is written between rounds, but a node that many ways lead to comes once for each depth at which it is met."""
+    spark = edges.sparkSession
+    sql = """WITH RECURSIVE r(seed, node, depth) MAX RECURSION LEVEL {levels} AS (
+ SELECT DISTINCT s.node, e.target, 1 FROM {seeds} s JOIN {edges} e ON s.node = e.source
+ UNION ALL SELECT r.seed, e.target, r.depth + 1 FROM r JOIN {edges} e ON r.node = e.source WHERE r.depth < {most})
+ SELECT seed, node, min(depth) AS depth FROM r GROUP BY seed, node LIMIT ALL"""
+    own = edges.select("source", "target").where("source is not null and target is not null").distinct()
+    return spark.sql(sql, levels=max_depth + 1, most=max_depth, seeds=seeds.select("node").distinct(), edges=own)
+
+
 def upstream(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None) -> DataFrame:
     return closure(edges.select(F.col("target").alias("source"), F.col("source").alias("target")), seeds, max_depth)
 

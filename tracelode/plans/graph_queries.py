@@ -64,3 +64,10 @@ def chain_costs(spark, sf_dir):
     costs = settled(graph.operation_costs(views.dataframe_lineage(_frames(spark, sf_dir)), perf(spark, sf_dir)), "costs")
     found = graph.chain_costs(costs, graph.degrees(costs.select("source", "target")).where("role = 'root'"))
     return found.withColumns({c: r6(F.col(c)) for c in ("retention", "time_ms")})
+
+
+@query(f"WITH RECURSIVE {OP}, {RN}, {WHOLE}, re AS (SELECT source AS seed, target AS node, 1 AS depth FROM wh WHERE source NOT IN (SELECT target FROM wh) UNION SELECT re.seed, wh.target, re.depth + 1 FROM re JOIN wh ON re.node = wh.source WHERE wh.source <> wh.target) SELECT seed, node, CAST(min(depth) AS INTEGER) AS depth FROM re GROUP BY seed, node HAVING min(depth) <= 6")
+def recursive_reach(spark, sf_dir):
+    """The same reach up to six steps by one recursive statement."""
+    edges = settled(graph.dataset_edges(_runs(spark, sf_dir)).select("source", "target").unionByName(graph.frame_edges(_frames(spark, sf_dir))).distinct(), "edges")
+    return graph.closure_sql(edges, graph.degrees(edges).where("role = 'root'"), 6)
