@@ -2,9 +2,11 @@ r"""Chat formatting in budgeted windows.
 
 Prefix sums of turn tokens cut a conversation into spans of whole turns: a turn belongs to the span in which its last
 token falls, and where a span's first turn sticks out so far that the span would exceed its share of the budget, that
-turn is a span of its own. Each window is then: the conversation's first system turn (unless the span holds it), the
-last few turns before the span within the history budget, and the span. Repeated turns carry no loss, so each assistant
-text is a target exactly once.
+turn is a span of its own. Each window is then: the conversation's first system turn (unless the span holds it, or the
+budget that the span leaves doesn't: system_left_out), the last few turns before the span within the history budget and
+within what span and system turn leave, and the span. So a window is over budget only if its one new turn alone is.
+Tokens are those of turns, each encoded for itself, and of `<s>` and `</s>`. Repeated turns carry no loss, so each assistant
+text is a target exactly once. System turns after the first are never repeated.
 
 Template: `<s>`, then for each turn `<|turn|>role<|text|>text<|end|>`, then `</s>`. Control strings inside roles and
 texts (those of this template and the bracketed ones of others) get one backslash more after their first character; taking
@@ -88,13 +90,14 @@ def _turns(conversations: DataFrame, tokenizer: str) -> DataFrame:
 
 
 def windows(conversations: DataFrame, tokenizer: str, budget: int = 2048, history_budget: int = 512, history_turns: int = 4) -> DataFrame:
-    """conv_id, window (from 0, ascending with the turns), formatted, loss_spans, n_tokens, n_repeated (turns at the head that earlier windows hold), n_turns, over_budget."""
+    """conv_id, window (from 0, ascending with the turns), formatted, loss_spans, n_tokens, n_repeated (turns at the head that earlier windows hold), n_turns, over_budget, system_left_out."""
+    frame = int(chunked(tokenizer).encode(["<s>", "</s>"])[1].sum())
     turns = _turns(conversations, tokenizer)
     rows = turns.select("conv_id", "pos", "to", "tokens", (F.col("role") == "system").alias("is_system"))
 
     # One row for each conversation: its first system turn, and what that leaves for spans.
     heads = rows.groupBy("conv_id").agg(F.min(F.when(F.col("is_system"), F.struct("pos", "tokens"))).alias("system"))
-    share = F.greatest(F.lit(budget - history_budget) - F.coalesce(F.col("system.tokens"), F.lit(0)), F.lit(budget // 4))
+    share = F.greatest(F.lit(budget - frame - history_budget) - F.coalesce(F.col("system.tokens"), F.lit(0)), F.lit(budget // 4))
     heads = materialise(heads.select(F.col("conv_id").alias("c"), "system", share.cast("long").alias("share")), "heads")
     rows = rows.join(heads.select("c", "share"), F.col("conv_id").eqNullSafe(F.col("c"))).drop("c")
 
@@ -104,12 +107,16 @@ def windows(conversations: DataFrame, tokenizer: str, budget: int = 2048, histor
     rows = materialise(rows.withColumn("span", F.col("span") * 2 + F.when(sticks, 0).otherwise(1)).drop("share"), "spans")
 
     # Turns that a later span repeats: by the places just before its first turn. From here on rows are places; texts join them last.
-    spans = rows.groupBy("conv_id", "span").agg(F.min("pos").alias("p0"), F.min(F.col("to") - F.col("tokens")).alias("from"))
-    spans = materialise(spans.select(F.col("conv_id").alias("c"), F.col("span").alias("s"), "p0", "from"), "starts")
-    wanted = spans.where("p0 > 0").select("c", "s", "from", F.explode(F.sequence(F.greatest(F.col("p0") - history_turns, F.lit(0)), F.col("p0") - 1)).alias("p"))
+    spans = rows.groupBy("conv_id", "span").agg(F.min("pos").alias("p0"), F.min(F.col("to") - F.col("tokens")).alias("from"), F.sum("tokens").alias("size"))
+    spans = spans.join(heads.select(F.col("c").alias("k"), "system"), F.col("conv_id").eqNullSafe(F.col("k")))
+    led = F.coalesce(F.col("system.pos") < F.col("p0"), F.lit(False))
+    room = F.lit(budget - frame) - F.col("size")
+    spans = spans.select(F.col("conv_id").alias("c"), F.col("span").alias("s"), "p0", "from", "system", led.alias("led"), room.alias("room")).withColumn("fits", F.col("led") & (F.col("system.tokens") <= F.col("room")))
+    spans = materialise(spans.withColumn("history", F.least(F.lit(history_budget), F.col("room") - F.when(F.col("fits"), F.col("system.tokens")).otherwise(0))), "starts")
+    wanted = spans.where("p0 > 0 and history > 0").select("c", "s", "from", "history", F.explode(F.sequence(F.greatest(F.col("p0") - history_turns, F.lit(0)), F.col("p0") - 1)).alias("p"))
     past = rows.join(wanted, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("pos") == F.col("p")))
-    past = past.where((F.col("from") - F.col("to") + F.col("tokens") <= history_budget) & ~F.col("is_system"))
-    lead = spans.join(heads.select(F.col("c").alias("k"), "system").where("system is not null"), F.col("c").eqNullSafe(F.col("k"))).where(F.col("system.pos") < F.col("p0"))
+    past = past.where((F.col("from") - F.col("to") + F.col("tokens") <= F.col("history")) & ~F.col("is_system"))
+    lead = spans.where("fits")
     placed = rows.select("conv_id", "span", "pos", F.col("pos").alias("order"), F.lit(0).alias("again"))
     placed = placed.unionByName(past.select("conv_id", F.col("s").alias("span"), "pos", F.col("pos").alias("order"), F.lit(1).alias("again")))
     placed = placed.unionByName(lead.select(F.col("c").alias("conv_id"), F.col("s").alias("span"), F.col("system.pos").alias("pos"), F.lit(-1).cast("long").alias("order"), F.lit(1).alias("again")))
@@ -123,8 +130,10 @@ def windows(conversations: DataFrame, tokenizer: str, budget: int = 2048, histor
     turns = F.array_sort(F.collect_list(F.struct("pos", "whole")))
     out = every.groupBy("conv_id", "span").agg(
         F.concat(F.lit("<s>"), F.array_join(F.transform(turns, lambda t: t["whole"]), ""), F.lit("</s>")).alias("formatted"),
-        F.array_sort(F.collect_list(target)).alias("loss_spans"), F.sum("tokens").alias("n_tokens"), F.sum("again").alias("n_repeated"), F.count("*").alias("n_turns"),
+        F.array_sort(F.collect_list(target)).alias("loss_spans"), (F.sum("tokens") + frame).alias("n_tokens"), F.sum("again").alias("n_repeated"), F.count("*").alias("n_turns"),
     )
+    bare = spans.where("led and not fits").select("c", "s", F.lit(True).alias("left"))
+    out = out.join(bare, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("span") == F.col("s")), "left").withColumn("system_left_out", F.coalesce("left", F.lit(False))).drop("c", "s", "left")
     return out.withColumn("over_budget", F.col("n_tokens") > budget).withColumnRenamed("span", "window")
 
 
