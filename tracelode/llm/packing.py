@@ -1,9 +1,11 @@
 """Packing documents into sequences of a fixed number of tokens by length patterns.
 
-The histogram of piece lengths is fitted by non-negative least squares: candidate patterns are the lengths of two or
-three pieces that fill a sequence, and their repeat counts are the unknowns. Counts are rounded down, and the pieces
-left over are packed by best fit, longest first, again on the histogram, so that the plan's size depends on the
-sequence length alone, not on the number of documents. Each piece then finds its place by its rank among those of its length.
+The histogram of piece lengths is fitted by non-negative least squares: candidate patterns are the lengths of at most
+MOST pieces that fill a sequence, and their repeat counts are the unknowns. Counts are rounded, the greatest first, as far
+as there are pieces; what is left is fitted anew by patterns of its own lengths, and with growing slack, until a round
+places little. Patterns place nearly all pieces; the last ones are packed by best fit, longest first, again on the
+histogram, so that the plan's size depends on the sequence length alone, not on the number of documents. Each piece then
+finds its place by its rank among those of its length.
 
 Cases: a null text counts as empty (the end id alone); equal ids and repeated rows are packed each for itself; an
 empty table gives an empty result; columns other than doc_id and text aren't read.
@@ -24,6 +26,8 @@ from .textnum import slices
 from .tokens import chunked, crc_of
 
 BATCH_CHARS, SALTS = 4_000_000, 4096
+#: Pieces of a pattern at most, and the share of a sequence that a pattern may leave empty in the last rounds.
+MOST, MOST_SLACK = 8, 1 / 64
 PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("ids", pa.binary()), ("salt", pa.int32())])
 
 
@@ -49,33 +53,67 @@ def cut_pieces(docs: DataFrame, tokenizer: str, end_id: int, budget: int, keep_i
     return documents(docs).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary, salt int")
 
 
-def candidate_patterns(counts: np.ndarray, budget: int, choices: int = 8) -> np.ndarray:
-    """Rows (a, b, c), a >= b >= c, c perhaps 0, of lengths that occur and sum to budget: for each a, the pair, and triples with up to `choices` evenly spread b."""
-    found = []
-    for a in np.flatnonzero(counts[:budget]):
-        if a and a * 2 >= budget and counts[budget - a]:
-            found.append((a, budget - a, 0))
-        b = np.arange((budget - a + 1) // 2, min(a, budget - a - 1) + 1)
-        b = b[(counts[b] > 0) & (counts[budget - a - b] > 0)] if len(b) else b
-        for x in b[np.unique(np.linspace(0, len(b) - 1, choices).astype(int))] if len(b) else ():
-            found.append((a, x, budget - a - x))
-    return np.array(found, np.int64).reshape(-1, 3)
+def candidate_patterns(counts: np.ndarray, budget: int, slack: int, rng: np.random.Generator, draws: int = 30_000) -> np.ndarray:
+    """Rows of at most MOST lengths that occur, falling, then zeros, that fill budget up to slack.
+
+    The first length is drawn by the tokens, further ones by the pieces that fit, and as soon as a length that occurs closes the sequence it is taken."""
+    below = np.where(counts > 0, np.arange(budget + 1), 0)
+    below[0] = 0
+    below = np.maximum.accumulate(below)  # the greatest that occurs up to each
+    if not below[-1]:
+        return np.zeros((0, MOST), np.int64)
+    pieces, tokens = np.cumsum(counts), np.cumsum(counts * np.arange(budget + 1))
+    rows = np.zeros((draws, MOST), np.int64)
+    rows[:, 0] = np.searchsorted(tokens, rng.random(draws) * tokens[-1], "right")
+    room = budget - rows[:, 0]
+    full = room <= slack
+    for k in range(1, MOST):
+        last = below[room]
+        close = ~full & (last > 0) & (room - last <= slack)
+        rows[close, k] = last[close]
+        if k < MOST - 1:
+            more = ~full & ~close & (last > 0)
+            rows[more, k] = np.searchsorted(pieces, rng.random(more.sum()) * pieces[room[more]], "right")
+        room, full = room - rows[:, k], full | close
+    return np.unique(-np.sort(-rows[full], 1), axis=0)
 
 
 def fit_repeats(patterns: np.ndarray, counts: np.ndarray, rounds: int = 80) -> np.ndarray:
-    """Repeat counts x >= 0 that fit the histogram in least squares (multiplicative updates keep them non-negative), then brought under the histogram and rounded down."""
-    if not len(patterns):
-        return np.zeros(0, np.int64)
-    n, h = len(counts), counts.astype(float).copy()
-    h[0] = 0
-    cover = lambda x: np.bincount(patterns.ravel(), np.repeat(x, 3), n) * (np.arange(n) > 0)
-    x, goal = np.ones(len(patterns)), h[patterns].sum(1)
+    """Repeat counts x >= 0 that fit the histogram in least squares: multiplicative updates keep them non-negative."""
+    n, h = len(counts), counts.astype(float)
+    held = np.arange(n) > 0
+    cover = lambda x: np.bincount(patterns.ravel(), np.repeat(x, patterns.shape[1]), n) * held
+    goal = (h * held)[patterns].sum(1)
+    x = np.full(len(patterns), counts.sum() / max(1, (patterns > 0).sum()))
     for _ in range(rounds):
         x *= goal / np.maximum(cover(x)[patterns].sum(1), 1e-9)
-    y = cover(x)
-    ratio = np.where(y > h, h / np.maximum(y, 1e-9), 1.0)
-    ratio[0] = 1.0
-    return np.floor(x * ratio[patterns].min(1) + 1e-9).astype(np.int64)
+    return x
+
+
+def round_repeats(patterns: np.ndarray, x: np.ndarray, left: np.ndarray) -> list[tuple[tuple[int, ...], int]]:
+    """Whole repeats, the greatest first, at least one of each pattern whose pieces are still there; takes them off `left`."""
+    out = []
+    for i in np.argsort(-x, kind="stable"):
+        lengths, times = np.unique(patterns[i][patterns[i] > 0], return_counts=True)
+        repeats = min(int((left[lengths] // times).min()), max(1, round(float(x[i]))))
+        if repeats:
+            left[lengths] -= times * repeats
+            out.append((tuple(int(l) for l in patterns[i] if l), repeats))
+    return out
+
+
+def fitted(counts: np.ndarray, budget: int) -> tuple[list[tuple[tuple[int, ...], int]], np.ndarray]:
+    """Patterns with repeat counts by rounds of fitting and rounding, and the histogram of what they leave. Slack grows when a round places less than a fiftieth of what is there."""
+    left, chosen, slack, rng = counts.copy(), [], 0, np.random.default_rng(5)
+    while left.sum():
+        patterns, before = candidate_patterns(left, budget, slack, rng), left.sum()
+        if len(patterns):
+            chosen += round_repeats(patterns, fit_repeats(patterns, left), left)
+        if before - left.sum() < 0.02 * before:
+            if slack >= budget * MOST_SLACK:
+                break
+            slack = max(1, slack * 4)
+    return chosen, left
 
 
 def best_fit(counts: np.ndarray, budget: int) -> list[tuple[tuple[int, ...], int]]:
@@ -107,13 +145,7 @@ def best_fit(counts: np.ndarray, budget: int) -> list[tuple[tuple[int, ...], int
 
 def plan(counts: np.ndarray, budget: int) -> list[tuple[tuple[int, ...], int]]:
     """Patterns with repeat counts that hold every piece of the histogram (counts[length])."""
-    patterns = candidate_patterns(counts, budget)
-    repeats = fit_repeats(patterns, counts)
-    chosen = [(tuple(int(l) for l in p if l), int(r)) for p, r in zip(patterns, repeats) if r]
-    left = counts.copy()
-    for lengths, r in chosen:
-        for length in lengths:
-            left[length] -= r
+    chosen, left = fitted(counts, budget)
     return chosen + best_fit(left, budget)
 
 
