@@ -1,10 +1,11 @@
 """Benchmark decontamination by SimHash over item-sized windows.
 
-Every item has a 256-bit SimHash of its five-word shingles, each weighted by how often it occurs. In documents, windows of
+Every item has a 256-bit SimHash of its five-word shingles, each weighted by how often it occurs: its second time counts as
+an element of its own, its third likewise, so that weighted similarity is that of sets. In documents, windows of
 as many words as an item has are fingerprinted likewise. Sixteen blocks of 16 bits make the index: two fingerprints within
 63 bits agree in some block up to three bits, so a table of all values within three bits of each item's blocks finds every
 item within the radius. Candidates are then verified by exact weighted Jaccard similarity of shingles. At similarity 0.8,
-fingerprints differ in 39 bits on average, with a deviation of 6, so the radius lies four deviations away.
+fingerprints differ in 39 bits on average, with a deviation of 6, so the radius lies four deviations away, whether shingles repeat or not.
 
 The documents are read once. Windows that can't reach the threshold, as fewer than that share of their shingles occur in any
 item, aren't fingerprinted (weighted similarity is at most that share); the others, joined where they overlap, are written as
@@ -51,8 +52,9 @@ def _signs(shingles: np.ndarray) -> np.ndarray:
 
 
 def window_simhash(shingles: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
-    """Fingerprints (rows of 32 bytes) of the runs of n shingles at starts; a shingle weighs as often as it occurs.
+    """Fingerprints (rows of 32 bytes) of the runs of n shingles at starts (ascending); the second, third, ... time that a run holds a shingle counts as a shingle of its own.
 
+    So fingerprints of runs with repeated shingles are as far apart as those of sets of the same (weighted) similarity; one heavy shingle doesn't rule them.
     Sums are kept at the runs' edges only, so memory follows the number of runs, however long they are."""
     edges = np.unique(np.concatenate([starts, starts + n]))
     sums, so_far, low = np.zeros((len(edges), BITS), np.int32), np.zeros(BITS, np.int32), edges[0] if len(edges) else 0
@@ -61,7 +63,38 @@ def window_simhash(shingles: np.ndarray, starts: np.ndarray, n: int) -> np.ndarr
         lo, hi = np.searchsorted(edges, [a, a + STEP], "right")
         sums[lo:hi] = part[edges[lo:hi] - a - 1]
         so_far = part[-1]
-    return np.packbits(sums[np.searchsorted(edges, starts + n)] - sums[np.searchsorted(edges, starts)] > 0, axis=1)
+    return np.packbits(sums[np.searchsorted(edges, starts + n)] - sums[np.searchsorted(edges, starts)] + _repeated(shingles, starts, n) > 0, axis=1)
+
+
+def _repeated(shingles: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray | int:
+    """What the sums of window_simhash change by if a shingle's j-th time in a run has signs of its own.
+
+    A place is the j-th of its shingle for the runs that start after the one j places of it before, and not after the one before that: an interval of starts, so differences at its ends are summed up."""
+    if not len(starts):
+        return 0
+    low, high = int(starts[0]), int(starts[-1]) + n
+    own = shingles[low:high]
+    order = np.argsort(own, kind="stable")
+    before = np.full(len(own), -1)
+    same = own[order[1:]] == own[order[:-1]]
+    before[order[1:][same]] = order[:-1][same]
+    place = np.flatnonzero((before >= 0) & (np.arange(len(own)) - before < n))
+    if not len(place):
+        return 0
+    steps, near, j = np.zeros((len(starts) + 1, BITS), np.int32), before[place], 1
+    while len(place):
+        far = before[near]
+        left = np.searchsorted(starts - low, np.maximum(far, place - n) + 1)
+        right = np.searchsorted(starts - low, near, "right")
+        for a in range(0, len(place), STEP):
+            at = a + np.flatnonzero(left[a : a + STEP] < right[a : a + STEP])
+            s = own[place[at]]
+            change = _signs(mix(s + np.uint64(0xD1B54A32D192ED03 * j % 2**64))).astype(np.int32) - _signs(s)
+            np.add.at(steps, left[at], change)
+            np.subtract.at(steps, right[at], change)
+        on = (far >= 0) & (place - far < n)
+        place, near, j = place[on], far[on], j + 1
+    return np.cumsum(steps[:-1], 0)
 
 
 def weighted_jaccard(x: np.ndarray, y: np.ndarray) -> float:
