@@ -65,15 +65,15 @@ def likeness(x: np.ndarray, y: np.ndarray) -> float:
 
 
 def with_next(docs: DataFrame) -> tuple[DataFrame, int]:
-    """Rows (bucket, last, doc_id, text), dealt by buckets of doc_id and sorted; `last` marks, at each bucket's end, the row that follows it in the whole order (after the last row: the first)."""
+    """Rows (bucket, last, doc_id, text), dealt by buckets of doc_id and text and sorted; `last` marks, at each bucket's end, the row that follows it in the whole order (after the last row: the first)."""
     spark, rows = docs.sparkSession, documents(docs)
-    cuts = id_buckets(docs.select("doc_id"), tasks_for(spark))
-    rows = rows.withColumn("bucket", bucket_of(F.col("doc_id"), cuts))
+    cuts = id_buckets(rows, tasks_for(spark))
+    rows = rows.withColumn("bucket", bucket_of(F.col("doc_id"), F.col("text"), cuts))
     # One row for each bucket passes the driver: its first id.
-    firsts = sorted(docs.select("doc_id", bucket_of(F.col("doc_id"), cuts).alias("bucket")).groupBy("bucket").agg(F.min("doc_id").alias("first"), F.max(F.col("doc_id").isNull()).alias("null")).collect(), key=lambda r: r["bucket"])
-    heads = [(firsts[i - 1]["bucket"], None if r["null"] else r["first"]) for i, r in enumerate(firsts)]
-    after = spark.createDataFrame(heads, "own int, first long")
-    joined = rows.join(F.broadcast(after), F.col("doc_id").eqNullSafe(F.col("first")))
+    firsts = sorted(rows.groupBy("bucket").agg(F.min("doc_id").alias("first"), F.max(F.col("doc_id").isNull()).alias("null")).collect(), key=lambda r: r["bucket"])
+    heads = [(firsts[i - 1]["bucket"], r["bucket"], None if r["null"] else r["first"]) for i, r in enumerate(firsts)]
+    after = spark.createDataFrame(heads, "own int, of int, first long")
+    joined = rows.join(F.broadcast(after), (F.col("bucket") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("first")))
     tail = joined.groupBy("own").agg(F.min(F.struct("doc_id", "text")).alias("x")).select(F.col("own").alias("bucket"), F.lit(True).alias("last"), "x.doc_id", "x.text")
     both = rows.select("bucket", F.lit(False).alias("last"), "doc_id", "text").unionByName(tail)
     return both.repartitionById(len(cuts) + 1, F.col("bucket")).sortWithinPartitions("bucket", "last", "doc_id", "text"), len(cuts) + 1

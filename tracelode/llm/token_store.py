@@ -130,11 +130,11 @@ def _encoder(tokenizer: str, end_id: int):
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> None:
-    """Encode every text, end each with end_id, and write the file format to path in ascending doc_id order. One shuffle, by buckets of doc_id."""
+    """Encode every text, end each with end_id, and write the file format to path in ascending order of doc_id and text. One shuffle, by buckets of both."""
     spark, rows = docs.sparkSession, documents(docs)
     n = tasks_for(spark)
-    cuts = id_buckets(docs.select("doc_id"), n)
-    dealt = rows.select(bucket_of(F.col("doc_id"), cuts).alias("bucket"), "doc_id", "text").repartitionById(len(cuts) + 1, F.col("bucket")).sortWithinPartitions("bucket", "doc_id", "text")
+    cuts = id_buckets(rows, n)
+    dealt = rows.select(bucket_of(F.col("doc_id"), F.col("text"), cuts).alias("bucket"), "doc_id", "text").repartitionById(len(cuts) + 1, F.col("bucket")).sortWithinPartitions("bucket", "doc_id", "text")
     dealt.mapInArrow(_encoder(tokenizer, end_id), SCHEMA).write.parquet(path)
 
 
@@ -170,8 +170,16 @@ def read_documents(spark: SparkSession, path: str, with_ids: bool = False) -> Da
 
 
 def read_token(spark: SparkSession, path: str, position: int) -> int:
-    """The id at a place of the whole corpus; only the segment that holds it is read."""
-    row = _segments(spark, path).withColumn("at", F.lit(position) - F.col("base") - F.col("first_token")).where("at >= 0 and at < n_tokens").first()
-    if row is None:
+    """The id at a place of the whole corpus. Which segment holds it is told from their counts; of the codes only that segment's are read, by its bucket and part."""
+    sizes = spark.read.parquet(path).select("bucket", "part", "first_token", "n_tokens")
+    base = {r["bucket"]: r["n"] for r in sizes.groupBy("bucket").agg(F.sum("n_tokens").alias("n")).collect()}
+    at = position
+    for bucket in sorted(base):
+        if 0 <= at < base[bucket]:
+            break
+        at -= base[bucket]
+    else:
         raise IndexError(position)
-    return DirectCodes(row["levels"], row["bitmaps"], row["ranks"]).get(row["at"])
+    part = sizes.where((F.col("bucket") == bucket) & (F.col("first_token") <= at) & (F.col("first_token") + F.col("n_tokens") > at)).select("part", "first_token").first()
+    row = spark.read.parquet(path).where((F.col("bucket") == bucket) & (F.col("part") == part["part"])).select("levels", "bitmaps", "ranks").first()
+    return DirectCodes(row["levels"], row["bitmaps"], row["ranks"]).get(at - part["first_token"])
