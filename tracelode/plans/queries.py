@@ -15,7 +15,7 @@ from ..operators.views import names_of
 from ..sources import catalogue, jsonl
 from ..sources.corpus import LINES, load
 from ..streaming.ingest import committed, start_ingest, statistics
-from .scratch import settled, shared_dir
+from .scratch import file_states, settled, shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -45,12 +45,14 @@ def _split(spark: SparkSession, sf_dir: str, kind: str) -> tuple[DataFrame, Data
     return jsonl.split(jsonl.checked(LINES[kind](spark, sf_dir), kind), kind, F.col("key"))
 
 
-_STORED: dict[tuple[str, ...], DataFrame] = {}
+_STORED: dict[tuple, DataFrame] = {}
+#: The table from which each kind's lines are made.
+_MADE_OF = {"runtime": "events", "lineage": "orders", "dataframe_lineage": "customer"}
 
 
 def _table(spark: SparkSession, sf_dir: str, kind: str, name: str) -> DataFrame:
-    """A stored table: lines are checked and typed once for each input and session and written; queries read columns and ranges of times of what is stored."""
-    key = (spark.sparkContext.applicationId, shared_dir(spark), sf_dir, kind)
+    """A stored table: lines are checked and typed once for each state of the input and session and written; queries read columns and ranges of times of what is stored. An input whose files are others, or newer, is stored anew."""
+    key = (spark.sparkContext.applicationId, shared_dir(spark), sf_dir, kind, file_states(spark, f"{sf_dir}/{_MADE_OF[kind]}.parquet"))
     if key not in _STORED:
         rows = _split(spark, sf_dir, kind)[0]
         _STORED[key] = settled(rows.sortWithinPartitions(catalogue.TIME[name]), name)

@@ -24,3 +24,9 @@ def settled(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def file_states(spark: SparkSession, path: str) -> tuple[tuple[str, int, int], ...]:
+    """Name, length and time of a file, or of the files of a folder."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return tuple(sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in at.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(at)))
