@@ -6,7 +6,7 @@
 3. MinHash values of a pair are compared STEP by step. When the posterior probability (uniform prior) that its similarity reaches
    the threshold is below `tolerance`, it is dropped. Then the larger buckets are compared in full, in blocks of some WIDE nodes
    against each other: all pairs whose nodes are not in one component yet.
-4. Components of what is left are verified exactly, pair by pair, in blocks of some BLOCK nodes against each other: every node is counted
+4. Components of what is left are verified exactly, pair by pair, in blocks of some BLOCK nodes (of long texts, BLOCK_SHINGLES shingles) against each other: every node is counted
    its links, and each block gives the edges of a spanning forest. So a group of thousands of near copies is spread over
    tasks, and no row is made for a pair.
 5. Components of the verified edges are the classes.
@@ -34,6 +34,8 @@ from .textnum import Words, mix, slices
 BANDS, ROWS = 24, 4
 HASHES = BANDS * ROWS
 STEP, SMALL, BLOCK = 16, 16, 192
+#: Shingles of a block on average at most, or of one node: blocks of long texts hold fewer nodes.
+BLOCK_SHINGLES = 1 << 21
 WIDE, TILE = 2048, 128
 BATCH_CHARS = 2_000_000
 _A = np.random.default_rng(91).integers(0, 2**31, HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -75,7 +77,7 @@ def least_matches(threshold: float, tolerance: float) -> list[int]:
 
 
 def _features(docs: DataFrame) -> DataFrame:
-    names = ["doc_id", "h", "node", "keys", "sig"]
+    names = ["doc_id", "h", "node", "keys", "sig", "size"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -97,9 +99,9 @@ def _features(docs: DataFrame) -> DataFrame:
                         node[i] = names_[k]
                         keys[i], sig[i] = band[:, k].view(np.int64), short[k].tobytes()
                 own = batch.slice(a, b - a)
-                yield pa.RecordBatch.from_arrays([own.column("doc_id"), own.column("h"), pa.array(node, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(sig, pa.binary())], names)
+                yield pa.RecordBatch.from_arrays([own.column("doc_id"), own.column("h"), pa.array(node, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(sig, pa.binary()), pa.array([len(s) for s in sets], pa.int64())], names)
 
-    return _told(docs).mapInArrow(run, "doc_id long, h long, node binary, keys array<long>, sig binary")
+    return _told(docs).mapInArrow(run, "doc_id long, h long, node binary, keys array<long>, sig binary, size long")
 
 
 def _told(docs: DataFrame) -> DataFrame:
@@ -269,7 +271,8 @@ def _forest(link: np.ndarray) -> np.ndarray:
 
 def _verified(docs: DataFrame, nodes: DataFrame, groups: DataFrame, threshold: float) -> DataFrame:
     """Rows a, b, links: node a is in one tree with b (perhaps itself), and has so many linked documents in one pair of blocks."""
-    sizes = groups.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    held = groups.join(nodes.select("node", "size"), "node").groupBy("root").agg(F.count("*").alias("n"), F.sum("size").alias("shingles"))
+    sizes = held.select("root", F.ceil(F.greatest(F.col("n") / BLOCK, F.col("shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
     known = nodes.select("node", "told", "copies").join(groups, "node").join(sizes, "root").select("*", "told.*").drop("told")
     known = known.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
 
@@ -329,7 +332,7 @@ def _classed(docs: DataFrame, threshold: float, tolerance: float) -> tuple[DataF
     """Rows (doc_id, h, node) of all documents, and a row for each node: doc_id and h of one of its rows (told), root, class_id, n_links."""
     rows = materialise(_features(docs), "features")
     told = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("told")
-    grouped = rows.where("node is not null").groupBy("node").agg(told, F.count("*").alias("copies"), F.min("keys").alias("keys"), F.min("sig").alias("sig"))
+    grouped = rows.where("node is not null").groupBy("node").agg(told, F.count("*").alias("copies"), F.min("keys").alias("keys"), F.min("sig").alias("sig"), F.min("size").alias("size"))
     nodes = materialise(grouped, "nodes")
     shared = materialise(_buckets(nodes), "buckets")
     pairs = materialise(_pruned(_candidates(shared), nodes, threshold, tolerance), "pairs")
