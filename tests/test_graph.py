@@ -7,14 +7,14 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests import compare
-from tracelode.operators import graph
+from tracelode.operators import graph, reach
 from tracelode.operators.components import strong_components
 from tracelode.plans import registry as engine
 
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["strong_components", "lineage_reach", "column_impact", "chain_costs"])
+@pytest.mark.parametrize("name", ["strong_components", "lineage_reach", "column_impact", "chain_costs", "labelled_reach"])
 def test_query_equals_sql(spark, name):
     assert compare.spark_rows(engine.QUERIES[name](spark, SF)) == compare.sql_rows(SF, engine.SQL[name])
 
@@ -101,3 +101,15 @@ def test_chain_costs_take_the_slowest_way(spark):
     assert got[("a", "d")] == (2, 10, 9, 0.9, 5.5, 7.0) and got[("a", "b")] == (1, 10, 5, 0.5, 1.0, 2.0) and got[("a", "e")] == (3, 10, 3, None, 6.5, 7.0)
     assert set(got) == {("a", x) for x in "bcde"}  # what comes after lies on the cycle, or behind it
     assert graph.chain_costs(costs.limit(0), seed).count() == 0
+
+
+def test_labels_tell_all_pairs(spark):
+    """Every pair of a random graph with cycles, chains and loops; pairs of unknown nodes and nulls reach nothing."""
+    r = random.Random(3)
+    pairs = [(r.randrange(24), r.randrange(24)) for _ in range(26)] + [(100 + i, 101 + i) for i in range(4)] + [(104, 3), (5, 100), (300, 300), (400, 401), (401, 400), (401, 402)]
+    nodes = sorted({x for p in pairs for x in p})
+    df = edges(spark, pairs + [(None, 1)])
+    asked = spark.createDataFrame([(a, b) for a in nodes for b in nodes] + [(1, 999), (None, 1), (1, None)], "a long, b long")
+    got = {(x.a, x.b): x.reaches for x in reach.reaches(df, reach.labels(df), asked).collect()}
+    far = {a: reached(pairs, a) for a in nodes}
+    assert got == {(a, b): b in far[a] for a in nodes for b in nodes} | {(1, 999): False, (None, 1): False, (1, None): False}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import graph, views
+from ..operators import graph, reach, views
 from ..sources import jsonl
 from ..sources.corpus import chained_frame_lines, chained_run_lines, load
 from .queries import PM, perf, query, r6
@@ -71,3 +71,15 @@ def recursive_reach(spark, sf_dir):
     """The same reach up to six steps by one recursive statement."""
     edges = settled(graph.dataset_edges(_runs(spark, sf_dir)).select("source", "target").unionByName(graph.frame_edges(_frames(spark, sf_dir))).distinct(), "edges")
     return graph.closure_sql(edges, graph.degrees(edges).where("role = 'root'"), 6)
+
+
+_ASKED = "ps AS (SELECT 's' || p_partkey AS a, 's' || (p_partkey // 16) AS b FROM part UNION ALL SELECT 's' || p_partkey, 's' || (p_partkey // 16 + 1) FROM part UNION ALL SELECT 'f' || (p_partkey % 100), 's' || (p_partkey // 7) FROM part)"
+
+
+@query(f"WITH RECURSIVE {OP}, {RN}, {WHOLE}, {_ASKED}, re AS (SELECT source AS seed, target AS node FROM wh UNION SELECT re.seed, wh.target FROM re JOIN wh ON re.node = wh.source) SELECT a, b, re.seed IS NOT NULL AS reaches, count(*) AS n FROM ps LEFT JOIN re ON a = seed AND b = node GROUP BY ALL")
+def labelled_reach(spark, sf_dir):
+    """For pairs of datasets and frames made from parts whether one is made of the other, by stored labels and narrowed searches."""
+    edges = settled(graph.dataset_edges(_runs(spark, sf_dir)).select("source", "target").unionByName(graph.frame_edges(_frames(spark, sf_dir))).distinct(), "edges")
+    p = load(spark, sf_dir, "part")
+    pairs = p.selectExpr("inline(array(struct(concat('s', p_partkey) AS a, concat('s', p_partkey div 16) AS b), struct(concat('s', p_partkey) AS a, concat('s', p_partkey div 16 + 1) AS b), struct(concat('f', p_partkey % 100) AS a, concat('s', p_partkey div 7) AS b)))")
+    return reach.reaches(edges, settled(reach.labels(edges), "labels"), pairs).groupBy("a", "b", "reaches").agg(F.count("*").alias("n"))
