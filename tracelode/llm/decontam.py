@@ -10,9 +10,11 @@ fingerprints differ in 39 bits on average, with a deviation of 6, so the radius
 The documents are read once. Windows that can't reach the threshold, as fewer than that share of their shingles occur in any
 item, aren't fingerprinted (weighted similarity is at most that share); the others, joined where they overlap, are written as
 passages: their shingles alone, cut into pieces of a bounded length. A filter of a bounded number of bits (2**MOST_BITS), which
-may only err by letting too much through, says which shingles occur. Passages are then held against the items in blocks of at most
-ITEMS_AT_ONCE items and WORDS_AT_ONCE words, one block after the other: what is sent to executors is bounded, and the work
-follows the passages, not the corpus.
+may only err by letting too much through, says which shingles occur. Items lie in blocks of at most ITEMS_AT_ONCE items and
+WORDS_AT_ONCE words. Passages meet blocks by a join on shingles: whatever is similar enough to an item holds one of its rarest
+shingles at least, if as many are taken as may be missing and one more, so only these are joined. A block and the passages
+that it met make cells of at most some CELL shingles, so an item that a third of all documents hold is spread over many tasks;
+each cell has the Hamming index of its block. The number of jobs doesn't depend on the benchmark.
 
 A document of fewer words than an item, an item cut short, is one window as a whole, and is held against all longer items.
 
@@ -31,15 +33,16 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import documents, materialise, scratch_dir
+from .common import documents, materialise
 from .textnum import SHINGLE, Words, mix, short_runs, slices
 
 BITS, BLOCKS, RADIUS = 256, 16, 63
 ITEMS_AT_ONCE, WORDS_AT_ONCE = 512, 1 << 21
 BATCH_CHARS = 1_000_000
+CELL = 1 << 18  # shingles of passages that a task holds against a block at once
 LEAST_BITS, MOST_BITS = 22, 27
 PIECE, STEP = 1 << 15, 2048
 _NEAR = np.array(sorted({sum(1 << b for b in c) for k in range(RADIUS // BLOCKS + 1) for c in combinations(range(16), k)}), np.uint32)
@@ -189,7 +192,7 @@ class Known:
 
 
 def _items(benchmark: DataFrame) -> DataFrame:
-    """item_id, words, shingles (as bytes) and part, block: each part's items in blocks of a bounded size."""
+    """item_id, words, shingles (as bytes) and part, block, number: each part's items, numbered, in blocks of a bounded size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, block, held, size = TaskContext.get().partitionId(), 0, 0, 0
@@ -203,23 +206,40 @@ def _items(benchmark: DataFrame) -> DataFrame:
                         if held and (held >= ITEMS_AT_ONCE or size + n > WORDS_AT_ONCE):
                             block, held, size = block + 1, 0, 0
                         held, size = held + 1, size + n
-                        out.append((ids[a + i], n, shingles[bounds[i] : bounds[i + 1]].tobytes(), part, block))
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate((pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.int32()))], ["item_id", "words", "shingles", "part", "block"])
+                        out.append((ids[a + i], n, shingles[bounds[i] : bounds[i + 1]].tobytes(), part, block, held))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate((pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.int32(), pa.int32()))], ["item_id", "words", "shingles", "part", "block", "number"])
 
-    return benchmark.select("item_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "item_id long, words int, shingles binary, part int, block int")
+    return benchmark.select("item_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "item_id long, words int, shingles binary, part int, block int, number int")
 
 
-def _passes(blocks: list) -> Iterator[list[tuple[int, int]]]:
-    """Blocks in groups that keep the bounds together."""
-    held, items, words = [], 0, 0
-    for b in blocks:
-        if held and (items + b["items"] > ITEMS_AT_ONCE or words + b["words"] > WORDS_AT_ONCE):
-            yield held
-            held, items, words = [], 0, 0
-        held.append((b["part"], b["block"]))
-        items, words = items + b["items"], words + b["words"]
-    if held:
-        yield held
+def _keys(rows: DataFrame) -> DataFrame:
+    """A row for each distinct shingle of each row: its other columns, key (the shingle) and times (how often it occurs). The shingles are the last column."""
+    kept = rows.columns[:-1]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw = batch.column(len(kept)).to_pylist()
+            for a, b in slices([len(x) for x in raw], 8 * PIECE):
+                found = [np.unique(np.frombuffer(x, "<i8"), return_counts=True) for x in raw[a:b]]
+                row = pa.array(np.repeat(np.arange(a, b), [len(k) for k, _ in found]))
+                keys, times = (np.concatenate(x) for x in zip(*found))
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).take(row) for k in range(len(kept))), pa.array(keys), pa.array(times, pa.int32())], [*kept, "key", "times"])
+
+    types = [f"{f.name} {f.dataType.simpleString()}" for f in rows.schema][:-1]
+    return rows.mapInArrow(run, ", ".join([*types, "key long", "times int"]))
+
+
+def _rarest(items: DataFrame, threshold: float) -> DataFrame:
+    """key, part, block: of each item its rarest shingles, as many as may be missing and one more.
+
+    A text of that similarity to an item of n shingles holds threshold * n of them, each as often as it occurs. So it holds one of any that make up more than the rest, and boilerplate of many items is joined only for items that hold little else."""
+    n = F.octet_length("shingles") / 8
+    need = (n - F.ceil(F.lit(threshold) * n - 1e-9) + 1).cast("int").alias("need")
+    keys = _keys(items.select("part", "block", "number", need, "shingles"))
+    often = keys.groupBy("key").agg(F.count("*").alias("often"))
+    before = Window.partitionBy("part", "block", "number").orderBy("often", "key").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = keys.join(often, "key").withColumn("before", F.coalesce(F.sum("times").over(before), F.lit(0)))
+    return ranked.where("before < need").select("key", "part", "block").distinct()
 
 
 def _filter(items: DataFrame, shingles: int) -> np.ndarray:
@@ -249,7 +269,7 @@ def _filter(items: DataFrame, shingles: int) -> np.ndarray:
     return out
 
 
-_PASSAGE = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("size", pa.int32()), ("first_word", pa.int64()), ("whole", pa.int64()), ("shingles", pa.binary())])
+_PASSAGE = pa.schema([("pid", pa.int64()), ("doc_id", pa.int64()), ("h", pa.int64()), ("size", pa.int32()), ("first_word", pa.int64()), ("whole", pa.int64()), ("shingles", pa.binary())])
 
 
 def _runs(covered: np.ndarray, reach: int) -> Iterator[tuple[int, int]]:
@@ -261,11 +281,12 @@ def _runs(covered: np.ndarray, reach: int) -> Iterator[tuple[int, int]]:
 
 
 def _passages(docs: DataFrame, known: Known, threshold: float) -> DataFrame:
-    """Runs of shingles in which a window may match: doc_id, h (of the text), size (words a shingle), first_word, whole (words of the document, if it is one window as a whole), shingles."""
+    """Runs of shingles in which a window may match: pid (a number of its own), doc_id, h (of the text), size (words a shingle), first_word, whole (words of the document, if it is one window as a whole), shingles."""
     sent = docs.sparkSession.sparkContext.broadcast((known.bits, known.lengths))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Known(*sent.value)
+        pid = TaskContext.get().partitionId() << 40
         full, short = [n - SHINGLE + 1 for n in known.lengths if n >= SHINGLE], [n for n in known.lengths if n < SHINGLE]
         for batch in batches:
             ids, hashes, texts = (c.to_pylist() for c in batch.columns)
@@ -290,67 +311,78 @@ def _passages(docs: DataFrame, known: Known, threshold: float) -> DataFrame:
                         own = short_runs(words, d, n)
                         out += [(ids[a + d], hashes[a + d], n, x, None, own[x:y].tobytes()) for x, y in _runs(known(own), 1)]
                 if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _PASSAGE)], schema=_PASSAGE)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip([range(pid, pid + len(out)), *zip(*out)], _PASSAGE)], schema=_PASSAGE)
+                    pid += len(out)
 
     rows = documents(docs).select("doc_id", F.xxhash64("text").alias("h"), "text")
-    return rows.mapInArrow(run, "doc_id long, h long, size int, first_word long, whole long, shingles binary")
+    return rows.mapInArrow(run, "pid long, doc_id long, h long, size int, first_word long, whole long, shingles binary")
 
 
 _FOUND = "doc_id long, h long, item_id long, similarity double, first_word long, n_words long"
-_BUILT: dict[str, Items] = {}
-
-
-def _held_against(passages: DataFrame, block: list[tuple], threshold: float) -> DataFrame:
-    """Matches of the passages with the items of one block."""
-    sent, key = passages.sparkSession.sparkContext.broadcast(block), uuid.uuid4().hex
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if key not in _BUILT:
-            _BUILT.clear()
-            _BUILT[key] = Items(sent.value)
-        items = _BUILT[key]
-        for batch in batches:
-            best: dict = {}
-            for doc, h, size, first, whole, raw in zip(*(c.to_pylist() for c in batch.columns)):
-                shingles = np.frombuffer(raw, "<u8")
-                place, length = items.places(shingles)
-                if whole is not None:
-                    found = [(whole, m) for m in items.longer(shingles, threshold, whole)] if len(np.unique(place)) >= threshold * len(shingles) - 1e-9 else []
-                else:
-                    found, often = [], np.bincount(length, minlength=len(items.lengths))
-                    for k in np.flatnonzero(often).tolist():
-                        n = int(items.lengths[k])
-                        if often[k] >= threshold * max(1, n - SHINGLE + 1) - 1e-9 and (n == size if size < SHINGLE else SHINGLE <= n < len(shingles) + SHINGLE):
-                            # Of a window's shingles that share must occur in items of its own length.
-                            hit = np.zeros(len(shingles) + 1, np.int64)
-                            hit[place[length == k] + 1] = 1
-                            found += [(n, m) for m in items.matches(shingles, np.cumsum(hit), threshold, n)]
-                for n, (i, similarity, at) in found:
-                    told = (similarity, -first - at, n)
-                    best[doc, h, i] = max(told, best.get((doc, h, i), told))
-            rows = [(doc, h, items.ids[i], s, -at, n) for (doc, h, i), (s, at, n) in best.items()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.float64() if i == 3 else pa.int64()) for i in range(6)], ["doc_id", "h", "item_id", "similarity", "first_word", "n_words"])
-
-    return passages.mapInArrow(run, _FOUND)
+_MATCHES = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("item_id", pa.int64()), ("similarity", pa.float64()), ("first_word", pa.int64()), ("n_words", pa.int64())])
+_BUILT: dict[tuple, Items] = {}
+
+
+def _built(rows: list[tuple], key: tuple) -> Items:
+    """A block's index; that of the last block is kept for its next cell."""
+    if key not in _BUILT:
+        _BUILT.clear()
+        _BUILT[key] = Items(rows)
+    return _BUILT[key]
+
+
+def _found(items: Items, passages: pa.RecordBatch, threshold: float) -> pa.RecordBatch:
+    """Matches of passages with the items of a block."""
+    best: dict = {}
+    for doc, h, size, first, whole, raw in zip(*(passages.column(c).to_pylist() for c in ("doc_id", "h", "size", "first_word", "whole", "shingles"))):
+        shingles = np.frombuffer(raw, "<u8")
+        place, length = items.places(shingles)
+        if whole is not None:
+            found = [(whole, m) for m in items.longer(shingles, threshold, whole)] if len(np.unique(place)) >= threshold * len(shingles) - 1e-9 else []
+        else:
+            found, often = [], np.bincount(length, minlength=len(items.lengths))
+            for k in np.flatnonzero(often).tolist():
+                n = int(items.lengths[k])
+                if often[k] >= threshold * max(1, n - SHINGLE + 1) - 1e-9 and (n == size if size < SHINGLE else SHINGLE <= n < len(shingles) + SHINGLE):
+                    # Of a window's shingles that share must occur in items of its own length.
+                    hit = np.zeros(len(shingles) + 1, np.int64)
+                    hit[place[length == k] + 1] = 1
+                    found += [(n, m) for m in items.matches(shingles, np.cumsum(hit), threshold, n)]
+        for n, (i, similarity, at) in found:
+            told = (similarity, -first - at, n)
+            best[doc, h, i] = max(told, best.get((doc, h, i), told))
+    rows = [(doc, h, items.ids[i], s, -at, n) for (doc, h, i), (s, at, n) in best.items()]
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(_MATCHES)], schema=_MATCHES)
+
+
+def _held_against(passages: DataFrame, items: DataFrame, threshold: float) -> DataFrame:
+    """Matches of the passages with the items of the blocks that they meet, cell by cell."""
+    meets = _keys(passages.select("pid", (F.octet_length("shingles") / 8).cast("int").alias("n"), "shingles")).join(materialise(_rarest(items, threshold), "rarest"), "key")
+    meets = materialise(meets.select("pid", "n", "part", "block").distinct(), "meets")
+    # A row for every block of items that was met: some ITEMS_AT_ONCE times fewer than there are items, so that Spark broadcasts it while it is small.
+    cells = materialise(meets.groupBy("part", "block").agg(F.ceil(F.sum("n") / CELL).cast("int").alias("cells")), "cells")
+    left = meets.join(cells, ["part", "block"]).withColumn("cell", F.pmod(F.xxhash64("pid"), F.col("cells")).cast("int")).drop("n", "cells").join(passages, "pid")
+    right = items.join(cells, ["part", "block"]).withColumn("cell", F.explode(F.sequence(F.lit(0), F.col("cells") - 1))).drop("cells")
+    query = uuid.uuid4().hex
+
+    def run(key: tuple, passages: pa.Table, rows: pa.Table) -> pa.Table:
+        if not len(passages):
+            return _MATCHES.empty_table()
+        block = _built([tuple(r.values()) for r in rows.select(["item_id", "words", "shingles"]).to_pylist()], (query, key[0].as_py(), key[1].as_py()))
+        return pa.Table.from_batches([_found(block, b, threshold) for b in passages.to_batches(max_chunksize=256)], _MATCHES)
+
+    return left.groupBy("part", "block", "cell").cogroup(right.groupBy("part", "block", "cell")).applyInArrow(run, _FOUND)
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8) -> DataFrame:
     """A row at least for each text (doc_id and h, the hash of the text) and item of which it holds a near copy, as a written table."""
-    spark = docs.sparkSession
     items = materialise(_items(benchmark), "items")
-    # A row for every ITEMS_AT_ONCE items or so and every part, and one for every length that occurs.
-    blocks = items.groupBy("part", "block").agg(F.count("*").alias("items"), F.sum("words").alias("words")).orderBy("part", "block").collect()
-    if not blocks:
-        return spark.createDataFrame([], _FOUND)
-    lengths = sorted(r[0] for r in items.select("words").distinct().collect())
-    known = Known(_filter(items, sum(b["words"] for b in blocks)), lengths)
-    passages = materialise(_passages(docs, known, threshold), "passages")
-    path = f"{scratch_dir(spark)}/matches-{uuid.uuid4().hex}"
-    for group in _passes(blocks):
-        own = spark.createDataFrame(group, "part int, block int")
-        block = [tuple(r) for r in items.join(F.broadcast(own), ["part", "block"]).select("item_id", "words", "shingles").collect()]
-        _held_against(passages, block, threshold).write.mode("append").parquet(path)
-    return spark.read.schema(_FOUND).parquet(path)
+    total = items.agg(F.sum(F.octet_length("shingles") / 8)).first()[0]
+    if not total:
+        return docs.sparkSession.createDataFrame([], _FOUND)
+    lengths = sorted(r[0] for r in items.select("words").distinct().collect())  # a row for every length that occurs
+    passages = materialise(_passages(docs, Known(_filter(items, int(total)), lengths), threshold), "passages")
+    return materialise(_held_against(passages, items, threshold), "matches")
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8) -> DataFrame:
