@@ -50,11 +50,17 @@ def refresh(spark: SparkSession, table: str, store: str, columns: list[str]) ->
     """Reads the files of a Parquet table that the store has no sketches of, and adds them. Returns how many."""
     now = {(p, n, t) for p, n, t in _files(spark, table)}
     had = {(r["path"], r["size"], r["modified"]) for r in _read(spark, store).select("path", "size", "modified").distinct().collect()}
-    new = sorted(p for p, _, _ in now - had)
+    new = sorted(now - had)
     if new:
         meta = F.col("_metadata")
-        rows = spark.read.parquet(*new).select(meta["file_path"].alias("path"), meta["file_size"].alias("size"), meta["file_modification_time"].alias("modified"), *(F.col(f"`{c}`") for c in columns))
-        _parts(rows, columns).write.mode("append").parquet(store)
+        rows = spark.read.parquet(*(p for p, _, _ in new)).select(meta["file_path"].alias("path"), meta["file_size"].alias("size"), meta["file_modification_time"].alias("modified"), *(F.col(f"`{c}`") for c in columns))
+        parts = _parts(rows, columns)
+        # A file without rows (Spark writes one for a first task that has none) has no part; it is known by a row of nothing a column.
+        blank = spark.createDataFrame([(p, n, t, c) for p, n, t in new for c in columns], "path string, size long, modified timestamp, column string")
+        known = F.broadcast(blank.withColumnsRenamed({"size": "_size", "modified": "_modified"}))  # a row a new file and column
+        found = parts.join(known, ["path", "column"], "right")
+        whole = {"size": F.coalesce("size", "_size"), "modified": F.coalesce("modified", "_modified"), "n": F.coalesce("n", F.lit(0)), "n_null": F.coalesce("n_null", F.lit(0))}
+        found.withColumns(whole).select(parts.columns).write.mode("append").parquet(store)
     return len(new)
 
 
