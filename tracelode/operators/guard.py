@@ -100,9 +100,11 @@ def relations(query: DataFrame) -> set[str]:
     return {t.replace(", ", ".").lower() for t in tables} | {f"{f.replace(', ', '.').lower()}()" for f in functions}
 
 
-def guarded_sql(spark: SparkSession, text: str, limit: int = 100, args: list | None = None) -> DataFrame:
+def guarded_sql(spark: SparkSession, text: str, limit: int | None = 100, args: list | None = None) -> DataFrame:
     """The rows of a text that the audit lets pass and that reads tables of the catalogue only, as its parsed plan tells: never more than MOST_ROWS, whatever limits it names. Else ValueError.
 
+    limit=None: all rows, as a table to go on with or to write; the cap is for rows that are shown.
+
     What the audit can't read with certainty (bracketed joins, say) is left to the plan."""
     verdict = spark.range(1).select(audit(F.lit(text)).alias("a")).first()["a"]
     unread = verdict["verdict"] == "unauthorized_table" and verdict["matched"] in ("?", "\u00a4")
@@ -115,7 +117,7 @@ def guarded_sql(spark: SparkSession, text: str, limit: int = 100, args: list | N
         raise ValueError(f"unreadable: {excerpt_of(str(wrong))}") from wrong
     if foreign:
         raise ValueError(f"unauthorized_table: {min(foreign)}")
-    return found.limit(limit_of(text, limit) or MOST_ROWS)
+    return found if limit is None else found.limit(limit_of(text, limit) or MOST_ROWS)
 
 
 def excerpt_of(text: str, most: int = 100) -> str:

@@ -357,7 +357,7 @@ def table_samples(spark, sf_dir):
 def catalogue_sql(spark, sf_dir):
     """A user's SQL on the registered views, by their names."""
     catalogue.register(spark, runtime(spark, sf_dir), lineage(spark, sf_dir), frames(spark, sf_dir))
-    return guard.guarded_sql(spark, "SELECT session_id, count(*) AS n, round(avg(lineage_to_runtime_ratio), 6) AS ratio FROM vw_performance_metrics WHERE lineage_to_runtime_ratio IS NOT NULL GROUP BY session_id", limit=0)
+    return guard.guarded_sql(spark, "SELECT session_id, count(*) AS n, round(avg(lineage_to_runtime_ratio), 6) AS ratio FROM vw_performance_metrics WHERE lineage_to_runtime_ratio IS NOT NULL GROUP BY session_id", limit=None)
 
 
 # Graph
