@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.normalize import lineage_rows
 from ..operators import executions, guard, tracked
 from ..sources import jsonl
-from ..sources.corpus import LINES, hex8, load
+from ..sources.corpus import LINES, hex8, load, spread
 from .queries import LI, RT, TEXTS, io, query, r6, runtime
 from .scratch import shared_dir
 
@@ -131,7 +131,7 @@ def limit_rule(spark, sf_dir):
 def syntax_reports(spark, sf_dir):
     """Reports on a log of query texts: whether valid, and if not, what is wrong and what to do."""
     texts = F.explode(F.array(*map(F.lit, (t for t, _ in TEXTS)))).alias("t")
-    log = load(spark, sf_dir, "customer").select("c_custkey", texts).select(F.replace("t", F.lit("{}"), F.col("c_custkey").cast("string")).alias("sql"))
+    log = spread(load(spark, sf_dir, "customer")).select("c_custkey", texts).select(F.replace("t", F.lit("{}"), F.col("c_custkey").cast("string")).alias("sql"))
     report = log.select(guard.syntax_report(F.col("sql")).alias("r")).select("r.*")
     issue = F.get(F.split(F.get("issues", F.lit(0)), ":"), F.lit(0)).alias("issue")
     return report.groupBy("valid", issue, F.size("suggestions").alias("n_suggestions")).agg(F.count("*").alias("n"))
