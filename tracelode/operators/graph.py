@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.scratch import settled
+from ..plans.scratch import settled, shared_dir
 from .components import bypassed, chain_links, strong_components
 from .views import names_of
 
@@ -60,14 +61,73 @@ def _spread(found: list[DataFrame], edges: DataFrame, max_depth: int | None, rou
     return found, front
 
 
+#: With a seed to this many edges or more of them, pairs are made by level of the node, if the graph has levels.
+EDGES_A_SEED = 20
+#: Levels that are looked for at most; a round that takes off less than a hundredth of the edges ends the search, too.
+LEVELS = 64
+
+
+def _levels(edges: DataFrame) -> list[DataFrame] | None:
+    """edges: source, target. Nodes with edges out by level (edges of the longest way to them), a written table (node) each; None for graphs with cycles, and for those that are too deep."""
+    left, found = edges.select("source", "target"), []
+    n = left.count()
+    while n:
+        ready = settled(left.select(F.col("source").alias("node")).distinct().join(left.select(F.col("target").alias("node")), "node", "left_anti"), "level")
+        left = settled(left.join(ready.select(F.col("node").alias("source")), "source", "left_anti").select("source", "target"), "left")
+        found, before, n = [*found, ready], n, left.count()
+        if n and (len(found) == LEVELS or n * 100 > before * 99):
+            return None
+    return found
+
+
+def _by_level(edges: DataFrame, start: DataFrame, levels: list[DataFrame], max_depth: int | None) -> DataFrame:
+    """closure over a graph without cycles. Ways to a node wait in a folder of its level until all nodes before it have theirs, so each pair is made once, and nothing found before is read again."""
+    spark, path = edges.sparkSession, f"{shared_dir(edges.sparkSession)}/ways-{uuid.uuid4().hex}"
+    level = settled(reduce(DataFrame.unionByName, (df.withColumn("at", F.lit(k)) for k, df in enumerate(levels))), "levels")
+    # Nodes without edges out, at -1, lead nowhere and come last.
+    ends = edges.join(level.withColumnsRenamed({"node": "source", "at": "from"}), "source").join(level.withColumnRenamed("node", "target"), "target", "left").withColumn("at", F.coalesce("at", F.lit(-1)))
+    ends.write.partitionBy("from").parquet(f"{path}/edges")
+    kinds = {f.name: f.dataType.simpleString() for f in edges.schema}
+    of_edges, of_ways = f"source {kinds['source']}, target {kinds['target']}, weight int, at int", f"seed {kinds['source']}, node {kinds['target']}, depth int"
+
+    def nearest(k: int) -> DataFrame | None:
+        try:
+            came = spark.read.schema(of_ways).parquet(f"{path}/ways/from=*/at={k}")
+        except Exception as missing:
+            if "PATH_NOT_FOUND" not in str(missing):
+                raise
+            return None
+        return came.groupBy("seed", "node").agg(F.min("depth").alias("depth"))
+
+    found = []
+    for k in range(len(levels)):
+        out = spark.read.schema(of_edges).parquet(f"{path}/edges/from={k}")
+        ways = out.join(start.select(F.col("seed").alias("source")), "source").select(F.col("source").alias("seed"), F.col("target").alias("node"), F.col("weight").alias("depth"), "at")
+        here = nearest(k)
+        if here is not None:
+            found.append(settled(here, "found"))
+            ways = ways.unionByName(found[-1].join(out, F.col("node") == F.col("source")).select("seed", F.col("target").alias("node"), (F.col("depth") + F.col("weight")).alias("depth"), "at"))
+        (ways if max_depth is None else ways.where(F.col("depth") <= max_depth)).write.partitionBy("at").parquet(f"{path}/ways/from={k}")
+    last = nearest(-1)
+    found = found if last is None else [*found, last]
+    return reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], of_ways)
+
+
 def closure(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None) -> DataFrame:
     """seeds: node. Returns seed, node, depth for all that edges (source, target; weight, if there, else 1 each) reach; depth is the shortest way. Cycles end by themselves. max_depth: how far to look (None: all the way).
 
     Only what the seeds reach is written, a table a round. Each round reads the edges, so give a stored table. Ways of more than SHALLOW
     edges go on over a graph whose chains (nodes with one edge in and one out) are single edges, found by pointer doubling over those nodes;
-    what lies inside the chains that were passed is added in the end. So rounds grow with the branchings on a way, not with its length."""
+    what lies inside the chains that were passed is added in the end. So rounds grow with the branchings on a way, not with its length.
+
+    Of many seeds in a graph without cycles and not too deep, pairs are made by level instead."""
     named = edges.select("source", "target", (F.col("weight") if "weight" in edges.columns else F.lit(1)).cast("int").alias("weight")).where("source is not null and target is not null")
     start = seeds.select(F.col("node").alias("seed")).distinct()
+    if start.count() * EDGES_A_SEED >= named.count():
+        start, single = settled(start, "seeds"), settled(named.groupBy("source", "target").agg(F.min("weight").alias("weight")), "edges")
+        levels = _levels(single)
+        if levels is not None:
+            return _by_level(single, start, levels, max_depth)
     first = start.join(named, start["seed"] == named["source"]).groupBy("seed", F.col("target").alias("node")).agg(F.min("weight").alias("depth"))
     found, front = _spread([settled(first if max_depth is None else first.where(F.col("depth") <= max_depth), "found")], named, max_depth, SHALLOW)
     if front.limit(1).count():
