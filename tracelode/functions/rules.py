@@ -126,8 +126,8 @@ def _has_type(v: str, at: str, kinds: tuple[str, ...]) -> str:
     return "(" + " OR ".join(tests[k] for k in kinds) + ")"
 
 
-def _checks(rule: Rule, v: str, at: str, label: str, scalars: list[str], groups: list[str], deep: bool, depth: int) -> None:
-    """Adds what is tested at one path of a root variant. Objects are walked by path; lists and maps become one group each, which tests their members in one pass. depth: of lambdas around."""
+def _checks(rule: Rule, v: str, at: str, label: str, scalars: list[str], groups: list[str], deep: bool, depth: int, kept: str | None = None) -> None:
+    """Adds what is tested at one path of a root variant. Objects are walked by path; lists and maps become one group each, which tests their members in one pass. depth: of lambdas around; kept: a column that tells which of this object's fields needn't be tested."""
     get = lambda kind: f"try_variant_get({v}, '{at}', '{kind}')"
     x = f"x{depth}"
 
@@ -151,6 +151,15 @@ def _checks(rule: Rule, v: str, at: str, label: str, scalars: list[str], groups:
     for name in rule.required:
         here = f"{get('variant')} IS NOT NULL AND " if at != "$" else ""
         mark(f"{here}try_variant_get({v}, '{at}.{name}', 'variant') IS NULL", "required", f"{label}.{name}")
+    if kept:
+        # Field by field, in the same order; what is tested of a field is passed over where the field is known to be right.
+        for name, sub in (*rule.required.items(), *rule.optional.items()):
+            own, more = [], []
+            _checks(Rule((), *(({name: sub}, {}) if name in rule.required else ({}, {name: sub}))), v, at, label, own, more, deep, depth)
+            own = own[1:] if name in rule.required else own  # that the field is there was asked above
+            for found, all_found in ((own, scalars), (more, groups)):
+                all_found += [f"CASE WHEN NOT {kept}.`{name}` THEN {x} END" for x in found]
+        return
     for name, sub in rule.required.items():
         _checks(sub, v, f"{at}.{name}", f"{label}.{name}", scalars, groups, deep, depth)
     for name, sub in rule.optional.items():
@@ -172,17 +181,18 @@ def _together(scalars: list[str], groups: list[str], x: str) -> str:
     return f"concat({', '.join([own, *(f'coalesce({g}, {_NONE})' for g in groups)])})" if groups else own
 
 
-def _broken(rule: Rule, v: str, label: str, deep: bool, depth: int = 0) -> str:
+def _broken(rule: Rule, v: str, label: str, deep: bool, depth: int = 0, kept: str | None = None) -> str:
     scalars: list[str] = []
     groups: list[str] = []
-    _checks(rule, v, "$", label, scalars, groups, deep, depth)
+    _checks(rule, v, "$", label, scalars, groups, deep, depth, kept)
     return _together(scalars, groups, f"x{depth}")
 
 
-def violations(v: str, kind: str | Rule, deep: bool = True) -> Column:
-    """All broken rules of an event of a kind, or by a rule of one's own: array of (path, rule), each once. v names a variant column, null where the line isn't JSON. deep=False leaves out what lies in arrays and maps."""
+def violations(v: str, kind: str | Rule, deep: bool = True, kept: str | None = None) -> Column:
+    """All broken rules of an event of a kind, or by a rule of one's own: array of (path, rule), each once. v names a variant column, null where the line isn't JSON. deep=False leaves out what lies in arrays and maps. kept names a column of plain_fields(), whose fields aren't walked."""
     rule = _rule_of(kind)
-    return F.expr(f"CASE WHEN {v} IS NULL THEN array({_pair('$', 'json')}) ELSE array_distinct({_broken(rule, v, '$', deep)}) END")
+    kept = kept if _fields(rule) else None
+    return F.expr(f"CASE WHEN {v} IS NULL THEN array({_pair('$', 'json')}) ELSE array_distinct({_broken(rule, v, '$', deep, kept=kept)}) END")
 
 
 def breaking(old: Rule, new: Rule, path: str = "$") -> list[tuple[str, str]]:
@@ -280,6 +290,20 @@ def plainly_valid(canonical: str, read: str, kind: str | Rule) -> Column:
     return F.expr(f"coalesce(to_json({read}) = {canonical} AND {_kept(_rule_of(kind), read)}, false)")
 
 
+def _fields(rule: Rule) -> dict[str, Rule]:
+    """Fields of an object that is read as such."""
+    return {} if rule.values or rule.items else {**rule.required, **rule.optional}
+
+
+def plain_fields(v: str, read: str, kind: str | Rule) -> Column | None:
+    """The same as plainly_valid, for each field of the event by itself: a struct of booleans, or None for rules without fields. False means only that violations() must look closer."""
+    tests = []
+    for k, rule in _fields(_rule_of(kind)).items():
+        same = f"to_json(named_struct('x', {read}.`{k}`)) = to_json(named_struct('x', try_variant_get({v}, '$.{k}', 'variant')))"
+        tests.append(f"'{k}', coalesce({read}.`{k}` IS NOT NULL AND {_kept(rule, f'{read}.`{k}`')} AND {same}, false)")
+    return F.expr(f"named_struct({', '.join(tests)})") if tests else None
+
+
 def settle(df, name: str, value: Column):
     """Adds a column that later expressions refer to instead of repeating it: a generator of one row, which the optimizer doesn't look through."""
     return df.select("*", F.inline(F.array(F.struct(value.alias(name)))))

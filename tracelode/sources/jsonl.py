@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.normalize import ROWS, constraint
-from ..functions.rules import VIOLATIONS, Rule, plainly_valid, settle, typed, violations
+from ..functions.rules import VIOLATIONS, Rule, plain_fields, plainly_valid, settle, typed, violations
 from ..functions.scalars import identity, notebook_hash
 
 #: Equal lines of one file that one task numbers.
@@ -73,11 +73,13 @@ def checked(lines: DataFrame, kind: str | Rule, value: str = "value", strict: bo
     parsed = settle(lines, "v", F.try_parse_json(F.col(value)))
     if not strict:
         return settle(parsed, "violations", F.filter(violations("v", kind, deep=False), lambda x: x["rule"] == "json"))
-    # Most events are valid at first sight; only the others are walked rule by rule.
+    # Most events are valid at first sight; only the others are walked rule by rule, and of them only the fields that aren't.
     read = settle(settle(parsed, "_canonical", F.to_json("v")), "_read", typed(F.col("_canonical"), kind))
-    plain = settle(read, "_plain", plainly_valid("_canonical", "_read", kind)).drop("_canonical", "_read")
-    every = violations("v", kind, deep)
-    return settle(plain, "violations", F.when(F.col("_plain"), F.array().cast(VIOLATIONS)).otherwise(every)).drop("_plain")
+    plain = settle(read, "_plain", plainly_valid("_canonical", "_read", kind)).drop("_canonical")
+    fields = plain_fields("v", "_read", kind)
+    plain = plain if fields is None else settle(plain, "_kept", F.when(~F.col("_plain"), fields))
+    every = violations("v", kind, deep, None if fields is None else "_kept")
+    return settle(plain, "violations", F.when(F.col("_plain"), F.array().cast(VIOLATIONS)).otherwise(every)).drop("_plain", "_kept", "_read")
 
 
 def split(checked_lines: DataFrame, kind: str, key: Column) -> tuple[DataFrame, DataFrame]:
