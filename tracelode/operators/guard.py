@@ -142,6 +142,17 @@ def excerpt_of(text: str, most: int = 100) -> str:
     return text if len(text) <= most else f"{text[:most]}..."
 
 
+def _first_rows(df: DataFrame, n: int) -> DataFrame:
+    """The n first rows by the first column. Their place is found by that column alone, so what the others are made of (a view's JSON, say) is read and made for these rows only."""
+    c = F.col(f"`{df.columns[0]}`")
+    if df.schema[0].dataType.typeName() not in ("byte", "short", "integer", "long", "string", "date"):  # a literal may not be the same value
+        return df.orderBy(c).limit(n)
+    firsts = [r[0] for r in df.select(c).orderBy(c).limit(n).collect()]  # n values
+    least = [x for x in firsts if x is not None]
+    kept = c.isNull() if not least else (c <= least[-1]) if len(least) == len(firsts) else c.isNull() | (c <= least[-1])
+    return (df.where(kept) if len(firsts) == n else df).orderBy(c).limit(n)
+
+
 def inspect_schema(tables: dict[str, DataFrame], with_views: bool = True, samples: int = 0) -> DataFrame:
     """A row for each column of each table (views, by their prefix vw_, only if asked for): type, nullability, the table's row count, `samples` values as texts, and error.
 
@@ -154,7 +165,7 @@ def inspect_schema(tables: dict[str, DataFrame], with_views: bool = True, sample
         try:
             n = F.count("*").alias("n_rows")
             values = [F.slice(F.array_sort(F.collect_set(F.col(f"`{f.name}`").cast("string"))), 1, samples).alias(f"s{i}") for i, f in enumerate(df.schema)] if samples else []
-            source = df.orderBy(*[f"`{c}`" for c in df.columns[:1]]).limit(samples).agg(*values) if samples else None
+            source = _first_rows(df, samples).agg(*values) if samples else None
             empty = F.array().cast("array<string>")
             fields = F.array(*(F.struct(F.lit(i + 1).alias("position"), F.lit(f.name).alias("column_name"), F.lit(f.dataType.simpleString()).alias("data_type"), F.lit(f.nullable).alias("nullable"), (F.col(f"s{i}") if samples else empty).alias("samples")) for i, f in enumerate(df.schema)))
             part = df.agg(n)
