@@ -51,11 +51,13 @@ _MADE_OF = {"runtime": "events", "lineage": "orders", "dataframe_lineage": "cust
 
 
 def _table(spark: SparkSession, sf_dir: str, kind: str, name: str) -> DataFrame:
-    """A stored table: lines are checked and typed once for each state of the input and session and written; queries read columns and ranges of times of what is stored. An input whose files are others, or newer, is stored anew."""
+    """A stored table: lines are checked and typed once for each state of the input and session and written; queries read columns and ranges of times of what is stored. An input whose files are others, or newer, is stored anew.
+
+    Logs are in the order of their times, and so are stored files: wide typed rows aren't sorted."""
     key = (spark.sparkContext.applicationId, shared_dir(spark), sf_dir, kind, file_states(spark, f"{sf_dir}/{_MADE_OF[kind]}.parquet"))
     if key not in _STORED:
         rows = _split(spark, sf_dir, kind)[0]
-        _STORED[key] = settled(rows.sortWithinPartitions(catalogue.TIME[name]), name)
+        _STORED[key] = settled(rows, name)
     return _STORED[key]
 
 

@@ -12,9 +12,10 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Rows dealt over all tasks: making and checking a line costs far more than moving its few columns, and the driver's tables are single files."""
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+def spread(df: DataFrame, by: str | None = None) -> DataFrame:
+    """Rows dealt over all tasks: making and checking a line costs far more than moving its few columns, and the driver's tables are single files. by: the time in whose order each task writes its log; few columns are sorted here, not lines."""
+    dealt = df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return dealt if by is None else dealt.sortWithinPartitions(by)
 
 
 def hex8(n: str) -> str:
@@ -30,7 +31,7 @@ _SILENT = {"ignoreNullFields": "true"}
 
 def runtime_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two events an execution. Defects by modulus of event_id, the first wins: 97 cut, 89 no cell_id, 83 one field more, 79 bad id, 73 bad type, 71 no lines."""
-    e = spread(load(spark, sf_dir, "events")).withColumn("t", F.expr(iso("ts")))
+    e = spread(load(spark, sf_dir, "events"), "ts").withColumn("t", F.expr(iso("ts")))
     defect = F.expr("CASE WHEN event_id % 97 = 0 THEN 97 WHEN event_id % 89 = 0 THEN 89 WHEN event_id % 83 = 0 THEN 83 WHEN event_id % 79 = 0 THEN 79 WHEN event_id % 73 = 0 THEN 73 WHEN event_id % 71 = 0 THEN 71 ELSE 0 END")
     e = e.withColumn("d", defect).withColumn("odd", F.expr("event_id % 2 = 1"))
     body = F.struct(
@@ -49,7 +50,7 @@ def runtime_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def lineage_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A run an order. Defects: modulus 67 a run id that is no UUID, 61 a foreign producer, 11 (kept) no outputs."""
-    o = spread(load(spark, sf_dir, "orders")).withColumn("t", F.expr(iso("o_orderdate"))).withColumn("m", F.expr("md5(cast(o_orderkey as string))"))
+    o = spread(load(spark, sf_dir, "orders"), "o_orderdate").withColumn("t", F.expr(iso("o_orderdate"))).withColumn("m", F.expr("md5(cast(o_orderkey as string))"))
     uuid = "concat_ws('-', substring(m, 1, 8), substring(m, 9, 4), substring(m, 13, 4), substring(m, 17, 4), substring(m, 21, 12))"
     made = f"'_producer', '{PRODUCER}', '_schemaURL', 'u'"
     source = f"named_struct('namespace', 'db', 'name', concat('customer_', o_custkey % 40), 'facets', named_struct('schema', named_struct({made}, 'fields', array(named_struct('name', 'c_custkey', 'type', 'long'), named_struct('name', 'c_name', 'type', 'string')))))"
@@ -68,7 +69,7 @@ def lineage_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def frame_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An operation a customer. Defects: modulus 53 a method outside the list, 59 no output (breaks a table constraint), 47 a time that is no time (likewise)."""
-    c = spread(load(spark, sf_dir, "customer"))
+    c = spread(load(spark, sf_dir, "customer"), "c_custkey")
     method = "element_at(array('__getitem__', 'groupby', 'sum', 'mean', 'count', 'merge'), cast(c_custkey % 6 as int) + 1)"
     frame = lambda name, rows, columns: f"named_struct('variable_name', {name}, 'shape', array({rows}, size({columns})), 'columns', {columns})"
     source = frame("concat('df', c_nationkey)", "c_custkey % 500", "array('id', 'name', 'value')")
