@@ -148,6 +148,9 @@ def _described(table: str, columns: str, n: str, samples: str) -> str:
 
 @query(f"WITH {RT}, {LI} " + _described("runtime_events", _RT_COLUMNS, "SELECT count(*) FROM rt", "SELECT string_agg(k, ',' ORDER BY k) FROM (SELECT CAST(event_id AS VARCHAR) AS k FROM rt ORDER BY event_id LIMIT 3) s") + " UNION ALL " + _described("vw_lineage_io", _IO_COLUMNS, "SELECT count(*) FROM li", "SELECT string_agg(x, ',' ORDER BY x) FROM (SELECT CAST(k AS VARCHAR) AS x FROM li ORDER BY k LIMIT 3) s"))
 def described_tables(spark, sf_dir):
-    """Columns of a table and of a view: place, name, type, rows, and the first three values of the key."""
-    found = guard.inspect_schema({"runtime_events": runtime(spark, sf_dir), "vw_lineage_io": io(spark, sf_dir)}, samples=3).where("error is null")
+    """Columns of a table and of a view: place, name, type, rows, and the first three values of the key. If one of them can't be read, there is no result."""
+    found = guard.inspect_schema({"runtime_events": runtime(spark, sf_dir), "vw_lineage_io": io(spark, sf_dir)}, samples=3)
+    failed = found.where("error is not null").select("table_name", "error").collect()  # a row a table
+    if failed:
+        raise RuntimeError("; ".join(f"{r.table_name} can't be read: {r.error}" for r in failed))
     return found.select("table_name", "position", "column_name", "data_type", "n_rows", F.when(F.col("position") == 1, F.array_join("samples", ",")).alias("samples"))
