@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from ..plans.scratch import settled, shared_dir
 from .components import bypassed, chain_links, strong_components
@@ -68,7 +69,7 @@ LEVELS = 64
 
 
 def _levels(edges: DataFrame) -> list[DataFrame] | None:
-    """edges: source, target. Nodes with edges out by level (edges of the longest way to them), a written table (node) each; None for graphs with cycles, and for those that are too deep."""
+    """edges: source, target. Nodes with edges out by level (edges of the longest way to them), a written table (node) each, none for no edges; None for graphs with cycles, and for those that are too deep."""
     left, found = edges.select("source", "target"), []
     n = left.count()
     while n:
@@ -80,37 +81,64 @@ def _levels(edges: DataFrame) -> list[DataFrame] | None:
     return found
 
 
+#: Nodes of a set of what a node reaches that may stand in one row; of larger graphs sets are in more rows.
+MOST_NODES = 1 << 20
+
+
+def _of_seeds(edges: DataFrame, start: DataFrame) -> DataFrame:
+    """Edges of a graph without cycles that a way from a seed goes over: nodes without edges in that are no seeds go, until there are none."""
+    while True:
+        lost = settled(edges.select("source").distinct().join(edges.select(F.col("target").alias("source")), "source", "left_anti").join(start.select(F.col("seed").alias("source")), "source", "left_anti"), "lost")
+        if not lost.limit(1).count():
+            return edges
+        edges = settled(edges.join(lost, "source", "left_anti").select("source", "target", "weight"), "edges")
+
+
 def _by_level(edges: DataFrame, start: DataFrame, levels: list[DataFrame], max_depth: int | None) -> DataFrame:
-    """closure over a graph without cycles. Ways to a node wait in a folder of its level until all nodes before it have theirs, so each pair is made once, and nothing found before is read again."""
+    """closure over a graph without cycles. From the last level to the first: what a node reaches is a list, made once when all nodes after it have theirs, and goes
+    as a whole against each edge to the node before, where it waits in a folder of that node's level. So pairs aren't dealt over tasks one by one, and nothing found before is read again. Nodes without edges in come last; their pairs are never in lists."""
     spark, path = edges.sparkSession, f"{shared_dir(edges.sparkSession)}/ways-{uuid.uuid4().hex}"
+    kinds = {f.name: f.dataType for f in edges.schema}
+    edges = _of_seeds(edges, start)
+    edges = edges if max_depth is None else edges.where(F.col("weight") <= max_depth)
+    n = edges.count()
+    if not n:
+        return edges.select(F.col("source").alias("seed"), F.col("target").alias("node"), F.col("weight").alias("depth"))
+    # Nodes without edges out, at -1, lead nowhere.
     level = settled(reduce(DataFrame.unionByName, (df.withColumn("at", F.lit(k)) for k, df in enumerate(levels))), "levels")
-    # Nodes without edges out, at -1, lead nowhere and come last.
-    ends = edges.join(level.withColumnsRenamed({"node": "source", "at": "from"}), "source").join(level.withColumnRenamed("node", "target"), "target", "left").withColumn("at", F.coalesce("at", F.lit(-1)))
-    ends.write.partitionBy("from").parquet(f"{path}/edges")
-    kinds = {f.name: f.dataType.simpleString() for f in edges.schema}
-    of_edges, of_ways = f"source {kinds['source']}, target {kinds['target']}, weight int, at int", f"seed {kinds['source']}, node {kinds['target']}, depth int"
+    into = edges.join(level.withColumnRenamed("node", "source"), "source").join(level.withColumnsRenamed({"node": "target", "at": "from"}), "target", "left").withColumn("from", F.coalesce("from", F.lit(-1)))
+    into.select("source", "target", "weight", "at", "from").write.partitionBy("from").parquet(f"{path}/edges")
+    of_edges = StructType([StructField("source", kinds["source"]), StructField("target", kinds["target"]), StructField("weight", IntegerType()), StructField("at", IntegerType())])
+    one = StructType([StructField("node", kinds["target"]), StructField("depth", IntegerType())])
+    of_ways = StructType([StructField("source", kinds["source"]), StructField("part", IntegerType()), StructField("more", IntegerType()), StructField("nodes", ArrayType(one))])
+    part = F.pmod(F.xxhash64("target"), F.lit(1 + n // MOST_NODES)).cast("int").alias("part")
+    first = spark.read.schema(of_edges.add("from", IntegerType())).parquet(f"{path}/edges")
+    first.select("source", part, F.col("weight").alias("more"), F.array(F.struct(F.col("target").alias("node"), F.lit(0).alias("depth"))).alias("nodes"), "at").write.partitionBy("at").parquet(f"{path}/ways/to=first")
 
     def nearest(k: int) -> DataFrame | None:
+        """source, part, node, depth of nodes of a level; rows of the same source and part are in one task."""
         try:
-            came = spark.read.schema(of_ways).parquet(f"{path}/ways/from=*/at={k}")
+            came = spark.read.schema(of_ways).parquet(f"{path}/ways/to=*/at={k}")
         except Exception as missing:
             if "PATH_NOT_FOUND" not in str(missing):
                 raise
             return None
-        return came.groupBy("seed", "node").agg(F.min("depth").alias("depth"))
+        came = came.repartition("source", "part") if k else came.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), len(came.inputFiles())), "source", "part")
+        one_by_one = came.select("source", "part", "more", F.explode("nodes").alias("x")).select("source", "part", F.col("x.node").alias("node"), (F.col("x.depth") + F.col("more")).alias("depth"))
+        return (one_by_one if max_depth is None else one_by_one.where(F.col("depth") <= max_depth)).groupBy("source", "part", "node").agg(F.min("depth").alias("depth"))
 
     found = []
-    for k in range(len(levels)):
-        out = spark.read.schema(of_edges).parquet(f"{path}/edges/from={k}")
-        ways = out.join(start.select(F.col("seed").alias("source")), "source").select(F.col("source").alias("seed"), F.col("target").alias("node"), F.col("weight").alias("depth"), "at")
+    for k in range(len(levels) - 1, 0, -1):
         here = nearest(k)
-        if here is not None:
-            found.append(settled(here, "found"))
-            ways = ways.unionByName(found[-1].join(out, F.col("node") == F.col("source")).select("seed", F.col("target").alias("node"), (F.col("depth") + F.col("weight")).alias("depth"), "at"))
-        (ways if max_depth is None else ways.where(F.col("depth") <= max_depth)).write.partitionBy("at").parquet(f"{path}/ways/from={k}")
-    last = nearest(-1)
-    found = found if last is None else [*found, last]
-    return reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], of_ways)
+        if here is None:  # no seed leads there
+            continue
+        here = settled(here.groupBy(F.col("source").alias("target"), "part").agg(F.collect_list(F.struct("node", "depth")).alias("nodes")), "found")
+        found.append(here.join(start.select(F.col("seed").alias("target")), "target", "left_semi").select(F.col("target").alias("seed"), F.inline("nodes")))
+        to = first.where(F.col("from") == k)
+        here.join(to, "target").select("source", "part", F.col("weight").alias("more"), "nodes", "at").write.partitionBy("at").parquet(f"{path}/ways/to={k}")
+    last = nearest(0)
+    found = found if last is None else [*found, last.select(F.col("source").alias("seed"), "node", "depth")]
+    return reduce(DataFrame.unionByName, found)
 
 
 def closure(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None) -> DataFrame:
